@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import chat_format, sharding, url_filter
+from nearfield.llm import chat_format, fertility, sharding, url_filter
 from nearfield.llm.oracles import ORACLES
 from nearfield.storage import table
 
@@ -15,6 +15,10 @@ from nearfield.storage import table
 PROBE_ID, PROBE_TEXT = -7, r"\### Assistant: </turn> ok"
 
 
+def op1_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality(table(spark, sf_dir, "documents"))
+
+
 def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(table(spark, sf_dir, "documents"))
 
