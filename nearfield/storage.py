@@ -34,3 +34,24 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder, through Spark's reader alone, so that any store Spark knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def global_rank(df: DataFrame, order: list, name: str = "_rank") -> DataFrame:
+    """df with a gapless number from 0 for each row in the given order; equal rows get any of their numbers.
+
+    Rows are dealt by range and sorted in their partitions, the result is written once, and only a row count for each partition
+    goes to the driver. Add a unique column to the order, so that rows of one hot key spread over partitions.
+    """
+    from pyspark.sql import functions as F
+
+    spark = df.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_nf_m", F.monotonically_increasing_id())
+    placed = ordered.withColumns({"_nf_p": F.shiftright("_nf_m", 33), "_nf_i": F.col("_nf_m").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_nf_m")
+    placed = materialise(placed, "ranked")
+    total, starts = 0, []
+    for p, n in sorted((r[0], r[1]) for r in placed.groupBy("_nf_p").agg(F.count("*")).collect()):
+        starts.append((p, total))
+        total += n
+    first = spark.createDataFrame(starts, "_nf_p long, _nf_first long")
+    return placed.join(F.broadcast(first), "_nf_p").withColumn(name, F.col("_nf_first") + F.col("_nf_i")).drop("_nf_p", "_nf_i", "_nf_first")
