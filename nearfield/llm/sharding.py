@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.storage import materialise
+from nearfield.storage import global_rank, materialise
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -79,21 +79,10 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 8, bits: int = 10) -> DataFr
     meta = meta.withColumn("_h", hilbert_column([F.col("_a"), F.col("_b"), magnitude(F.col("size"), bits)], bits))
     meta = materialise(meta.select("doc_id", "size", "text_crc32", "_h"), "curve")
 
-    spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = ["_h", F.xxhash64("doc_id"), "doc_id", "text_crc32"]
-    sorted_rows = meta.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    placed = materialise(sorted_rows.select("doc_id", "size", "text_crc32", "_h", F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_i")), "ordered")
-
-    counts = sorted((r["_p"], r["n"]) for r in placed.groupBy("_p").agg(F.count("*").alias("n")).collect())  # a row per range partition
-    total, offsets = 0, []
-    for p, n in counts:
-        offsets.append((p, total))
-        total += n
-    starts = spark.createDataFrame(offsets, "_p long, _start long")
-    ranked = placed.join(F.broadcast(starts), "_p").withColumn("_r", F.col("_start") + F.col("_i"))
-    shard = (F.expr(f"(_r * {n_shards}L) div {max(1, total)}L")).cast("int")
-    first = F.expr(f"(cast(shard as bigint) * {max(1, total)}L + {n_shards - 1}L) div {n_shards}L")
+    ranked = global_rank(meta, ["_h", F.xxhash64("doc_id"), "doc_id", "text_crc32"], "_r")
+    total = max(1, meta.count())
+    shard = F.expr(f"(_r * {n_shards}L) div {total}L").cast("int")
+    first = F.expr(f"(cast(shard as bigint) * {total}L + {n_shards - 1}L) div {n_shards}L")
     return ranked.withColumn("shard", shard).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_r") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("_h").alias("curve_index")
     )
