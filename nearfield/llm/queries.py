@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, chat_format, fertility, forest, packing, secret_scan, sharding, simhash, url_filter
+from nearfield.llm import bpe, chat_format, fertility, forest, language_model, packing, secret_scan, sharding, simhash, url_filter
 from nearfield.llm.oracles import ORACLES
 from nearfield.storage import table
 
@@ -52,6 +52,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest_conversations(chat_format.format_conversations(rows))
 
 
+def op8_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(table(spark, sf_dir, "embeddings"))
 
