@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import lower_ascii, map_rows, text_or_empty, words_of
@@ -178,3 +178,14 @@ def near_duplicates(docs: DataFrame, size: int = 3, seed: int = SEED, hot: int =
     found = components(links(nodes.filter("node is not null"), hot))
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = 3, seed: int = SEED, hot: int = HOT) -> DataFrame:
+    """The rows of docs that carry the least doc_id of their group, one row for each such id, with all their columns.
+
+    Rows with a null doc_id can't be compared by it and stay.
+    """
+    found = near_duplicates(docs.filter("doc_id is not null"), size, seed, hot)
+    kept = materialise(found.filter("doc_id = component_id").select("doc_id").distinct(), "kept")
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("_nf_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")))
+    return named.filter("_nf_n = 1").drop("_nf_n").unionByName(docs.filter("doc_id is null"))
