@@ -7,9 +7,7 @@ input has at most `capacity` rows at every scale, and a filling is chosen for as
 from __future__ import annotations
 
 from bisect import bisect_right, insort
-from collections.abc import Mapping
-from dataclasses import dataclass, field
-
+from collections.abc import Iterator, Mapping
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +18,8 @@ from nearfield.llm.common import map_rows, text_or_empty
 from nearfield.storage import global_rank, materialise
 
 CAPACITY = 2048
+#: Nodes of the search, and how often on the way best fit is tried on what is left.
+NODES, PROBE = 4_000, 8
 
 #: A filling: lengths with how many of each, longest first; and a plan: fillings with how many sequences use each.
 Filling = tuple[tuple[int, int], ...]
@@ -69,16 +69,16 @@ def lower_bound(counts: Mapping[int, int], capacity: int) -> int:
     lengths = np.array(sorted(x for x, n in counts.items() if n), dtype=np.int64)
     if not len(lengths):
         return 0
-    n = np.array([counts[int(x)] for x in lengths], dtype=object)
-    volume = lengths * n
-    best = -(-int(volume.sum()) // capacity)
-    for short in [0, *(int(x) for x in lengths if 2 * x <= capacity)]:
-        alone = int(n[lengths > capacity - short].sum())
-        half = (lengths > capacity // 2) & (lengths <= capacity - short)
-        rest = (lengths <= capacity // 2) & (lengths >= short)
-        room = int(n[half].sum()) * capacity - int(volume[half].sum())
-        best = max(best, alone + int(n[half].sum()) + max(0, -(-(int(volume[rest].sum()) - room) // capacity)))
-    return best
+    n = np.array([counts[int(x)] for x in lengths], dtype=np.int64)
+    number, volume = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(lengths * n)])
+    middle = int(np.searchsorted(lengths, capacity // 2, side="right"))
+    short = np.arange(middle + 1)  # how many lengths are too short to count
+    least = np.where(short < middle, lengths[np.minimum(short, len(lengths) - 1)], capacity // 2 + 1)
+    long = np.maximum(middle, np.searchsorted(lengths, capacity - least, side="right"))
+    alone, half = number[-1] - number[long], number[long] - number[middle]
+    room = half * capacity - (volume[long] - volume[middle])
+    over = volume[middle] - volume[short] - room
+    return int(max(-(-int(volume[-1]) // capacity), int((alone + half + np.maximum(0, -(-over // capacity))).max())))
 
 
 def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
@@ -99,116 +99,142 @@ def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return sum(a) >= sum(b) and place(0, rooms)
 
 
-def fillings(counts: Mapping[int, int], largest: int, capacity: int, most_waste: int, keep: int = 24, steps: int = 4000) -> list[tuple[int, ...]]:
+#: Fillings kept at one node, steps of their enumeration, and different lengths from where on it is mostly left to exact pairs.
+KEEP, STEPS, MANY = 24, 4_000, 64
+
+
+def fillings(counts: np.ndarray, largest: int, capacity: int, most_waste: int) -> list[tuple[int, ...]]:
     """Undominated ways to fill up a sequence that begins with the largest piece, least waste first.
 
-    Only fillings that waste at most most_waste are kept. steps bounds the enumeration and keep the branches at one node.
+    counts[x] is the number of pieces of length x left. Only fillings that waste at most most_waste are kept.
     """
-    lengths = sorted((x for x, n in counts.items() if n and x <= capacity - largest), reverse=True)
-    found: list[tuple[int, tuple[int, ...]]] = []
-    left = steps
-
-    def extend(i: int, room: int, chosen: tuple[int, ...]) -> None:
-        nonlocal left
-        if left <= 0:
-            return
-        left -= 1
+    cap = capacity - largest
+    left = counts[: cap + 1].copy()
+    if largest <= cap:
+        left[largest] -= 1
+    lengths = np.flatnonzero(left)[::-1].tolist()
+    rising = lengths[::-1]
+    many = len(lengths) > MANY
+    found: set[tuple[int, tuple[int, ...]]] = set()
+    steps = STEPS // 20 if many else STEPS
+
+    def extend(room: int, most: int, chosen: tuple[int, ...]) -> None:
+        nonlocal steps
+        steps -= 1
         fits = False
-        for j in range(i, len(lengths)):
-            x = lengths[j]
-            if x <= room and counts[x] - (x == largest) - chosen.count(x) > 0:
+        for j in range(bisect_right(rising, min(room, most)) - 1, -1, -1):
+            if steps <= 0:
+                return
+            x = rising[j]
+            if left[x] > 0:
                 fits = True
-                extend(j, room - x, (*chosen, x))
-                if left <= 0:
-                    return
-        if not fits and room <= most_waste and not any(x <= room and counts[x] - (x == largest) - chosen.count(x) > 0 for x in lengths):
-            found.append((room, chosen))
-
-    extend(0, capacity - largest, ())
-    for x in lengths:  # pairs that fill exactly are easy to miss among many lengths
-        y = capacity - largest - x
-        if y <= x and counts.get(y, 0) - (y == largest) - (y == x) > 0 and counts[x] - (x == largest) > 0:
-            found.append((0, (x, y)))
-    best = sorted(set(found), key=lambda f: (f[0], len(f[1]), tuple(-x for x in f[1])))[: 4 * keep]
+                left[x] -= 1
+                extend(room - x, x, (*chosen, x))
+                left[x] += 1
+        if not fits and room <= most_waste and not any(left[x] > 0 for x in rising[: bisect_right(rising, room)]):
+            found.add((room, chosen))
+
+    extend(cap, cap, ())
+    if many:
+        x = np.arange(cap // 2, cap + 1)
+        x = x[(left[x] > 0) & (left[cap - x] - (2 * x == cap) > 0) & (cap - x > 0)]
+        found |= {(0, (int(v), int(cap - v))) for v in x[-KEEP:]}
+        if cap > 0 and left[cap] > 0:
+            found.add((0, (cap,)))
+    if not lengths and cap <= most_waste:
+        found.add((cap, ()))
     kept: list[tuple[int, ...]] = []
-    for _, f in best:
+    for _, f in sorted(found, key=lambda f: (f[0], len(f[1]), tuple(-x for x in f[1])))[: 4 * KEEP]:
         if len(f) > 8 or not any(len(k) <= 8 and k != f and _dominates(k, f) for k in kept):
             kept.append(f)
-        if len(kept) == keep:
+        if len(kept) == KEEP:
             break
     return kept
 
 
-@dataclass
-class _Search:
-    capacity: int
-    total: int
-    bound: int
-    best: Plan
-    best_n: int
-    nodes: int
-    seen: set = field(default_factory=set)
-
-    def offer(self, plan: Plan) -> None:
-        n = sum(m for _, m in plan)
-        if n < self.best_n:
-            self.best, self.best_n = list(plan), n
+def _branches(left: np.ndarray, capacity: int, spare: int) -> Iterator[tuple[Filling, int]]:
+    """Fillings around the largest piece left, tightest first, each for as many sequences as it goes and then for one."""
+    largest = int(np.flatnonzero(left)[-1])
+    for f in fillings(left, largest, capacity, spare):
+        whole = (largest, *f)
+        filling: Filling = tuple((x, whole.count(x)) for x in sorted(set(whole), reverse=True))
+        most = min(int(left[x]) // k for x, k in filling)
+        lost = capacity - sum(whole)
+        if lost:
+            most = min(most, spare // lost)
+        for times in dict.fromkeys((most, 1)):
+            if times:
+                yield filling, times
 
 
-def bin_completion(counts: Mapping[int, int], capacity: int = CAPACITY, nodes: int = 2_000) -> Plan:
-    """Pack a histogram {length: count} of pieces of at most capacity into as few sequences as can be shown within `nodes` nodes.
+def bin_completion(counts: Mapping[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
+    """Pack a histogram {length: count} of pieces of at most capacity into as few sequences as `nodes` nodes can show.
 
     Each node completes a sequence around the largest piece left, with undominated fillings in order of waste. A branch ends
-    when its waste exceeds what one sequence fewer than the incumbent allows. Best fit gives the first incumbent and, at
-    each node of the first dive, another; the search stops at the lower bound. The result is never worse than best fit.
+    when its waste exceeds what one sequence fewer than the incumbent allows. Best fit gives the first incumbent and, on the
+    way down, others; the search stops at the lower bound. The result is never worse than best fit.
     """
     counts = {int(x): int(n) for x, n in counts.items() if n}
     if not counts:
         return []
     if min(counts) < 1 or max(counts) > capacity:
         raise ValueError(f"lengths must lie between 1 and {capacity}")
-    start = best_fit(counts, capacity)
-    s = _Search(capacity, sum(x * n for x, n in counts.items()), lower_bound(counts, capacity), start, sum(m for _, m in start), nodes)
-
-    # depth first with a stack of our own, as plans can be deep
-    stack: list[tuple[dict[int, int], Plan, int, int]] = [(counts, [], 0, 0)]
-    dive = True
-    while stack and s.best_n > s.bound and s.nodes > 0:
-        left, plan, used, waste = stack.pop()
-        s.nodes -= 1
-        if not left:
-            s.offer(plan)
-            dive = False
-            continue
-        allowed = (s.best_n - 1) * capacity - s.total
-        if waste > allowed or used + lower_bound(left, capacity) >= s.best_n:
-            dive = False
-            continue
-        key = (used, tuple(sorted(left.items()))) if len(left) <= 64 else None
-        if key is not None:
-            if key in s.seen:
+    best = best_fit(counts, capacity)
+    best_n, bound, total = sum(m for _, m in best), lower_bound(counts, capacity), sum(x * n for x, n in counts.items())
+    left = np.zeros(capacity + 1, dtype=np.int64)
+    for x, n in counts.items():
+        left[x] = n
+
+    def rest() -> dict[int, int]:
+        return {int(x): int(left[x]) for x in np.flatnonzero(left)}
+
+    def apply(filling: Filling, times: int) -> None:
+        for x, k in filling:
+            left[x] -= k * times
+
+    plan: Plan = []
+    frames: list[Iterator[tuple[Filling, int]]] = []
+    used = waste = visited = 0
+    seen: set = set()
+    entering = True
+    while best_n > bound and visited < nodes:
+        if entering:
+            visited += 1
+            entering = False
+            spare = (best_n - 1) * capacity - total - waste
+            remains = rest()
+            if not remains:
+                if used < best_n:
+                    best, best_n = list(plan), used
+                frames.append(iter(()))
+                continue
+            state = (used, tuple(remains.items())) if len(remains) <= MANY else None
+            if spare < 0 or used + lower_bound(remains, capacity) >= best_n or (state is not None and state in seen):
+                frames.append(iter(()))
                 continue
-            s.seen.add(key)
-        if dive:
-            s.offer(plan + best_fit(left, capacity))
-        largest = max(left)
-        branches = []
-        for f in fillings(left, largest, capacity, allowed - waste):
-            whole = (largest, *f)
-            filling: Filling = tuple((x, whole.count(x)) for x in sorted(set(whole), reverse=True))
-            most = min(left[x] // k for x, k in filling)
-            for times in sorted({most, 1}):
-                after = {x: n for x, n in ((x, n - times * dict(filling).get(x, 0)) for x, n in left.items()) if n}
-                lost = waste + times * (capacity - sum(whole))
-                if lost <= allowed:
-                    branches.append((after, [*plan, (filling, times)], used + times, lost))
-        # the stack gives the last first: the tightest filling, for as many sequences as it goes
-        by_filling: dict[Filling, list] = {}
-        for b in branches:
-            by_filling.setdefault(b[1][-1][0], []).append(b)
-        for group in reversed(list(by_filling.values())):
-            stack.extend(group)
-    return s.best
+            if state is not None:
+                seen.add(state)
+            if visited % PROBE == 0 or visited < PROBE:
+                tail = best_fit(remains, capacity)
+                if (n := used + sum(m for _, m in tail)) < best_n:
+                    best, best_n = [*plan, *tail], n
+            frames.append(_branches(left.copy(), capacity, spare))
+        if not frames:
+            break
+        step = next(frames[-1], None)
+        if step is None:
+            frames.pop()
+            if plan and len(plan) > len(frames) - 1 and frames:
+                filling, times = plan.pop()
+                apply(filling, -times)
+                used, waste = used - times, waste - times * (capacity - sum(x * k for x, k in filling))
+            continue
+        filling, times = step
+        apply(filling, times)
+        plan.append(step)
+        used, waste = used + times, waste + times * (capacity - sum(x * k for x, k in filling))
+        entering = True
+    return best
 
 
 def tokenise_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -276,7 +302,7 @@ def place(pieces: DataFrame, plan: Plan) -> DataFrame:
     return found.withColumns({"sequence_id": F.col("_nf_at.sequence_id"), "offset": F.col("_nf_at.offset")}).drop("_nf_at", "_nth")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = 2_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
     """pieces (doc_id, piece, length, anything else) with sequence_id and offset.
 
     Two shuffle-light passes: a histogram of lengths goes to the driver (at most capacity rows), where the packing is
