@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import text_or_empty
+from nearfield.storage import materialise
 
 REDACTED = "[SECRET]"
 
@@ -71,15 +72,17 @@ def _matches(rule: Rule, rank: int, pending: Column | None) -> Column:
 def scan_blobs(blobs: DataFrame, rules: Sequence[Rule] = RULES, pending: str | None = None) -> DataFrame:
     """Findings of distinct blobs (blob, text[, pending rule names]): blob, findings sorted by start, then rule.
 
-    Blobs without findings give no row. Positions are code points: running sums of gaps and match lengths, so a text with
-    many matches costs in proportion to their number.
+    Blobs without findings have an empty array. Positions are code points: running sums of gaps and match lengths, so a
+    text with many matches costs in proportion to their number.
     """
     asked = None if pending is None else F.col(pending)
-    rows = blobs.select("blob", F.explode(F.concat(*[_matches(r, i, asked) for i, r in enumerate(rules)])).alias("m")).select("blob", "m.*")
+    kept = ["blob"] if pending is None else ["blob", pending]
+    rows = blobs.select(*kept, F.explode_outer(F.concat(*[_matches(r, i, asked) for i, r in enumerate(rules)])).alias("m")).select(*kept, "m.*")
     upto = Window.partitionBy("blob", "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto).cast("int")).filter("keep")
-    span = F.struct((F.col("end") - F.col("len")).alias("start"), "rank", "kind", "end")
-    return placed.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("findings"))
+    placed = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto).cast("int"))
+    span = F.when(F.col("keep"), F.struct((F.col("end") - F.col("len")).alias("start"), "rank", "kind", "end"))
+    extra = [] if pending is None else [F.first(pending).alias(pending)]
+    return placed.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("findings"), *extra)
 
 
 def scan_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -92,29 +95,25 @@ def scan_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: Sequenc
     names = F.array(*[F.lit(r.name) for r in rules])
     texts = docs.select(blob_id(F.col("text")).alias("blob"), text_or_empty().alias("text")).dropDuplicates(["blob"])
     if ledger is None:
-        found = scan_blobs(texts, rules)
-        return texts.select("blob").join(found, "blob", "left").select("blob", names.alias("scanned"), "findings")
+        return scan_blobs(texts, rules).select("blob", names.alias("scanned"), "findings")
     seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("seen"))
     todo = texts.join(seen, "blob", "left").withColumn("pending", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>")))).filter(F.size("pending") > 0)
-    found = scan_blobs(todo, rules, "pending")
-    return todo.select("blob", F.col("pending").alias("scanned")).join(found, "blob", "left").select("blob", "scanned", "findings")
+    return scan_blobs(todo.drop("seen"), rules, "pending").select("blob", F.col("pending").alias("scanned"), "findings")
 
 
 def findings_of(ledger: DataFrame) -> DataFrame:
     """blob, findings: those of all ledger rows of a blob, sorted; blobs without any are left out."""
-    some = ledger.filter(F.size("findings") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("findings"))).alias("findings"))
-    return some
+    return ledger.filter(F.size("findings") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("findings"))).alias("findings"))
 
 
 def secret_spans(docs: DataFrame, rules: Sequence[Rule] = RULES, findings: DataFrame | None = None) -> DataFrame:
     """Each row of docs with its findings: doc_id, findings (null if none), joined to every path by the blob.
 
-    findings may come from a ledger (findings_of); without, the blobs of docs are scanned here. Null texts are empty;
+    findings may come from a ledger (findings_of); without, a ledger of the blobs of docs is written to the shared folder. Null texts are empty;
     repeated rows give repeated results; an empty table gives no rows; other columns are ignored.
     """
     if findings is None:
-        texts = docs.select(blob_id(F.col("text")).alias("blob"), text_or_empty().alias("text")).dropDuplicates(["blob"])
-        findings = scan_blobs(texts, rules)
+        findings = findings_of(materialise(scan_ledger(docs, None, rules), "ledger"))
     paths = docs.select("doc_id", blob_id(F.col("text")).alias("blob"))
     return paths.join(findings, "blob", "left").select("doc_id", "findings")
 
@@ -136,8 +135,8 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
     Overlapping findings become one replacement. Columns and rows are those of docs.
     """
-    texts = docs.select(blob_id(F.col("text")).alias("blob"), text_or_empty().alias("text")).dropDuplicates(["blob"])
-    keyed = docs.withColumn("_nf_blob", blob_id(F.col("text"))).join(scan_blobs(texts, rules).select(F.col("blob").alias("_nf_blob"), F.col("findings").alias("_nf_found")), "_nf_blob", "left")
+    found = findings_of(materialise(scan_ledger(docs, None, rules), "ledger")).select(F.col("blob").alias("_nf_blob"), F.col("findings").alias("_nf_found"))
+    keyed = docs.withColumn("_nf_blob", blob_id(F.col("text"))).join(found, "_nf_blob", "left")
     text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:
