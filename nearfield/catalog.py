@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearfield.storage import table
+from nearfield.config import IndexConfig
+from nearfield.functions import distance, vectors
+from nearfield.functions import labels as label_fns
+from nearfield.operators import clustering, exact, graph, quantize, stats
+from nearfield.operators import labels as label_ops
+from nearfield.operators import points as point_ops
+from nearfield.plans import index as index_plans
+from nearfield.sources import files
+from nearfield.storage import shared_dir, table
+from nearfield.streaming import dynamic
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -30,3 +39,536 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+# inputs of the queries below ------------------------------------------------------------------------------------------
+
+UNIVERSAL = "all"
+K = 10
+
+
+def points(spark: SparkSession, sf_dir: str, scaled: bool = False) -> DataFrame:
+    """id, vec, labels, tag of embeddings: a label for the class, by3 and by5 by id, and the universal label alone on each fiftieth.
+
+    scaled multiplies vectors by 1 to 7, so that metrics rank differently.
+    """
+    i = F.col("vec_id")
+    vec = F.col("embedding").cast("array<double>")
+    named = F.concat(F.array(F.concat(F.lit("l"), F.col("label").cast("string"))), F.when(i % 3 == 0, F.array(F.lit("by3"))).otherwise(F.array().cast("array<string>")), F.when(i % 5 == 0, F.array(F.lit("by5"))).otherwise(F.array().cast("array<string>")))
+    labels = F.when(i % 50 == 0, F.array(F.lit(UNIVERSAL))).otherwise(named)
+    out = table(spark, sf_dir, "embeddings").select(i.alias("id"), (F.transform(vec, lambda x: x * (1 + i % 7)) if scaled else vec).alias("vec"), labels.alias("labels"))
+    return out.withColumn("tag", F.col("id") + 1)
+
+
+def searched(spark: SparkSession, sf_dir: str, scaled: bool = False, labelled: bool = False) -> DataFrame:
+    """qid, qvec[, qlabel]: every row whose id is divisible by 100."""
+    q = points(spark, sf_dir, scaled).filter(F.col("id") % 100 == 0).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    return q.withColumn("qlabel", F.when(F.col("qid") % 200 == 0, "by3").otherwise("by5")) if labelled else q
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n), 6) for n in names})
+
+
+_P = """p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, vec_id + 1 AS tag,
+  CASE WHEN vec_id % 50 = 0 THEN ['all'] ELSE list_concat(list_concat(['l' || label], CASE WHEN vec_id % 3 = 0 THEN ['by3'] ELSE [] END),
+  CASE WHEN vec_id % 5 = 0 THEN ['by5'] ELSE [] END) END AS labels FROM embeddings)"""
+_S = "p AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda z: z * (1 + vec_id % 7)) AS vec FROM embeddings)"
+_D = {"l2": "list_distance(b.vec, q.vec) * list_distance(b.vec, q.vec)", "mips": "-list_inner_product(b.vec, q.vec)", "cosine": "list_cosine_distance(b.vec, q.vec)", "fast_l2": "list_inner_product(b.vec, b.vec) - 2 * list_inner_product(b.vec, q.vec)"}
+
+
+def _knn_sql(metric: str, source: str, where: str = "TRUE") -> str:
+    sign = "-" if metric == "mips" else ""
+    return f"""WITH {source}, d AS (SELECT q.id AS qid, b.id AS id, {_D[metric]} AS d FROM p q JOIN p b ON q.id % 100 = 0 AND {where}),
+r AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, id) AS INTEGER) AS rank, id, round({sign}d, 6) AS distance FROM d)
+SELECT * FROM r WHERE rank <= {K}"""
+
+
+_PASS = "(list_contains(b.labels, {0}) OR list_contains(b.labels, 'all'))"
+_QLABEL = "CASE WHEN q.id % 200 = 0 THEN 'by3' ELSE 'by5' END"
+
+# exact search ---------------------------------------------------------------------------------------------------------
+
+
+@register(_knn_sql("l2", _P))
+def exact_knn_l2(spark, sf_dir):
+    return rounded(exact.exact_knn(points(spark, sf_dir), searched(spark, sf_dir), K), "distance")
+
+
+@register(_knn_sql("mips", _S))
+def exact_knn_mips(spark, sf_dir):
+    return rounded(exact.exact_knn(points(spark, sf_dir, True), searched(spark, sf_dir, True), K, "mips"), "distance")
+
+
+@register(_knn_sql("cosine", _S))
+def exact_knn_cosine(spark, sf_dir):
+    return rounded(exact.exact_knn(points(spark, sf_dir, True), searched(spark, sf_dir, True), K, "cosine"), "distance")
+
+
+@register(_knn_sql("fast_l2", _S))
+def exact_knn_fast_l2(spark, sf_dir):
+    return rounded(exact.exact_knn(points(spark, sf_dir, True), searched(spark, sf_dir, True), K, "fast_l2"), "distance")
+
+
+@register(_knn_sql("l2", "p AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda z: CAST(CAST(trunc(greatest(-128.0, least(127.0, z * 254.0 / 2.0))) AS TINYINT) AS DOUBLE)) AS vec FROM embeddings)"))
+def exact_knn_int8(spark, sf_dir):
+    b = points(spark, sf_dir).withColumn("vec", vectors.to_int8(F.col("vec"), 0.0, 2.0))
+    q = b.filter(F.col("id") % 100 == 0).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    return rounded(exact.exact_knn(b, q, K), "distance")
+
+
+@register(_knn_sql("l2", _P, _PASS.format("'by3'")))
+def filtered_knn_one_label(spark, sf_dir):
+    return rounded(exact.exact_knn(points(spark, sf_dir), searched(spark, sf_dir).withColumn("qlabel", F.lit("by3")), K, universal=UNIVERSAL), "distance")
+
+
+@register(_knn_sql("l2", _P, _PASS.format(_QLABEL)))
+def filtered_knn_label_per_query(spark, sf_dir):
+    return rounded(exact.exact_knn(points(spark, sf_dir), searched(spark, sf_dir, labelled=True), K, universal=UNIVERSAL), "distance")
+
+
+@register(_knn_sql("l2", _P, f"list_contains(b.labels, {_QLABEL})"))
+def filtered_knn_label_join(spark, sf_dir):
+    return rounded(exact.exact_label_top_k(points(spark, sf_dir), searched(spark, sf_dir, labelled=True), K), "distance")
+
+
+@register(_knn_sql("l2", _P, "b.tag % 4 <> 0"))
+def knn_hidden_and_deleted(spark, sf_dir):
+    p = points(spark, sf_dir)
+    gone = p.filter("tag % 4 = 0 and tag % 8 = 0").select("tag")
+    hidden = p.withColumn("tag", F.when((F.col("tag") % 4 == 0) & (F.col("tag") % 8 != 0), 0).otherwise(F.col("tag")))
+    return rounded(exact.exact_knn(point_ops.live_points(hidden, gone), searched(spark, sf_dir), K, hidden_tag=0), "distance")
+
+
+@register(f"WITH {_P} SELECT q.id AS qid, b.id AS id, round({_D['l2']}, 6) AS distance FROM p q JOIN p b ON q.id % 100 = 0 WHERE {_D['l2']} <= 1.6")
+def range_search_l2(spark, sf_dir):
+    return rounded(exact.range_search(points(spark, sf_dir), searched(spark, sf_dir), 1.6), "distance")
+
+
+@register(f"WITH {_S} SELECT q.id AS qid, b.id AS id, round(-({_D['mips']}), 6) AS distance FROM p q JOIN p b ON q.id % 100 = 0 WHERE -({_D['mips']}) >= 0.9")
+def range_search_mips(spark, sf_dir):
+    return rounded(exact.range_search(points(spark, sf_dir, True), searched(spark, sf_dir, True), 0.9, "mips"), "distance")
+
+
+@register(f"""WITH {_P}, d AS (SELECT q.id AS qid, b.id AS id, {_D['l2']} AS d FROM p q JOIN p b ON q.id % 100 = 0),
+r AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, id) AS INTEGER) AS rank, id, round(d, 6) AS distance, CAST(id % 2 AS INTEGER) AS "partition" FROM d) SELECT * FROM r WHERE rank <= {K}""")
+def merge_two_indexes(spark, sf_dir):
+    p, q = points(spark, sf_dir), searched(spark, sf_dir)
+    return rounded(exact.merge_results([exact.exact_knn(p.filter(F.col("id") % 2 == i), q, K) for i in (0, 1)], K), "distance")
+
+
+@register(f"WITH r AS ({_knn_sql('l2', _P)}) SELECT qid, rank, id, distance, CASE WHEN id % 3 = 0 THEN id + 1 ELSE -1 END AS tag FROM r")
+def lookup_tags(spark, sf_dir):
+    names = points(spark, sf_dir).filter("id % 3 = 0").select("id", "tag")
+    return exact.lookup(exact_knn_l2(spark, sf_dir), names).select("qid", "rank", "id", "distance", F.coalesce("tag", F.lit(-1)).alias("tag"))
+
+
+@register(f"""WITH r AS ({_knn_sql('l2', _P)}) SELECT qid, CAST(count(*) AS INTEGER) AS k, list(id ORDER BY rank)[1] AS nearest FROM r GROUP BY qid""")
+def json_responses(spark, sf_dir):
+    answers = index_plans.respond(exact_knn_l2(spark, sf_dir), searched(spark, sf_dir))
+    body = F.from_json("response", "query_id long, k int, indices array<long>, distances array<double>")
+    return answers.select(body.alias("b")).select(F.col("b.query_id").alias("qid"), F.col("b.k").alias("k"), F.col("b.indices")[0].alias("nearest"))
+
+
+# vector functions -----------------------------------------------------------------------------------------------------
+
+
+def _long(df: DataFrame) -> DataFrame:
+    return df.select("id", F.posexplode("vec").alias("at", "x")).select("id", "at", F.round("x", 6).alias("x"))
+
+
+def _unnest(body: str, source: str = _P) -> str:
+    return f"WITH {source}, v AS (SELECT id, {body} AS v FROM p) SELECT id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS at, round(unnest(v), 6) AS x FROM v"
+
+
+_NORM = "sqrt(list_inner_product(vec, vec))"
+
+
+@register(_unnest(f"list_transform(vec, lambda z: z / {_NORM})", _S))
+def vector_normalise(spark, sf_dir):
+    return _long(points(spark, sf_dir, True).select("id", vectors.normalise(F.col("vec")).alias("vec")))
+
+
+@register(f"""WITH {_S}, m AS (SELECT max({_NORM}) AS m FROM p), v AS (SELECT id, list_concat(list_transform(vec, lambda z: z / m), [sqrt(greatest(0.0, 1 - list_inner_product(vec, vec) / (m * m)))]) AS v FROM p, m)
+SELECT id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS at, round(unnest(v), 6) AS x FROM v""")
+def vector_mips_base(spark, sf_dir):
+    p = points(spark, sf_dir, True)
+    return _long(p.select("id", vectors.mips_base(F.col("vec"), vectors.max_norm(p)).alias("vec")))
+
+
+@register(_unnest(f"list_concat(list_transform(vec, lambda z: z / {_NORM}), [0.0])", _S))
+def vector_mips_query(spark, sf_dir):
+    return _long(points(spark, sf_dir, True).select("id", vectors.mips_query(F.col("vec")).alias("vec")))
+
+
+@register(_unnest("list_transform(vec, lambda z: CAST(CAST(trunc(greatest(-128.0, least(127.0, (z - 0.1) * 254.0 / 1.5))) AS TINYINT) AS DOUBLE) * 0.5)"))
+def vector_int8_scale(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return _long(p.select("id", vectors.from_int8(vectors.to_int8(F.col("vec"), 0.1, 1.5), 0.0, 0.5).cast("array<double>").alias("vec")))
+
+
+@register(f"WITH {_S} SELECT id, round(list_inner_product(vec, vec), 6) AS norm2, round({_NORM}, 6) AS norm FROM p")
+def vector_norms(spark, sf_dir):
+    return rounded(points(spark, sf_dir, True).select("id", distance.squared_norm(F.col("vec")).alias("norm2"), distance.norm(F.col("vec")).alias("norm")), "norm2", "norm")
+
+
+@register(f"WITH {_S} SELECT a.id AS id, " + ", ".join(f"round({d.replace('b.vec', 'a.vec').replace('q.vec', 'b.vec')}, 6) AS {m}" for m, d in _D.items()) + " FROM p a JOIN p b ON b.id = a.id + 1")
+def vector_distances(spark, sf_dir):
+    """Every metric between neighbouring rows."""
+    p = points(spark, sf_dir, True)
+    pairs = p.select("id", "vec").join(p.select((F.col("id") - 1).alias("id"), F.col("vec").alias("w")), "id")
+    return rounded(pairs.select("id", *[distance.distance(m, F.col("vec"), F.col("w")).alias(m) for m in _D]), *_D)
+
+
+@register()
+def vector_half_precision(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return p.select("id", vectors.to_half(F.col("vec")).alias("half"), vectors.to_bfloat16(F.col("vec")).alias("bfloat"), vectors.to_base64(F.col("vec"), 8).alias("base64"))
+
+
+@register("SELECT vec_id AS id, true AS same FROM embeddings")
+def vector_rotation(spark, sf_dir):
+    """Turning by a rotation and back gives the vector again."""
+    import numpy as np
+
+    p = points(spark, sf_dir)
+    first = p.select(F.size("vec")).first()
+    turn = np.linalg.qr(np.random.default_rng(0).normal(size=(first[0],) * 2))[0]
+    back = p.withColumn("back", vectors.rotate(vectors.rotate(F.col("vec"), turn), turn, True))
+    return back.select("id", (distance.l2(F.col("vec"), F.col("back")) < 1e-18).alias("same"))
+
+
+# labels ---------------------------------------------------------------------------------------------------------------
+
+_EXPLODED = f"{_P}, e AS (SELECT id, unnest(labels) AS label FROM p)"
+
+
+@register(f"WITH {_EXPLODED} SELECT label, count(*) AS points FROM e GROUP BY label")
+def label_counts(spark, sf_dir):
+    return label_ops.label_counts(points(spark, sf_dir))
+
+
+@register(f"WITH {_EXPLODED} SELECT label, CAST(CASE WHEN label = 'all' THEN 0 ELSE row_number() OVER (PARTITION BY label = 'all' ORDER BY label) END AS INTEGER) AS label_id FROM (SELECT DISTINCT label FROM e)")
+def label_dictionary(spark, sf_dir):
+    return label_ops.label_dictionary(points(spark, sf_dir), UNIVERSAL)
+
+
+@register(f"WITH {_EXPLODED}, d AS (SELECT label, row_number() OVER (ORDER BY label) AS n FROM (SELECT DISTINCT label FROM e)) SELECT id, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS ids FROM e JOIN d USING (label) GROUP BY id")
+def label_encode(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return label_ops.encode_labels(p, label_ops.label_dictionary(p)).select("id", F.array_join(F.col("label_ids").cast("array<string>"), ",").alias("ids"))
+
+
+@register(f"WITH {_P} SELECT id, array_to_string(list_sort(labels), ',') AS labels FROM p")
+def label_decode(spark, sf_dir):
+    p = points(spark, sf_dir)
+    d = label_ops.label_dictionary(p, UNIVERSAL)
+    return label_ops.decode_labels(label_ops.encode_labels(p, d), d).select("id", F.array_join("labels", ",").alias("labels"))
+
+
+@register(f"WITH {_EXPLODED}, a AS (SELECT string_agg(label, ',' ORDER BY label) AS every FROM (SELECT DISTINCT label FROM e WHERE label <> 'all')) SELECT id, CASE WHEN list_contains(labels, 'all') THEN every ELSE array_to_string(labels, ',') END AS labels FROM p, a")
+def label_expand_universal(spark, sf_dir):
+    return label_ops.expand_universal(points(spark, sf_dir), UNIVERSAL).select("id", F.array_join("labels", ",").alias("labels"))
+
+
+@register(f"WITH {_P}, x AS (SELECT id, labels, unnest(generate_series(0, CAST(greatest(1, ceil(len(labels) / 2.0)) AS BIGINT) - 1)) AS r FROM p) SELECT id, CAST(r AS INTEGER) AS replica, array_to_string(labels[r * 2 + 1 : r * 2 + 2], ',') AS labels FROM x")
+def label_break_dense(spark, sf_dir):
+    return label_ops.break_dense_points(points(spark, sf_dir), 2).select("id", "replica", F.array_join("labels", ",").alias("labels"))
+
+
+@register(f"""WITH {_EXPLODED}, c AS (SELECT label, count(*) AS n FROM e GROUP BY label)
+SELECT (SELECT count(*) FROM p) AS points, (SELECT round(avg(len(labels)), 6) FROM p) AS labels_per_point, (SELECT round(avg(CASE WHEN len(labels) >= 2 THEN 1.0 ELSE 0.0 END), 6) FROM p) AS dense_share,
+count(*) AS labels, round(avg(n), 6) AS points_per_label, max(n) AS largest, min(n) AS smallest FROM c""")
+def label_statistics(spark, sf_dir):
+    return rounded(label_ops.label_statistics(points(spark, sf_dir), 2), "labels_per_point", "dense_share", "points_per_label")
+
+
+@register(f"""WITH {_EXPLODED}, c AS (SELECT count(*) AS n FROM e GROUP BY label), s AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS i, count(*) OVER () AS m FROM c), w AS (SELECT unnest(generate_series(0, 100, 5)) AS pc)
+SELECT CAST(pc AS DOUBLE) AS percentile, CAST(n AS DOUBLE) AS points FROM w JOIN s ON i = least(m - 1, CAST(floor(pc / 100.0 * m + 1e-9) AS BIGINT))""")
+def label_percentiles(spark, sf_dir):
+    return label_ops.label_count_percentiles(points(spark, sf_dir)).select(F.round("percentile", 6).alias("percentile"), "points")
+
+
+@register(f"WITH {_EXPLODED} SELECT label, count(*) AS points FROM e GROUP BY label ORDER BY points DESC, label LIMIT 3")
+def label_top(spark, sf_dir):
+    return label_ops.top_labels(points(spark, sf_dir), 3)
+
+
+@register(f"WITH {_P} SELECT id, list_contains(labels, 'by3') OR list_contains(labels, 'all') AS passes, list_contains(labels, 'by3') OR list_contains(labels, 'l1') OR list_contains(labels, 'all') AS shares FROM p")
+def label_filters(spark, sf_dir):
+    other = F.array(F.lit("by3"), F.lit("l1"))
+    return points(spark, sf_dir).select("id", label_fns.matches(F.col("labels"), "by3", UNIVERSAL).alias("passes"), label_fns.share_label(F.col("labels"), other, UNIVERSAL).alias("shares"))
+
+
+@register("SELECT lang AS label, count(*) AS points FROM documents GROUP BY lang")
+def label_counts_of_documents(spark, sf_dir):
+    """Labels from a text column, parsed as a line of labels."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), label_fns.parse_labels(F.col("lang")).alias("labels"))
+    return label_ops.label_counts(docs)
+
+
+@register(f"WITH {_EXPLODED}, c AS (SELECT label FROM e GROUP BY label) SELECT label, true AS member FROM c")
+def label_medoids(spark, sf_dir):
+    p = points(spark, sf_dir)
+    entries = stats.label_medoids(p)
+    return entries.join(p.select(F.col("id").alias("entry_id"), "labels"), "entry_id").select("label", F.array_contains("labels", F.col("label")).alias("member"))
+
+
+# aggregates -----------------------------------------------------------------------------------------------------------
+
+
+@register("""WITH u AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT i, avg(x) AS c FROM u GROUP BY i),
+d AS (SELECT vec_id AS id, sum((x - c) * (x - c)) AS d FROM u JOIN m USING (i) GROUP BY vec_id) SELECT id, round(d, 6) AS distance FROM d ORDER BY d, id LIMIT 1""")
+def medoid(spark, sf_dir):
+    return rounded(stats.medoid(points(spark, sf_dir)), "distance")
+
+
+@register(f"""WITH {_S}, c AS (SELECT {_NORM} AS n FROM p), s AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS i, count(*) OVER () AS m FROM c), w AS (SELECT unnest(generate_series(0, 100, 5)) AS pc)
+SELECT CAST(pc AS DOUBLE) AS percentile, round(n, 6) AS value FROM w JOIN s ON i = least(m - 1, CAST(floor(pc / 100.0 * m + 1e-9) AS BIGINT))""")
+def norm_percentiles(spark, sf_dir):
+    return rounded(stats.norm_percentiles(points(spark, sf_dir, True)), "percentile", "value")
+
+
+def _truth_and_found(spark, sf_dir):
+    truth = exact.exact_knn(points(spark, sf_dir), searched(spark, sf_dir), 2 * K)
+    return truth, truth.filter("id % 3 <> 0").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
+
+
+_TRUTH = f"{_P}, t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM (SELECT q.id AS qid, b.id AS id, {_D['l2']} AS d FROM p q JOIN p b ON q.id % 100 = 0))"
+
+
+@register(f"""WITH {_TRUTH}, f AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS r FROM t WHERE id % 3 <> 0 AND rank <= {2 * K})
+SELECT round(100.0 * count(*) / ((SELECT count(DISTINCT qid) FROM t) * {K}), 6) AS recall FROM f JOIN t USING (qid, id) WHERE f.r <= {K} AND t.rank <= {K}""")
+def recall_at_k(spark, sf_dir):
+    truth, found = _truth_and_found(spark, sf_dir)
+    return rounded(stats.recall(truth, found, K), "recall")
+
+
+@register(f"""WITH {_TRUTH}, g AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS a FROM t WHERE id % 2 = 0 AND rank <= {2 * K}), f AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS r FROM t WHERE id % 3 <> 0 AND rank <= {2 * K})
+SELECT round(100.0 * count(*) / ((SELECT count(DISTINCT qid) FROM g) * {K}), 6) AS recall FROM f JOIN g USING (qid, id) WHERE r <= {K} AND a <= {K}""")
+def recall_of_active(spark, sf_dir):
+    truth, found = _truth_and_found(spark, sf_dir)
+    return rounded(stats.recall_active(truth, found, K, points(spark, sf_dir).filter("id % 2 = 0")), "recall")
+
+
+@register(f"""WITH {_P}, t AS (SELECT q.id AS qid, b.id AS id FROM p q JOIN p b ON q.id % 100 = 0 WHERE {_D['l2']} <= 1.5), c AS (SELECT q.id AS qid, count(t.id) AS g, count(CASE WHEN t.id % 3 <> 0 THEN 1 END) AS h FROM p q LEFT JOIN t ON t.qid = q.id WHERE q.id % 100 = 0 GROUP BY q.id)
+SELECT round(avg(CASE WHEN g = 0 THEN 100.0 ELSE h * 100.0 / g END), 6) AS recall, round(sum(h) * 100.0 / sum(g), 6) AS ratio FROM c""")
+def recall_of_ranges(spark, sf_dir):
+    truth = exact.range_search(points(spark, sf_dir), searched(spark, sf_dir), 1.5)
+    return rounded(stats.range_recall(truth, truth.filter("id % 3 <> 0"), searched(spark, sf_dir)), "recall", "ratio")
+
+
+def _ring(spark, sf_dir):
+    """A graph by arithmetic on ids: each node points at the next and at three times its id, modulo the number of rows."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
+    n = e.count()
+    return e.select("id", F.array_distinct(F.array((F.col("id") + 1) % n, (F.col("id") * 3) % n)).alias("nbrs"))
+
+
+_RING = "n AS (SELECT count(*) AS n FROM embeddings), g AS (SELECT DISTINCT vec_id AS src, unnest([(vec_id + 1) % n, (vec_id * 3) % n]) AS dst FROM embeddings, n)"
+
+
+@register(f"WITH {_RING}, d AS (SELECT src, count(*) AS k FROM g GROUP BY src) SELECT CAST(max(k) AS INTEGER) AS max_degree, round(avg(k), 6) AS avg_degree, CAST(min(k) AS INTEGER) AS min_degree, count(CASE WHEN k < 2 THEN 1 END) AS low_degree FROM d")
+def graph_degrees(spark, sf_dir):
+    return rounded(stats.degree_statistics(_ring(spark, sf_dir)), "avg_degree")
+
+
+@register(f"""WITH RECURSIVE {_RING}, b(id, level) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT g.dst, level + 1 FROM b JOIN g ON g.src = b.id WHERE level < 31)
+SELECT level, count(*) AS nodes FROM (SELECT id, min(level) AS level FROM b GROUP BY id) GROUP BY level""")
+def graph_bfs_levels(spark, sf_dir):
+    return stats.bfs_levels(_ring(spark, sf_dir), spark.range(1))
+
+
+@register(f"WITH {_RING}, h AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g) WHERE src <> dst) SELECT src AS id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS nbrs FROM h GROUP BY src")
+def graph_stitch(spark, sf_dir):
+    g = _ring(spark, sf_dir)
+    back = graph.graph_of(graph.edges_of(g).select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return graph.stitch([g, back], g).select("id", F.array_join(F.col("nbrs").cast("array<string>"), ",").alias("nbrs"))
+
+
+@register(f"""WITH {_RING}, l AS (SELECT src, dst FROM g WHERE src % 10 <> 3), t AS (SELECT l.src, g.dst FROM l JOIN g ON g.src = l.dst WHERE l.dst % 10 = 3), u AS (SELECT src, dst FROM l WHERE dst % 10 <> 3 UNION SELECT src, dst FROM t WHERE dst % 10 <> 3)
+SELECT src AS id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS nbrs FROM u WHERE src <> dst GROUP BY src""")
+def graph_repair(spark, sf_dir):
+    """Deleting every id that ends in 3: neighbours of the deleted take their place."""
+    p = points(spark, sf_dir)
+    fixed = graph.repair(_ring(spark, sf_dir), p, p.filter("id % 10 = 3"), IndexConfig(64, degree=16))
+    return fixed.filter(F.size("nbrs") > 0).select("id", F.array_join(F.col("nbrs").cast("array<string>"), ",").alias("nbrs"))
+
+
+@register("SELECT dst AS id, count(*) AS visits FROM (WITH " + _RING + " SELECT dst FROM g) GROUP BY dst ORDER BY visits DESC, id LIMIT 20")
+def graph_hottest(spark, sf_dir):
+    return stats.hottest(graph.edges_of(_ring(spark, sf_dir)).select(F.col("src").alias("qid"), F.col("dst").alias("id")), 20)
+
+
+@register()
+def simulated_recall(spark, sf_dir):
+    return stats.simulate_aggregate_recall(spark, 5, 10, 4, 1_000)
+
+
+# clustering, quantisation, graphs and their searches: invariants that hold for every seed ------------------------------
+
+
+def _config(**options) -> IndexConfig:
+    return IndexConfig(64, degree=32, build_width=64, shard_rows=1_000, **options)
+
+
+@register("WITH c AS (SELECT vec_id - 1 AS c, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id BETWEEN 1 AND 8), d AS (SELECT e.vec_id AS id, c, list_distance(CAST(e.embedding AS DOUBLE[]), v) AS d FROM embeddings e, c), r AS (SELECT id, c, row_number() OVER (PARTITION BY id ORDER BY d, c) AS n FROM d) SELECT id, CAST(c AS INTEGER) AS shard FROM r WHERE n <= 2")
+def partition_two_replicas(spark, sf_dir):
+    """Rows dealt to the nearest two of eight given centres."""
+    import numpy as np
+
+    p = points(spark, sf_dir)
+    given = np.array([r["vec"] for r in p.filter("id between 1 and 8").orderBy("id").collect()])
+    return clustering.partition(p, given, 2).select("id", "shard")
+
+
+@register("SELECT count(*) AS rows, 2 AS replicas, true AS within_budget FROM embeddings")
+def partition_by_budget(spark, sf_dir):
+    p = points(spark, sf_dir)
+    centres, dealt = clustering.partition_for_budget(p, max(50, p.count() // 4), 2)
+    sizes = dealt.groupBy("shard").count().agg(F.sum("count").alias("n"), F.max("count").alias("m"))
+    n = p.count()
+    return sizes.select(F.lit(n).cast("long").alias("rows"), (F.col("n") / n).cast("int").alias("replicas"), (F.col("m") <= 1.5 * max(50, n // 4)).alias("within_budget"))
+
+
+@register("SELECT count(*) AS rows, 8 AS centres, true AS assigned_to_nearest FROM embeddings")
+def kmeans_clusters(spark, sf_dir):
+    p = points(spark, sf_dir)
+    centres = clustering.kmeans(p, 8, seed=3)
+    near = clustering.nearest_centres(p, centres)
+    table_of = clustering.centre_table(spark, centres)
+    best = near.join(table_of, F.col("near")[0] == F.col("shard")).withColumn("d", distance.l2(F.col("vec"), F.col("centre")))
+    least = F.array_min(F.array(*[distance.l2(F.col("vec"), F.array(*[F.lit(float(x)) for x in c])) for c in centres]))
+    return best.agg(F.count("*").alias("rows"), F.lit(len(centres)).alias("centres"), F.bool_and(F.col("d") <= least + 1e-9).alias("assigned_to_nearest"))
+
+
+@register("SELECT count(*) AS rows, 16 AS code_bytes, true AS beats_the_mean FROM embeddings")
+def product_quantisation(spark, sf_dir):
+    p = points(spark, sf_dir)
+    book = quantize.train_codebook(p, 16, seed=1)
+    codes = p.select("id", "vec", quantize.encode_column(F.col("vec"), book).alias("codes"))
+    error = quantize.quantisation_error(p, book).first()[0]
+    spread = p.agg(F.avg(distance.squared_norm(F.col("vec")))).first()[0]
+    return codes.agg(F.count("*").alias("rows"), F.max(F.length("codes")).alias("code_bytes"), F.lit(bool(error < 0.5 * spread)).alias("beats_the_mean"))
+
+
+@register("SELECT vec_id AS qid, true AS recalled FROM embeddings WHERE vec_id % 100 = 0")
+def two_stage_search(spark, sf_dir):
+    """A shortlist by codes, ranked by true distances, finds most of each query's ten nearest."""
+    p, q = points(spark, sf_dir), searched(spark, sf_dir)
+    book = quantize.train_codebook(p, 16, seed=1)
+    codes = p.select("id", quantize.encode_column(F.col("vec"), book).alias("codes"))
+    return _recalled(quantize.two_stage_search(p, codes, q, K, 200, book), exact.exact_knn(p, q, K), 7)
+
+
+def _recalled(found: DataFrame, truth: DataFrame, least: int) -> DataFrame:
+    hits = truth.select("qid", "id").join(found.select("qid", "id").withColumn("hit", F.lit(1)), ["qid", "id"], "left")
+    return hits.groupBy("qid").agg((F.count("hit") >= least).alias("recalled"))
+
+
+@register("SELECT count(*) AS nodes, true AS within_degree, true AS no_loops FROM embeddings")
+def graph_build(spark, sf_dir):
+    index = index_plans.Index.build(points(spark, sf_dir), _config())
+    g = index.graph()
+    return g.agg(F.count("*").alias("nodes"), (F.max(F.size("nbrs")) <= 32).alias("within_degree"), (~F.bool_or(F.array_contains("nbrs", F.col("id")))).alias("no_loops"))
+
+
+@register("SELECT vec_id AS qid, true AS recalled FROM embeddings WHERE vec_id % 100 = 0")
+def graph_search(spark, sf_dir):
+    p, q = points(spark, sf_dir), searched(spark, sf_dir)
+    index = index_plans.Index.build(p, _config())
+    return _recalled(index.search(q, K, 100, shards=8), exact.exact_knn(p, q, K), 8)
+
+
+@register("SELECT vec_id AS qid, true AS recalled, true AS matching FROM embeddings WHERE vec_id % 100 = 0")
+def graph_search_filtered(spark, sf_dir):
+    p, q = points(spark, sf_dir), searched(spark, sf_dir, labelled=True)
+    index = index_plans.Index.build(p, _config(universal_label=UNIVERSAL))
+    found = index.search(q, K, 100, shards=8)
+    fits = found.join(p.select("id", "labels"), "id").join(q.select("qid", "qlabel"), "qid").groupBy("qid").agg(F.bool_and(label_fns.matches(F.col("labels"), F.col("qlabel"), UNIVERSAL)).alias("matching"))
+    return _recalled(found, exact.exact_knn(p, q, K, universal=UNIVERSAL), 8).join(fits, "qid").select("qid", "recalled", "matching")
+
+
+@register("SELECT vec_id AS qid, true AS recalled FROM embeddings WHERE vec_id % 100 = 0")
+def graph_range_search(spark, sf_dir):
+    p, q = points(spark, sf_dir), searched(spark, sf_dir)
+    index = index_plans.Index.build(p, _config())
+    truth, found = exact.range_search(p, q, 1.5), index.range(q, 1.5, 128, 1024)
+    hits = truth.join(found.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left").groupBy("qid").agg((F.count("hit") >= 0.7 * F.count("*")).alias("recalled"))
+    return hits
+
+
+@register("SELECT count(*) AS nodes, true AS within_degree FROM embeddings")
+def graph_stitched_build(spark, sf_dir):
+    g = graph.build_per_label(points(spark, sf_dir), _config(universal_label=UNIVERSAL), 32)
+    return g.agg(F.count("*").alias("nodes"), (F.max(F.size("nbrs")) <= 32).alias("within_degree"))
+
+
+# storage and mutations ------------------------------------------------------------------------------------------------
+
+
+@register("SELECT vec_id AS id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS at, round(CAST(unnest(embedding) AS DOUBLE), 6) AS x FROM embeddings")
+def matrix_file_round_trip(spark, sf_dir):
+    """Rows written as one matrix file by order of id and read back in parallel; ids are row numbers, as in the table."""
+    import tempfile
+
+    path = f"{tempfile.mkdtemp(prefix='nearfield-')}/points.bin" if spark.sparkContext.master.startswith("local[") else f"{shared_dir(spark)}/points-{uuid.uuid4().hex}.bin"
+    files.write_matrix(points(spark, sf_dir), path)
+    return _long(files.read_matrix(spark, path).select("id", F.col("vec").cast("array<double>").alias("vec")))
+
+
+@register("SELECT vec_id AS id, round(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS norm2 FROM embeddings")
+def index_save_and_load(spark, sf_dir):
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    index_plans.Index.build(points(spark, sf_dir), _config()).save(path)
+    return rounded(stats.vector_norms(index_plans.Index.load(spark, path).points), "norm2")
+
+
+@register("""WITH l AS (SELECT CASE WHEN event_type = 'error' THEN user_id + 1 ELSE event_id + 1 END AS tag, event_type <> 'error' AS alive, event_id AS seq FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY seq DESC) AS n FROM l) SELECT tag, seq FROM r WHERE n = 1 AND alive""")
+def replay_events(spark, sf_dir):
+    return dynamic.replay(table(spark, sf_dir, "events"))
+
+
+@register("SELECT vec_id AS id FROM embeddings WHERE vec_id > (SELECT max(vec_id) FROM embeddings) - 100")
+def sliding_window(spark, sf_dir):
+    return dynamic.window_rows(points(spark, sf_dir), 100).select("id")
+
+
+@register(_knn_sql("l2", _P, "b.tag % 5 <> 0"))
+def dynamic_insert_delete_search(spark, sf_dir):
+    """Insert all points, delete each fifth tag, and search what is live."""
+    index = dynamic.DynamicIndex(spark, f"{shared_dir(spark)}/dynamic-{uuid.uuid4().hex}", IndexConfig(64, degree=32))
+    p = points(spark, sf_dir)
+    index.insert(p.select("tag", "vec", "labels"))
+    index.delete(p.filter("tag % 5 = 0").select("tag"))
+    return rounded(index.search(searched(spark, sf_dir), K).select("qid", "rank", (F.col("tag") - 1).alias("id"), "distance"), "distance")
+
+
+@register("SELECT 'success' AS status, count(*) FILTER (WHERE (vec_id + 1) % 5 <> 0) AS active, count(*) FILTER (WHERE (vec_id + 1) % 5 = 0) AS deleted FROM embeddings")
+def dynamic_consolidate(spark, sf_dir):
+    index = dynamic.DynamicIndex(spark, f"{shared_dir(spark)}/dynamic-{uuid.uuid4().hex}", IndexConfig(64, degree=32))
+    p = points(spark, sf_dir)
+    index.insert(p.select("tag", "vec", "labels"))
+    index.delete(p.filter("tag % 5 = 0").select("tag"))
+    return index.consolidate().select("status", "active", "deleted")
+
+
+@register("SELECT (vec_id + 1) AS tag FROM embeddings WHERE (vec_id + 1) % 7 <> 0")
+def active_tags(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return stats.active_tags(p, p.filter("tag % 7 = 0").select("tag"))
+
+
+@register("SELECT count(*) AS rows, 16 AS dim, true AS unit FROM customer")
+def random_points(spark, sf_dir):
+    n = table(spark, sf_dir, "customer").count()
+    p = point_ops.random_points(spark, n, 16, 1.0, 5)
+    return p.agg(F.count("*").alias("rows"), F.max(F.size("vec")).alias("dim"), F.bool_and(F.abs(distance.norm(F.col("vec")) - 1) < 1e-6).alias("unit"))
+
+
+@register("SELECT count(*) AS rows, true AS labelled FROM customer")
+def random_labels(spark, sf_dir):
+    n = table(spark, sf_dir, "customer").count()
+    p = point_ops.random_labels(spark, n, 20, "zipf", 5)
+    return p.agg(F.count("*").alias("rows"), (F.min(F.size("labels")) >= 1).alias("labelled"))
