@@ -7,7 +7,6 @@ the hashes. With the answers, a block builds the part of the automaton that its
 
 from __future__ import annotations
 
-import math
 import pickle
 import zlib
 from collections.abc import Iterator, Sequence
@@ -109,23 +108,39 @@ class Automaton:
         context = count.copy()
         context[START] = count[END]  # every training text begins once and ends once
         self.failure = np.log10(mu / (context + mu)).tolist()
-        some, first = np.unique(block.pair_at, return_index=True)
-        h, w, c = block.previous[first], block.words[first], pairs[some].astype(np.float64)
-        seen = c > 0
-        h, w, c = h[seen], w[seen], c[seen]
-        self.width = block.vocabulary
-        self.arcs = dict(zip((h * self.width + w).tolist(), np.log10((c + mu * once[w]) / (context[h] + mu)).tolist(), strict=True))
-
-    def score(self, words: Sequence[int]) -> float:
+        first = np.zeros(len(block.pair_keys), dtype=np.int64)
+        first[block.pair_at[::-1]] = np.arange(len(block.pair_at))[::-1]  # where each distinct pair first stands
+        state, word, seen = block.previous[first], block.words[first], pairs > 0
+        self.states, self.words, self.seen = state, word, seen
+        arc = np.log10((pairs + mu * once[word]) / (context[state] + mu))
+        failed = np.asarray(self.failure)[state] + np.asarray(self.root)[word]
+        self.weights = np.where(seen, arc, failed)
+
+    def arcs(self) -> dict[tuple[int, int], float]:
+        """The arcs between word states: (state, word) to weight; the word's own state follows."""
+        at = np.flatnonzero(self.seen)
+        return dict(zip(zip(self.states[at].tolist(), self.words[at].tolist(), strict=True), self.weights[at].tolist(), strict=True))
+
+    def walk(self, words: Sequence[int]) -> float:
         """One traversal from the start state: take the state's arc, or fail to the root and take its arc."""
-        arcs, failure, root, width = self.arcs, self.failure, self.root, self.width
+        arcs = self.arcs()
         state, total = START, 0.0
         for w in words:
-            weight = arcs.get(state * width + w)
-            total += failure[state] + root[w] if weight is None else weight
+            weight = arcs.get((state, w))
+            total += self.failure[state] + self.root[w] if weight is None else weight
             state = w
         return total
 
+    def walk_all(self, block: Block) -> list[float]:
+        """`walk` for every text of the block in one left-to-right pass.
+
+        The state that is carried is the word before, so each step's weight depends on its pair alone and was settled once
+        for all steps that repeat it.
+        """
+        if not len(block.words):
+            return []
+        return np.add.reduceat(self.weights[block.pair_at], np.concatenate([[0], block.ends[:-1]])).tolist()
+
 
 def _pack_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     ids, texts, size = [], [], 0
@@ -211,13 +226,17 @@ def score_documents(docs: DataFrame, mu: float = MU) -> DataFrame:
         ordered = replies.sort_values("bucket")
         words, pairs = (np.concatenate([_unplanes(d, "<u8") for d in ordered[kind]]) for kind in ("words", "pairs"))
         automaton = Automaton(block, words, pairs, tokens, types, mu)
-        known, flat, at, rows = automaton.count > 0, block.words.tolist(), 0, []
-        base = np.asarray(automaton.root)
-        for doc_id, n in zip(ids, block.lengths, strict=True):
-            own = block.words[at : at + n]
-            rows.append((doc_id, held_out(doc_id), n, int(np.count_nonzero(known[own])), tokens, math.fsum(base[own].tolist()), automaton.score(flat[at : at + n])))
-            at += n
-        out = pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        return out.astype({"doc_id": "Int64"})
+        starts = np.concatenate([[0], block.ends[:-1]])
+        return pd.DataFrame(
+            {
+                "doc_id": pd.array(ids, dtype="Int64"),
+                "held_out": [held_out(i) for i in ids],
+                "n_tokens": block.lengths,
+                "n_known": np.add.reduceat((automaton.count > 0)[block.words].astype(np.int64), starts),
+                "train_tokens": tokens,
+                "base_score": np.add.reduceat(np.asarray(automaton.root)[block.words], starts),
+                "score": automaton.walk_all(block),
+            }
+        )
 
     return blocks.select("block", "payload").groupBy("block").cogroup(answers.select("block", "bucket", "words", "pairs").groupBy("block")).applyInPandas(walk, SCORES)

@@ -396,6 +396,15 @@ def test_language_model(spark):
     assert language_model.score_documents(empty(spark)).count() == 0
 
 
+def test_automaton_walks_agree():
+    block = language_model.Block(["a b a c", "", "b b b A", "c a"])
+    words, pairs = block.counts(np.array([True, True, True, False]))
+    automaton = language_model.Automaton(block, words, pairs, 11, 4, 2.0)
+    starts = [0, *block.ends[:-1]]
+    one = [automaton.walk(block.words[a:b].tolist()) for a, b in zip(starts, block.ends, strict=True)]
+    assert np.allclose(one, automaton.walk_all(block), atol=1e-12)
+
+
 def test_language_model_beats_unigrams(spark, sf_dir):
     scored = [r for r in queries.op8_backoff_automaton(spark, sf_dir).collect() if r["held_out"]]
     assert sum(r["score"] for r in scored) > sum(r["base_score"] for r in scored)
