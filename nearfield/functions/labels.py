@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def parse_labels(line: Column) -> Column:
     """Labels of one line: what stands before a tab, without line ends, split at commas; empty parts go."""
     clean = F.regexp_replace(F.split_part(line, F.lit("\t"), F.lit(1)), "[\r\n]", "")
-    return F.filter(F.transform(F.split(clean, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(clean, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def matches(labels: Column, label: Column | str, universal: str | None = None) -> Column:
