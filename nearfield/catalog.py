@@ -15,6 +15,7 @@ from nearfield.operators import clustering, exact, graph, quantize, stats
 from nearfield.operators import labels as label_ops
 from nearfield.operators import points as point_ops
 from nearfield.plans import index as index_plans
+from nearfield.plans import report
 from nearfield.sources import files
 from nearfield.storage import shared_dir, table
 from nearfield.streaming import dynamic
@@ -572,3 +573,33 @@ def random_labels(spark, sf_dir):
     n = table(spark, sf_dir, "customer").count()
     p = point_ops.random_labels(spark, n, 20, "zipf", 5)
     return p.agg(F.count("*").alias("rows"), (F.min(F.size("labels")) >= 1).alias("labelled"))
+
+
+@register("SELECT vec_id AS qid, true AS recalled FROM embeddings WHERE vec_id % 100 = 0")
+def graph_built_on_codes(spark, sf_dir):
+    p, q = points(spark, sf_dir), searched(spark, sf_dir)
+    index = index_plans.Index.build(p, _config(), chunks=32, on_codes=True)
+    return _recalled(index.search(q, K, 150, shards=8), exact.exact_knn(p, q, K), 7)
+
+
+@register(f"""WITH RECURSIVE {_RING}, b(id, level) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT g.dst, level + 1 FROM b JOIN g ON g.src = b.id WHERE level < 5)
+SELECT id, min(level) AS level FROM b GROUP BY id""")
+def graph_nodes_near_entry(spark, sf_dir):
+    return report.nodes_near(_ring(spark, sf_dir), spark.range(1), 10_000, 5)
+
+
+@register("SELECT vec_id AS query_id, 10 AS k, vec_id + 1 AS tag FROM embeddings WHERE vec_id % 100 = 0")
+def json_answers(spark, sf_dir):
+    """Requests as JSON lines, answers as JSON; the nearest of a stored vector is itself, by its tag."""
+    p, q = points(spark, sf_dir), searched(spark, sf_dir)
+    index = index_plans.Index.build(p, _config())
+    lines = q.select(F.to_json(F.struct(F.col("qvec").alias("query"), F.lit(K).alias("k"), F.col("qid").alias("query_id"))).alias("value"))
+    body = F.from_json("response", "query_id long, k int, tags array<long>")
+    return report.answer(index, lines).select(body.alias("b")).select(F.col("b.query_id").alias("query_id"), F.col("b.k").alias("k"), F.col("b.tags")[0].alias("tag"))
+
+
+@register("SELECT 20 AS \"L\", true AS measured UNION ALL SELECT 100, true")
+def search_report(spark, sf_dir):
+    p, q = points(spark, sf_dir), searched(spark, sf_dir)
+    rows = report.sweep(index_plans.Index.build(p, _config()), q, exact.exact_knn(p, q, 2 * K), K, [5, 20, 100], 8, 70.0)
+    return rows.select("L", ((F.col("qps") > 0) & (F.col("hops") > 0) & (F.col("cmps") > 0) & (F.col("recall") > 50)).alias("measured"))

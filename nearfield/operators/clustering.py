@@ -125,6 +125,11 @@ def partition(points: DataFrame, centres: np.ndarray, replicas: int = 1) -> Data
     return rows.select(*points.columns, F.explode("near").alias("shard"))
 
 
+def shard_ids(points: DataFrame, centres: np.ndarray, replicas: int = 1) -> DataFrame:
+    """shard, id only; joining points on id gives a shard's rows back."""
+    return partition(points, centres, replicas).select("shard", "id")
+
+
 def estimate_shard_sizes(points: DataFrame, centres: np.ndarray, replicas: int = 1, share: float = 1.0, seed: int = 1) -> dict[int, int]:
     """Rows of each shard, from a sample of the given share."""
     counted = partition(sample_points(points, share, seed) if share < 1 else points, centres, replicas).groupBy("shard").count().collect()

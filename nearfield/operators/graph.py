@@ -55,7 +55,7 @@ def prune(ids: np.ndarray, d: np.ndarray, vectors: np.ndarray, degree: int, alph
 def build(vectors: np.ndarray, config: IndexConfig, labels: Sequence[frozenset] | None = None) -> list[np.ndarray]:
     """Out-neighbours of every row of one shard.
 
-    Candidates are a row's nearest by exact distances, nearest of its own labels, and a few rows at random that keep distant parts
+    Candidates are a row's nearest by exact distances, the nearest that share one of its labels, and a few rows at random that keep distant parts
     connected; pruning, reverse edges and a second pruning of overfull nodes follow.
     """
     n = len(vectors)
@@ -66,13 +66,10 @@ def build(vectors: np.ndarray, config: IndexConfig, labels: Sequence[frozenset]
     out: list[list[int]] = []
     universal = config.universal_label
 
-    def shares(a: frozenset, b: frozenset) -> bool:
-        return bool(a & b) or (universal is not None and (universal in a or universal in b))
-
     by_label: dict[str, np.ndarray] = {}
     if labels is not None:
         for label in set().union(*labels) if labels else ():
-            by_label[label] = np.flatnonzero([shares(frozenset([label]), h) for h in labels])
+            by_label[label] = np.flatnonzero([label in h or universal in h or label == universal for h in labels])
     for s in range(0, n, 512):
         block = D.matrix(metric, x, x[s : s + 512])
         for r, row in enumerate(block):
@@ -86,8 +83,6 @@ def build(vectors: np.ndarray, config: IndexConfig, labels: Sequence[frozenset]
                     pools.append(own[np.argsort(row[own], kind="stable")[: config.label_width]])
             ids = np.unique(np.concatenate(pools))
             ids = ids[ids != i]
-            if labels is not None:
-                ids = ids[[shares(labels[i], labels[j]) for j in ids]] if len(ids) else ids
             out.append(prune(ids, row[ids], x, config.degree, config.alpha, metric, config.pool, labels, config.saturate))
     incoming: list[list[int]] = [[] for _ in range(n)]
     for i, nbrs in enumerate(out):

@@ -40,9 +40,10 @@ class Index:
     # building ---------------------------------------------------------------------------------------------------------
 
     @classmethod
-    def build(cls, points: DataFrame, config: IndexConfig, chunks: int | None = None, optimised: bool = False) -> Index:
+    def build(cls, points: DataFrame, config: IndexConfig, chunks: int | None = None, optimised: bool = False, on_codes: bool = False) -> Index:
         """points (id, vec[, tag][, labels]) to an index; with chunks, also product-quantised codes.
 
+        on_codes links the graph by the distances of what the codes stand for; searches still use the true vectors. Products have no such build.
         Rows whose vector is null, of the wrong length or not finite are left out. As many shards are made as keep each within
         config.shard_rows; every row goes to its config.replicas nearest shards.
         """
@@ -51,16 +52,26 @@ class Index:
             F.col("id").cast("long").alias("id"), (F.col("tag").cast("long") if "tag" in have else F.col("id").cast("long") + 1).alias("tag"), F.col("vec").cast("array<double>").alias("vec"), *(["labels"] if "labels" in have else [])
         )
         rows = materialise(rows, "points")
+        if on_codes and (chunks is None or config.metric == "mips"):
+            raise ValueError("a build on codes needs chunks and another metric than mips")
         if config.max_vectors is not None and rows.count() > config.max_vectors:
             raise ValueError(f"more than {config.max_vectors} vectors")
         shaped = rows.withColumn("vec", V.normalise(F.col("vec"))) if config.metric == "cosine" else rows
         centres, dealt = partition_for_budget(shaped, config.shard_rows, config.replicas, config.seed)
         if dealt.schema["shard"].dataType.simpleString() != "int":
             dealt = dealt.withColumn("shard", F.col("shard").cast("int"))
-        shards = materialise(graph.build_shards(dealt, config), "shards")
-        index = cls(config, rows, shards, centres)
+        book = None
         if chunks is not None:
-            index.book = quantize.train_codebook(rows, chunks, config.metric if config.metric != "cosine" else "l2", optimised, config.seed)
+            book = quantize.train_codebook(rows, chunks, config.metric if config.metric != "cosine" else "l2", optimised, config.seed)
+        if on_codes:
+            coarse = quantize.decode_column(quantize.encode_column(F.col("vec"), book), book)
+            linked = materialise(graph.build_shards(dealt.withColumn("vec", coarse), config), "linked")
+            shards = materialise(linked.drop("vec").join(shaped.select("id", "vec"), "id").select(*linked.columns), "shards")
+        else:
+            shards = materialise(graph.build_shards(dealt, config), "shards")
+        index = cls(config, rows, shards, centres)
+        if book is not None:
+            index.book = book
             index.codes = materialise(rows.select("id", quantize.encode_column(F.col("vec"), index.book).alias("codes")), "codes")
         return index
 

@@ -55,3 +55,16 @@ def global_rank(df: DataFrame, order: list, name: str = "_rank") -> DataFrame:
         total += n
     first = spark.createDataFrame(starts, "_nf_p long, _nf_first long")
     return placed.join(F.broadcast(first), "_nf_p").withColumn(name, F.col("_nf_first") + F.col("_nf_i")).drop("_nf_p", "_nf_i", "_nf_first")
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where it lies, whatever their working folder.
+
+    On a cluster, ship it as any other dependency (--py-files).
+    """
+    from pathlib import Path
+
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
+    if root not in paths:
+        env["PYTHONPATH"] = ":".join([*paths, root])

@@ -408,3 +408,36 @@ def test_random_points_repeat(spark):
     assert a.exceptAll(P.random_points(spark, 40, 4, 2.0, 3).repartition(3)).count() == 0
     assert P.random_points(spark, 10, 4, None, 1, "int8").schema["vec"].dataType.simpleString() == "array<tinyint>"
     assert random.Random(1)  # seeds are given everywhere
+
+
+def test_shell(spark, data, tmp_path, capsys):
+    from nearfield.__main__ import main
+
+    _, _, df, _ = data
+    t = lambda name: str(tmp_path / name)
+    df.select("id", "vec").write.parquet(t("p"))
+    main(["convert", t("p"), t("a.fbin")])
+    main(["convert", t("a.fbin"), t("a.fvecs")])
+    main(["build", t("a.fvecs"), t("ix"), "-R", "16", "-L", "32"])
+    df.filter("id < 20").select("id", "vec").write.parquet(t("q"))
+    main(["truth", t("p"), t("q"), t("gt"), "-k", "5"])
+    main(["search", t("ix"), t("q"), t("gt"), "-k", "5", "-L", "40", "--fail-below", "70"])
+    main(["recall", t("gt"), t("gt"), "-k", "5"])
+    main(["norms", t("p")])
+    assert "100.0" in capsys.readouterr().out
+    with pytest.raises(RuntimeError):
+        main(["search", t("ix"), t("q"), t("gt"), "-k", "5", "-L", "5", "--fail-below", "101"])
+
+
+def test_inspection_and_near_nodes(data):
+    from nearfield.plans.report import inspect, nodes_near
+
+    _, _, df, _ = data
+    index = Index.build(df, IndexConfig(12, degree=16, build_width=32, shard_rows=300), chunks=6, on_codes=True)
+    flat = inspect(index)
+    assert flat["nodes"].count() == 600 and flat["codes"].count() == 600
+    assert flat["edges"].count() == flat["nodes"].agg(F.sum("degree")).first()[0]
+    near = nodes_near(index.graph(), df.filter("id = 3"), 10_000)
+    assert near.filter("level = 0").first()["id"] == 3 and near.count() > 500
+    with pytest.raises(ValueError):
+        Index.build(df, IndexConfig(12), on_codes=True)
