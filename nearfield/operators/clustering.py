@@ -140,21 +140,39 @@ def partition_for_budget(points: DataFrame, rows: int, replicas: int = 2, seed:
     """Centres and sharded points such that no shard is expected to hold more than `rows` rows.
 
     One shard if all rows fit. Otherwise the number of parts starts at `first`, or where an even split would fit, and grows by `step` until the
-    largest estimate fits; sizes are estimated on a bounded sample.
+    largest estimate fits; sizes are estimated on a bounded sample. Where that isn't enough, as with a great number of equal
+    vectors or more rows than the sample can tell apart, a centre's rows are dealt by a hash of their id to several shards, and the centre
+    stands in the result once for each of them.
     """
     n = points.count()
     if n <= rows:
         return np.zeros((1, len(points.select("vec").first()[0]) if n else 0)), points.withColumn("shard", F.lit(0))
     replicas = min(replicas, first)
     sample = bounded_sample(points, seed=seed)
-    parts = max(first, -(-n * replicas // rows))
+    parts = min(max(first, -(-n * replicas // rows)), max(first, len(sample) // 8))
     while True:
-        centres, at, _ = lloyd(sample, seed_centres(sample, parts, seed))
-        order = np.argsort(matrix("l2", centres, sample), axis=1, kind="stable")[:, :replicas]
-        largest = np.bincount(order.ravel(), minlength=len(centres)).max() * n / len(sample)
-        if largest <= rows or parts >= len(sample) // 2:
-            return centres, partition(points, centres, replicas)
-        parts += max(step, parts // 4)
+        centres, _, _ = lloyd(sample, seed_centres(sample, parts, seed))
+        centres = np.unique(centres, axis=0)
+        near = np.argsort(matrix("l2", centres, sample), axis=1, kind="stable")[:, : min(replicas, len(centres))]
+        sizes = np.bincount(near.ravel(), minlength=len(centres)) * n / len(sample)
+        if sizes.max() <= rows or parts >= len(sample) // 8 or len(centres) < parts:
+            break
+        parts = min(parts + max(step, parts // 4), max(first, len(sample) // 8))
+    copies = np.maximum(1, np.ceil(sizes / rows)).astype(np.int64) if sizes.max() > 1.25 * rows else np.ones(len(centres), dtype=np.int64)
+    start = np.concatenate([[0], np.cumsum(copies)[:-1]])
+    dealt = partition(points, centres, replicas)
+    if (copies > 1).any():
+        table = points.sparkSession.createDataFrame([(i, int(a), int(c)) for i, (a, c) in enumerate(zip(start, copies, strict=True))], "shard int, _first int, _copies int")
+        dealt = dealt.join(F.broadcast(table), "shard").withColumn("shard", (F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_copies"))).cast("int")).select(*points.columns, "shard")
+    return np.repeat(centres, copies, axis=0), dealt
+
+
+def shards_of(vectors: np.ndarray, centres: np.ndarray, parts: int) -> list[list[int]]:
+    """For each vector the shards of its `parts` nearest centres, all copies of each."""
+    unique, at = np.unique(centres, axis=0, return_inverse=True)
+    members = [np.flatnonzero(at == i) for i in range(len(unique))]
+    order = np.argsort(matrix("l2", unique, vectors), axis=1, kind="stable")[:, :parts]
+    return [np.concatenate([members[c] for c in row]).tolist() for row in order]
 
 
 def centre_table(spark, centres: np.ndarray) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.config import check_metric, check_positive
@@ -66,12 +66,11 @@ class Codebook:
     def tables(self, queries: np.ndarray, metric: str = "l2") -> np.ndarray:
         """Partial distances of each query to each centre of each chunk: (queries, chunks, centres)."""
         q = np.asarray(queries, dtype=np.float64)
-        if metric == "mips":
-            pivots = self.pivots if self.rotation is None else self.pivots
+        if metric == "mips":  # codebooks for products aren't centred
             x = q if self.rotation is None else q @ self.rotation
         else:
-            pivots, x = self.pivots, self.prepare(q)
-        parts = [D.matrix(metric if metric == "mips" else "l2", pivots[:, a:b], x[:, a:b]) for a, b in zip(self.bounds, self.bounds[1:], strict=False)]
+            x = self.prepare(q)
+        parts = [D.matrix(metric if metric == "mips" else "l2", self.pivots[:, a:b], x[:, a:b]) for a, b in zip(self.bounds, self.bounds[1:], strict=False)]
         return np.stack(parts, axis=1)
 
     def look_up(self, tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -192,7 +191,3 @@ def quantisation_error(points: DataFrame, book: Codebook) -> DataFrame:
     rebuilt = points.withColumn("_r", decode_column(encode_column(F.col("vec"), book), book))
     return rebuilt.agg(F.avg(D.l2(F.col("vec"), F.col("_r"))).alias("error"))
 
-
-def best_candidates(found: DataFrame, n: int) -> DataFrame:
-    w = Window.partitionBy("qid").orderBy("distance", "id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)

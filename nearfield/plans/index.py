@@ -6,13 +6,13 @@ import json
 from dataclasses import asdict, dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearfield.config import IndexConfig, check_metric, search_width
+from nearfield.config import IndexConfig, search_width
 from nearfield.functions import labels as L
 from nearfield.functions import vectors as V
-from nearfield.operators import exact, graph, labels, quantize, search
+from nearfield.operators import exact, graph, quantize, search
 from nearfield.operators.clustering import centre_table, partition_for_budget
 from nearfield.storage import materialise
 
@@ -88,7 +88,7 @@ class Index:
         """As search, with tag in place of id and, if asked for, the vector; hidden points (tag 0) aren't returned."""
         found = self.search(queries, width, width)
         rows = found.join(self.points.filter(F.col("tag") != 0).select("id", "tag", *(["vec"] if with_vectors else [])), "id")
-        best = exact.Window.partitionBy("qid").orderBy("distance" if self.config.metric != "mips" else F.desc("distance"), "id")
+        best = Window.partitionBy("qid").orderBy("distance" if self.config.metric != "mips" else F.desc("distance"), "id")
         return rows.withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k).select("qid", "rank", "tag", "distance", *(["vec"] if with_vectors else []))
 
     def exact(self, queries: DataFrame, k: int) -> DataFrame:
@@ -182,5 +182,3 @@ def entry_points(index: Index) -> DataFrame:
 
     return label_medoids(index.points, index.config.seed)
 
-
-__all__ = ["Index", "check_metric", "choose_kernel", "entry_points", "filtered_results", "labels", "requests", "respond"]

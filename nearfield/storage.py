@@ -19,14 +19,26 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; its file system removes it when the application ends."""
+    path = f"{shared_dir(spark)}/nearfield-{spark.sparkContext.applicationId}"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        system.mkdirs(where)
+        system.deleteOnExit(where)
+    return path
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
 
     Lost executors then cost a reread instead of a recomputation, and every later use sees the same rows.
-    An empty df keeps its schema.
+    An empty df keeps its schema. The tables go when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/nearfield/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -192,6 +192,16 @@ def test_clustering(spark, data):
     assert zero[1][0] == 0.0
 
 
+def test_equal_vectors_are_dealt_to_several_shards(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(400)] + [(400 + i, v.tolist()) for i, v in enumerate(cloud(200, 2))]
+    df = spark.createDataFrame(rows, "id long, vec array<float>")
+    centres, dealt = clustering.partition_for_budget(df, 100, 1)
+    assert dealt.count() == 600 and dealt.groupBy("shard").count().agg(F.max("count")).first()[0] <= 150
+    index = Index.build(df, IndexConfig(2, degree=8, build_width=16, shard_rows=100, replicas=1))
+    q = spark.createDataFrame([(0, [1.0, 2.0])], "qid long, qvec array<float>")
+    assert [r["distance"] for r in index.search(q, 3, 40, shards=2).collect()] == [0.0] * 3  # pruning keeps few edges between equal rows
+
+
 def test_distributed_kmeans_matches_memory(data, monkeypatch):
     _, _, df, _ = data
     monkeypatch.setattr(clustering, "SEEDING_ROWS", 100)
