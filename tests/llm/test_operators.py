@@ -470,3 +470,43 @@ def test_urls(spark):
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.url_verdicts(df).collect()}
     assert got == {i: c[1:] for i, c in enumerate(cases)}
     assert url_filter.url_verdicts(df.limit(0)).count() == 0
+
+
+# very long texts, and many of everything --------------------------------------------------------------------------------
+
+
+def test_one_very_long_text(spark):
+    """Two megabytes of text with a secret at its end, beside short ones: whole texts count everywhere."""
+    words = [f"w{i % 977}x{i % 31}" for i in range(200_000)]
+    long = " ".join(words) + ' token="abcdefgh12345"\n' + "é" * 70_000 + " " * 30_000 + "end"
+    docs = spark.createDataFrame([doc(1, long), doc(2, PROSE), doc(3, long)], SCHEMA)
+    q = {r["doc_id"]: r for r in fertility.quality(docs).collect()}
+    assert q[1]["n_words"] == len(WORD.findall(long)) and q[1][1:] == q[3][1:]
+    e = bpe.codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    got = {r["doc_id"]: bytes(r["ids"]) for r in bpe.encode_documents(docs).collect()}
+    assert got[1] == got[3] and e.decode(np.frombuffer(got[1], "<u4").tolist()) == long.encode()
+    assert got[1] == bpe.to_bytes(e.encode(long))
+    pieces = packing.pack_documents(docs).collect()
+    ends = {i: max(r["start"] + r["length"] for r in pieces if r["doc_id"] == i) for i in (1, 2, 3)}
+    assert ends[1] == ends[3] == len(bpe.codec(public_tokenizers.path("byte_bpe_50k.json")).encode(long)) + 1
+    same = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
+    assert same[3]["component_id"] == 1 and same[1]["fingerprint"] == f"{brute_fingerprint(long):016x}"
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.digest_spans(secret_scan.secret_spans(docs)).collect()}
+    assert spans[1] == spans[3] == brute_spans(long) and spans[1].startswith("assign:")
+    scored = {r["doc_id"]: r for r in language_model.score_documents(docs).collect()}
+    assert scored[1]["n_tokens"] == len(WORD.findall(long)) + 1 and scored[1]["score"] == scored[3]["score"]
+
+
+def test_many_secrets_in_one_text(spark):
+    text = "\n".join(f"token = value{i:08d}" for i in range(3_000))
+    docs = spark.createDataFrame([doc(1, text)], SCHEMA)
+    assert secret_scan.digest_spans(secret_scan.secret_spans(docs)).first()["spans"] == brute_spans(text)
+    assert secret_scan.redact(docs).first()["text"] == "\n".join([secret_scan.REDACTED] * 3_000)
+
+
+def test_a_long_conversation(spark):
+    made = [(1, i, "user" if i % 3 else "assistant", f"turn {i} <next>") for i in range(2_000)]
+    df = spark.createDataFrame(made, "conv_id long, turn long, role string, text string")
+    r = chat_format.digest_conversations(chat_format.format_conversations(df)).first()
+    assert r["n_turns"] == 2_000 and r["turns_sha256"] == hashlib.sha256("".join(f"{b}\n{t}\n" for _, _, b, t in made).encode()).hexdigest()
+    assert r["loss_sha256"] == hashlib.sha256("".join(t for _, _, b, t in made if b == "assistant").encode()).hexdigest()
