@@ -28,20 +28,44 @@ HOT = 256
 BLOCK = 65_536  # shingles counted at once
 
 
-def fingerprint(text: str | None, size: int = 3, seed: int = SEED) -> int:
-    """Signed 64-bit integer whose bits are set where over half of the shingles' XXH64 have them; 0 without words."""
-    import xxhash
-
+def _shingles(text: str | None, size: int) -> list[str]:
+    """Runs of `size` words in lower case, repeats included; the whole sequence if there are fewer words, nothing without any."""
     words = words_of(lower_ascii(text or ""))
     if not words:
-        return 0
-    shingles = [" ".join(s) for s in zip(*[words[i:] for i in range(size)], strict=False)] or [" ".join(words)]
+        return []
+    return [" ".join(s) for s in zip(*[words[i:] for i in range(size)], strict=False)] or [" ".join(words)]
+
+
+def _another(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of a family of hashes made from one; the first is the hash itself."""
+    if not k:
+        return hashes
+    x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint_family(text: str | None, size: int = 3, seed: int = SEED, n: int = 1) -> list[int]:
+    """n signed 64-bit integers whose bits are set where over half of the shingles' hashes have them; 0 without words.
+
+    The first is of the shingles' XXH64, the others of hashes made from it.
+    """
+    import xxhash
+
+    shingles = _shingles(text, size)
+    if not shingles:
+        return [0] * n
     hashed = xxhash.xxh64_intdigest
-    ones = np.zeros(64, dtype=np.int64)
+    ones = np.zeros((n, 64), dtype=np.int64)
     for at in range(0, len(shingles), BLOCK):
-        block = np.array([hashed(s, seed) for s in shingles[at : at + BLOCK]], dtype=np.uint64).astype(">u8")
-        ones += np.unpackbits(block.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(shingles)).view(">i8")[0])
+        block = np.array([hashed(s, seed) for s in shingles[at : at + BLOCK]], dtype=np.uint64)
+        for k in range(n):
+            ones[k] += np.unpackbits(_another(block, k).astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(shingles), axis=1).view(">i8")[:, 0].tolist()
+
+
+def fingerprint(text: str | None, size: int = 3, seed: int = SEED) -> int:
+    return fingerprint_family(text, size, seed)[0]
 
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = SEED) -> DataFrame:
@@ -180,12 +204,77 @@ def near_duplicates(docs: DataFrame, size: int = 3, seed: int = SEED, hot: int =
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 3, seed: int = SEED, hot: int = HOT) -> DataFrame:
-    """The rows of docs that carry the least doc_id of their group, one row for each such id, with all their columns.
+#: Fingerprints of a document in `similar_groups`, words of the shingles that its links are verified on, and their least similarity.
+FAMILY, VERIFY_WORDS, SIMILARITY = 3, 5, 0.8
+
+
+def shingle_set(text: str | None, size: int = VERIFY_WORDS) -> bytes:
+    """Sorted distinct 64-bit hashes of the text's shingles."""
+    import xxhash
+
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in _shingles(text, size)], dtype="<u8")).tobytes()
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Of two shingle sets; two empty ones are equal."""
+    x, y = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def verified(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY, size: int = VERIFY_WORDS) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose whole texts have a Jaccard similarity of at least `similarity` over shingles of `size` words.
+
+    Only documents in pairs have their shingles made.
+    """
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+
+    def make():
+        return lambda doc_id, text: (doc_id, shingle_set(text, size))
+
+    sets = map_rows(docs.select("doc_id", text_or_empty().alias("text")).join(ids, "doc_id", "left_semi"), make, "doc_id long, shingles binary")
+    sets = materialise(sets.groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "shingles")
+
+    @F.pandas_udf("double")
+    def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in batches:
+            yield pd.Series([jaccard(i, j) for i, j in zip(x, y, strict=True)], dtype="float64")
+
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.filter(similar("x", "y") >= similarity).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, n: int = FAMILY, similarity: float = SIMILARITY, size: int = 3, seed: int = SEED, hot: int = HOT) -> DataFrame:
+    """node, component_id: groups of documents that chains of verified links connect, each named by its least doc_id.
+
+    Documents with equal fingerprints in the whole family are one node, the least of them. Nodes are candidates if one fingerprint of the family
+    differs in three bits at most (near copies that one fingerprint misses another often meets), and linked if their five-word
+    shingles have a Jaccard similarity of 0.8 or more. Under keys with over `hot` rows, candidates are those that connect the fingerprints, not all pairs.
+    """
+
+    def make():
+        return lambda doc_id, text: (doc_id, fingerprint_family(text, size, seed, n))
+
+    fps = map_rows(docs.select("doc_id", text_or_empty().alias("text")), make, "doc_id long, fps array<long>")
+    nodes = materialise(fps.groupBy("fps").agg(F.min("doc_id").alias("node")), "nodes")
+    pairs = None
+    for k in range(n):
+        own = nodes.select(F.col("fps")[k].alias("fp"), "node")
+        first = materialise(own.groupBy("fp").agg(F.min("node").alias("node")), "first")
+        same = own.join(first.select("fp", F.col("node").alias("b")), "fp").filter(F.col("node") != F.col("b")).select(F.col("b").alias("a"), F.col("node").alias("b"))
+        found = materialise(links(first, hot).unionByName(same), "pairs")
+        pairs = found if pairs is None else pairs.unionByName(found)
+    fine = materialise(verified(docs, pairs.distinct(), similarity), "verified")
+    named = nodes.join(components(fine), "node", "left")
+    return named.select("node", F.coalesce("component", "node").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, n: int = FAMILY, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs that carry the least doc_id of their group (see similar_groups), one row for each such id, with all their columns.
 
     Rows with a null doc_id can't be compared by it and stay.
     """
-    found = near_duplicates(docs.filter("doc_id is not null"), size, seed, hot)
-    kept = materialise(found.filter("doc_id = component_id").select("doc_id").distinct(), "kept")
+    found = similar_groups(docs.filter("doc_id is not null"), n, similarity)
+    kept = materialise(found.filter("node = component_id").select(F.col("node").alias("doc_id")).distinct(), "kept")
     named = docs.join(kept, "doc_id", "left_semi").withColumn("_nf_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")))
     return named.filter("_nf_n = 1").drop("_nf_n").unionByName(docs.filter("doc_id is null"))

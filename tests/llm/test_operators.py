@@ -247,9 +247,45 @@ def test_near_duplicates(spark):
     want = brute_components(range(len(t)), [(i, j) for i in fps for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 3])
     least = {c: min(t[n][0] for n in want if want[n] == c and t[n][0] is not None) for c in set(want.values())}
     assert got == collections.Counter((t[n][0], f"{fps[n]:016x}", least[want[n]]) for n in want)
-    kept = simhash.keep_one(awkward(spark))
-    assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == sorted({least[c] for c in least})
-    assert kept.columns == awkward(spark).columns and simhash.near_duplicates(empty(spark)).count() == 0
+    assert simhash.near_duplicates(empty(spark)).count() == 0
+
+
+def five(text):
+    w = WORD.findall((text or "").translate(LOWER))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("hot", [256, 3])
+def test_similar_groups(spark, hot):
+    rng, made = random.Random(8), []
+    for g in range(12):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.choice([60, 150, 400]))]
+        for _ in range(6):
+            copy = list(words)
+            for _ in range(rng.choice([0, 1, 1, 3, 8])):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            made.append((1000 + len(made) * 7 % 997, " ".join(copy)))
+    docs = spark.createDataFrame([doc(i, t) for i, t in made] + [doc(5, ""), doc(4, None)], SCHEMA)
+    texts_of = {r["doc_id"]: r["text"] for r in docs.collect()}
+    fams = {i: simhash.fingerprint_family(t, n=3) for i, t in texts_of.items()}
+    sets, ids = {i: five(t) for i, t in texts_of.items()}, sorted(texts_of)
+    near = [(a, b) for a in ids for b in ids if a < b and any(bin((x ^ y) % 2**64).count("1") <= 3 for x, y in zip(fams[a], fams[b], strict=True)) and similarity(sets[a], sets[b]) >= 0.8]
+    want = brute_components(ids, near)
+    got = {r["node"]: r["component_id"] for r in simhash.similar_groups(docs, hot=hot).collect()}
+    if hot == 256:
+        assert got == {i: want[i] for i in got} and {want[i] for i in ids} == set(got.values())
+        kept = simhash.keep_one(docs)
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values())) and kept.columns == docs.columns
+        truly = brute_components(ids, [(a, b) for a in ids for b in ids if a < b and similarity(sets[a], sets[b]) >= 0.8])
+        assert len(set(want.values())) <= 1.5 * len(set(truly.values()))
+    for i, c in got.items():  # no group holds what isn't connected
+        assert want[i] == want[c] or hot < 256
+    assert simhash.keep_one(empty(spark)).count() == 0
+    assert sorted(r["doc_id"] or 0 for r in simhash.keep_one(awkward(spark)).collect()).count(5) <= 1
 
 
 # 5 -------------------------------------------------------------------------------------------------------------------

@@ -17,7 +17,7 @@ def test_stages_match_their_operators(spark):
             kept = {(r["doc_id"]) for r in fertility.quality(docs).collect() if r["kept"]}
             assert {r["doc_id"] for r in out.collect()} == kept
         elif name == "near-dedup":
-            found = simhash.near_duplicates(docs.filter("doc_id is not null")).collect()
+            found = simhash.similar_groups(docs.filter("doc_id is not null")).collect()
             assert {r["doc_id"] for r in out.collect() if r["doc_id"] is not None} == {r["component_id"] for r in found}
         elif name == "secret scan":
             assert not any(r["findings"] for r in secret_scan.secret_spans(out).collect())
