@@ -129,9 +129,9 @@ def _key_rows(nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, keys, home = keys_of(batch["fp"].to_numpy())
-            yield pd.DataFrame({"key": keys, "fp": batch["fp"].to_numpy()[rows], "node": batch["node"].to_numpy()[rows], "home": home})
+            yield pd.DataFrame({"key": keys, "fp": batch["fp"].to_numpy()[rows], "home": home})
 
-    return nodes.select("fp", "node").mapInPandas(run, "key long, fp long, node long, home boolean")
+    return nodes.select("fp").mapInPandas(run, "key long, fp long, home boolean")
 
 
 def _ball(kind: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +158,7 @@ def _hot_links(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, fps, nodes = (batch[c].to_numpy() for c in ("key", "fp", "node"))
+            keys, fps = batch["key"].to_numpy(), batch["fp"].to_numpy()
             for kind in np.unique(keys >> 32):
                 at = np.flatnonzero(keys >> 32 == kind)
                 one, two = _ball(int(kind))
@@ -167,12 +167,12 @@ def _hot_links(rows: DataFrame) -> DataFrame:
                 for s in range(0, len(at), step):
                     i = np.repeat(at[s : s + step], len(masks))
                     m = len(i) // len(masks)
-                    yield pd.DataFrame({"key": keys[i], "word": fps[i] ^ np.tile(masks, m), "fp": fps[i], "node": nodes[i], "inner": np.tile(inner, m)})
+                    yield pd.DataFrame({"key": keys[i], "word": fps[i] ^ np.tile(masks, m), "fp": fps[i], "inner": np.tile(inner, m)})
 
-    balls = rows.select("key", "fp", "node").distinct().mapInPandas(run, "key long, word long, fp long, node long, inner boolean")
-    centre = balls.groupBy("key", "word").agg(F.min(F.when(F.col("inner"), F.struct("node", "fp"))).alias("c"), F.count("*").alias("n")).filter("c is not null and n > 1")
-    near = balls.join(centre, ["key", "word"]).filter((F.col("node") != F.col("c.node")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("c.fp"))) <= MAX_BITS))
-    return near.select(F.col("node").alias("a"), F.col("c.node").alias("b"))
+    balls = rows.select("key", "fp").distinct().mapInPandas(run, "key long, word long, fp long, inner boolean")
+    centre = balls.groupBy("key", "word").agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("c"), F.count("*").alias("n")).filter("c is not null and n > 1")
+    near = balls.join(centre, ["key", "word"]).filter((F.col("fp") != F.col("c")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("c"))) <= MAX_BITS))
+    return near.select(F.col("fp").alias("fa"), F.col("c").alias("fb"))
 
 
 def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
@@ -183,11 +183,14 @@ def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     rows = materialise(_key_rows(nodes), "keys")
     heavy = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key"), "hot")
     usual = rows.join(heavy, "key", "left_anti")
-    a, b = usual.filter("home").select("key", F.col("fp").alias("fa"), F.col("node").alias("a")), usual.select("key", F.col("fp").alias("fb"), F.col("node").alias("b"))
-    near = a.join(b, "key").filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= MAX_BITS)).select("a", "b")
+    a, b = usual.filter("home").select("key", F.col("fp").alias("fa")), usual.select("key", F.col("fp").alias("fb"))
+    near = a.join(b, "key").filter((F.col("fa") != F.col("fb")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= MAX_BITS)).select("fa", "fb")
     if not heavy.isEmpty():
         near = near.unionByName(_hot_links(rows.join(heavy, "key", "left_semi")))
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = near.select(F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb")).distinct()
+    for fp, node in (("fa", "x"), ("fb", "y")):
+        pairs = pairs.join(nodes.select(F.col("fp").alias(fp), F.col("node").alias(node)), fp)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, seed: int = SEED, hot: int = HOT) -> DataFrame:
