@@ -236,7 +236,8 @@ def nearest(
         return pd.DataFrame({"query_id": qids[qi], "vec_id": ids[ai], "score": np.sqrt(((q[qi] - a[ai]) ** 2).sum(axis=1))})
 
     placed = index.mapInPandas(place_rows, "leaf long, block long, vec_id long, vector binary")
-    asked = queries.mapInPandas(place_queries, "leaf long, block long, query_id long, bound double, vector binary")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = queries.repartition(parts, "vec_id").mapInPandas(place_queries, "leaf long, block long, query_id long, bound double, vector binary")
     found = placed.groupBy("leaf", "block").cogroup(asked.groupBy("leaf", "block")).applyInPandas(rerank, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
