@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import map_rows, text_or_empty
@@ -176,13 +176,17 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, chunk: int
     return short.unionByName(long.select("doc_id", "key").join(whole, "key").select("doc_id", "ids"))
 
 
-def decode_column(ids: Column, vocabulary: str) -> Column:
-    """The bytes that the ids stand for, concatenated; not always UTF-8 for a part of a text's ids."""
+def decode_documents(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, ids, decoded: the raw bytes that the ids stand for, concatenated; null ids give null."""
+    if vocabulary is None:
+        import public_tokenizers
 
-    @F.pandas_udf("binary")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = codec(vocabulary)
-        for batch in batches:
-            yield batch.map(lambda b: None if b is None else bpe.decode(np.frombuffer(b, dtype="<u4").tolist()))
+        vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    path = vocabulary
+
+    def make():
+        bpe = codec(path)
+        return lambda doc_id, ids: (doc_id, ids, None if ids is None else bpe.decode(np.frombuffer(ids, dtype="<u4").tolist()))
 
-    return decode(ids)
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return map_rows(encoded.select("doc_id", "ids"), make, f"doc_id {kind}, ids binary, decoded binary")

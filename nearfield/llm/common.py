@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run without blanks, tabs, line ends, vertical tabs and form feeds.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Rows that a worker unpacks at once.
+SLICE = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER, strict=True)}
 
@@ -42,9 +44,9 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            rows = [f(*values) for values in zip(*columns, strict=True)]
-            made = list(zip(*rows, strict=True)) if rows else [()] * len(out)
-            yield pa.RecordBatch.from_arrays([pa.array(list(v), type=t.type) for v, t in zip(made, out, strict=True)], schema=out)
+            for at in range(0, batch.num_rows, SLICE):  # a batch holds as many rows as Spark likes; only a slice of it is unpacked at once
+                columns = [c.to_pylist() for c in batch.slice(at, SLICE).columns]
+                made = list(zip(*(f(*values) for values in zip(*columns, strict=True)), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(list(v), type=t.type) for v, t in zip(made, out, strict=True)], schema=out)
 
     return df.mapInArrow(run, schema)

@@ -23,8 +23,7 @@ def op1_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chunked_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), path)
-    decoded = encoded.withColumn("decoded", bpe.decode_column(F.col("ids"), path))
-    return decoded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.decode_documents(encoded, path).select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:

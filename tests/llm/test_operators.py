@@ -83,8 +83,7 @@ def reference_encoding():
 @pytest.mark.parametrize("chunk", [32_768, 200])
 def test_bpe_matches_library(spark, chunk):
     ids = bpe.encode_documents(awkward(spark), chunk=chunk, overlap=60)
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    got = collections.Counter((r["doc_id"], bytes(r["ids"]), bytes(r["back"])) for r in ids.withColumn("back", bpe.decode_column(ids["ids"], path)).collect())
+    got = collections.Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in bpe.decode_documents(ids).collect())
     e = reference_encoding()
     assert got == collections.Counter((i, bpe.to_bytes(e.encode_ordinary(t or "")), (t or "").encode()) for i, t in texts(spark))
     assert bpe.encode_documents(empty(spark)).count() == 0
@@ -275,10 +274,10 @@ def test_similar_groups(spark, hot):
     sets, ids = {i: five(t) for i, t in texts_of.items()}, sorted(texts_of)
     near = [(a, b) for a in ids for b in ids if a < b and any(bin((x ^ y) % 2**64).count("1") <= 3 for x, y in zip(fams[a], fams[b], strict=True)) and similarity(sets[a], sets[b]) >= 0.8]
     want = brute_components(ids, near)
-    got = {r["node"]: r["component_id"] for r in simhash.similar_groups(docs, hot=hot).collect()}
+    got = {r["node"]: r["component_id"] for r in simhash.similar_groups(docs, 3, hot=hot).collect()}
     if hot == 256:
         assert got == {i: want[i] for i in got} and {want[i] for i in ids} == set(got.values())
-        kept = simhash.keep_one(docs)
+        kept = simhash.keep_one(docs, 3)
         assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values())) and kept.columns == docs.columns
         truly = brute_components(ids, [(a, b) for a in ids for b in ids if a < b and similarity(sets[a], sets[b]) >= 0.8])
         assert len(set(want.values())) <= 1.5 * len(set(truly.values()))
