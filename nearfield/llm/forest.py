@@ -169,6 +169,7 @@ def nearest(
     empty table gives no rows; other columns are ignored. See `usable` for the rows that take no part.
     """
     spark = vectors.sparkSession
+    kind = "<f4" if vectors.schema[vector_column].dataType.simpleString() == "array<float>" else "<f8"  # floats travel as they are
     fine = usable(vectors, id_column, vector_column).dropDuplicates(["vec_id"])
     same = Window.partitionBy("vector").orderBy("vec_id")
     index = fine.withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= k + 1).drop("_n")
@@ -195,7 +196,7 @@ def nearest(
             if not len(batch):
                 continue
             ids, matrix = batch["vec_id"].to_numpy(), np.stack(batch["vector"].to_numpy())
-            leaves, raw = forest.route(matrix), [v.tobytes() for v in matrix]
+            leaves, raw = forest.route(matrix), [v.tobytes() for v in matrix.astype(kind)]
             for t in range(leaves.shape[1]):
                 yield pd.DataFrame({"leaf": leaves[:, t], "block": (ids * 2_654_435_761 >> 7) % blocks[leaves[:, t]], "vec_id": ids, "vector": raw})
 
@@ -209,12 +210,12 @@ def nearest(
                 d = np.sort(((sample[near] - vector) ** 2).sum(axis=1))
                 bound = float(d[k - 1]) if len(d) >= k else float("inf")
                 where = np.repeat(leaves, blocks[leaves])
-                yield pd.DataFrame({"leaf": where, "block": np.concatenate([np.arange(blocks[x]) for x in leaves]), "query_id": qid, "bound": bound, "vector": vector.tobytes()})
+                yield pd.DataFrame({"leaf": where, "block": np.concatenate([np.arange(blocks[x]) for x in leaves]), "query_id": qid, "bound": bound, "vector": vector.astype(kind).tobytes()})
 
     def rerank(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(asked):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        a, q = _stack(rows["vector"], "<f8"), _stack(asked["vector"], "<f8")
+        a, q = _stack(rows["vector"], kind), _stack(asked["vector"], kind)
         ids, qids, bound = rows["vec_id"].to_numpy(), asked["query_id"].to_numpy(), asked["bound"].to_numpy()
         qi, ai = [], []
         aa, qq = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", q, q)
