@@ -163,7 +163,7 @@ def _hot_links(rows: DataFrame) -> DataFrame:
                 at = np.flatnonzero(keys >> 32 == kind)
                 one, two = _ball(int(kind))
                 masks, inner = np.concatenate([one, two]), np.arange(len(one) + len(two)) < len(one)
-                step = max(1, 500_000 // len(masks))
+                step = max(1, 100_000 // len(masks))
                 for s in range(0, len(at), step):
                     i = np.repeat(at[s : s + step], len(masks))
                     m = len(i) // len(masks)
@@ -184,7 +184,8 @@ def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     heavy = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key"), "hot")
     usual = rows.join(heavy, "key", "left_anti")
     a, b = usual.filter("home").select("key", F.col("fp").alias("fa")), usual.select("key", F.col("fp").alias("fb"))
-    near = a.join(b, "key").filter((F.col("fa") != F.col("fb")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= MAX_BITS)).select("fa", "fb")
+    # own and nearby indices meet in both directions if two segments differ in one bit, so one direction finds every pair
+    near = a.join(b, "key").filter((F.col("fa") < F.col("fb")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= MAX_BITS)).select("fa", "fb")
     if not heavy.isEmpty():
         near = near.unionByName(_hot_links(rows.join(heavy, "key", "left_semi")))
     pairs = near.select(F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb")).distinct()
