@@ -10,7 +10,7 @@ differ in one bit, the first's own index is among the second's. All pairs within
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -175,11 +175,8 @@ def _hot_links(rows: DataFrame) -> DataFrame:
     return near.select(F.col("fp").alias("fa"), F.col("c").alias("fb"))
 
 
-def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
-    """a, b: links between nodes (fp, node; fingerprints distinct) within three bits.
-
-    All of them under keys with at most `hot` rows; under hotter keys enough of them to give the same components.
-    """
+def _near(nodes: DataFrame, hot: int) -> DataFrame:
+    """fa, fb: pairs of fingerprints within three bits; see links."""
     rows = materialise(_key_rows(nodes), "keys")
     heavy = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key"), "hot")
     usual = rows.join(heavy, "key", "left_anti")
@@ -188,12 +185,23 @@ def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     near = a.join(b, "key").filter((F.col("fa") < F.col("fb")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= MAX_BITS)).select("fa", "fb")
     if not heavy.isEmpty():
         near = near.unionByName(_hot_links(rows.join(heavy, "key", "left_semi")))
-    pairs = near.select(F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb")).distinct()
+    return near.select(F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb")).distinct()
+
+
+def _named(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     for fp, node in (("fa", "x"), ("fb", "y")):
         pairs = pairs.join(nodes.select(F.col("fp").alias(fp), F.col("node").alias(node)), fp)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
+    """a, b: links between nodes (fp, node; fingerprints distinct) within three bits.
+
+    All of them under keys with at most `hot` rows; under hotter keys enough of them to give the same components.
+    """
+    return _named(_near(nodes, hot), nodes)
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, seed: int = SEED, hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the least doc_id that chains of links within three bits reach.
 
@@ -248,12 +256,56 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY,
     return both.filter(similar("x", "y") >= similarity).select("a", "b")
 
 
+def _blocks(own: DataFrame, near: DataFrame, named: DataFrame, kind: int) -> DataFrame:
+    """kind, x, y, fp, node, inner: the nodes of each fingerprint, and of each pair of near ones, that are in several components.
+
+    Candidates are the inner nodes of a block against all others of it: all of one fingerprint, or the fewer of a pair against the
+    other's. Pairs of single nodes have nothing left to try.
+    """
+    held = own.join(named, "node", "left").groupBy("fp").agg(F.count("*").alias("n"), F.min(F.coalesce("component", "node")).alias("lo"), F.max(F.coalesce("component", "node")).alias("hi"))
+    held = materialise(held, "held")
+    side = lambda f, s: held.select(F.col("fp").alias(f), *[F.col(c).alias(c + s) for c in ("n", "lo", "hi")])
+    equal = held.filter("lo < hi").select(F.col("fp").alias("x"), F.col("fp").alias("y"), "fp", F.lit(True).alias("inner"))
+    apart = near.join(side("fa", "a"), "fa").join(side("fb", "b"), "fb").filter("na + nb > 2 and least(loa, lob) < greatest(hia, hib)")
+    fewer = F.col("na") <= F.col("nb")
+    sides = [apart.select(F.col("fa").alias("x"), F.col("fb").alias("y"), F.col(f).alias("fp"), inner.alias("inner")) for f, inner in (("fa", fewer), ("fb", ~fewer))]
+    return equal.unionByName(sides[0]).unionByName(sides[1]).join(own, "fp").select(F.lit(kind).alias("kind"), "x", "y", "fp", "node", "inner")
+
+
+def _settle(docs: DataFrame, blocks: DataFrame, named: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
+    """node, component after verifying all candidates of the blocks that are in different components.
+
+    Round after round one, two, four, ... inner nodes of each block (by a hash, so that nothing is sorted) meet those of its nodes that are still
+    in another component, until each block is one component or all its inner nodes have been met. So whatever pair isn't
+    verified is in one component already.
+    """
+    block = ["kind", "x", "y"]
+    docs = materialise(docs.join(blocks.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text"), "parted")
+    start, width = 0, 1
+    while True:
+        at = blocks.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        sizes = at.groupBy(*block).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.col("inner").cast("long")).alias("m"))
+        at = materialise(at.join(sizes.filter((F.col("lo") < F.col("hi")) & (F.col("m") > start)).select(*block, "m"), block), "open")
+        if at.isEmpty():
+            return named
+        place = F.shiftright(F.pmod(F.xxhash64("node"), F.lit(1 << 31)) * F.col("m"), 31)
+        centres = at.filter(F.col("inner") & (place >= start) & (place < start + width)).select(*block, F.col("fp").alias("cf"), F.col("node").alias("c"), F.col("component").alias("cc"))
+        met = at.join(centres, block).filter((F.col("component") != F.col("cc")) & ((F.col("x") == F.col("y")) | (F.col("fp") != F.col("cf"))))
+        pairs = materialise(met.select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            tried = tried.unionByName(pairs)
+            fine = verified(docs, pairs, similarity)
+            named = materialise(components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fine)), "named")
+        start, width = start + width, 2 * width
+
+
 def similar_groups(docs: DataFrame, n: int = FAMILY, similarity: float = SIMILARITY, size: int = 3, seed: int = SEED, hot: int = HOT) -> DataFrame:
     """node, component_id: groups of documents that chains of verified links connect, each named by its least doc_id.
 
     Documents with equal fingerprints in the whole family are one node, the least of them. Nodes are candidates if one fingerprint of the family
     differs in three bits at most (near copies that one fingerprint misses another often meets), and linked if their five-word
-    shingles have a Jaccard similarity of 0.8 or more. Under keys with over `hot` rows, candidates are those that connect the fingerprints, not all pairs.
+    shingles have a Jaccard similarity of 0.8 or more. The least nodes of the fingerprints are tried first, and after them all candidates that
+    are still in different components. Under keys with over `hot` rows, candidates are those that connect the fingerprints, not all pairs.
     """
 
     def make():
@@ -261,15 +313,19 @@ def similar_groups(docs: DataFrame, n: int = FAMILY, similarity: float = SIMILAR
 
     fps = map_rows(docs.select("doc_id", text_or_empty().alias("text")), make, "doc_id long, fps array<long>")
     nodes = materialise(fps.groupBy("fps").agg(F.min("doc_id").alias("node")), "nodes")
-    pairs = None
+    pairs, nears = None, []
     for k in range(n):
         own = nodes.select(F.col("fps")[k].alias("fp"), "node")
         first = materialise(own.groupBy("fp").agg(F.min("node").alias("node")), "first")
         same = own.join(first.select("fp", F.col("node").alias("b")), "fp").filter(F.col("node") != F.col("b")).select(F.col("b").alias("a"), F.col("node").alias("b"))
-        found = materialise(links(first, hot).unionByName(same), "pairs")
+        nears.append(materialise(_near(first, hot), "near"))
+        found = materialise(_named(nears[k], first).unionByName(same), "pairs")
         pairs = found if pairs is None else pairs.unionByName(found)
-    fine = materialise(verified(docs, pairs.distinct(), similarity), "verified")
-    named = nodes.join(components(fine), "node", "left")
+    tried = materialise(pairs.distinct(), "tried")
+    found = materialise(components(materialise(verified(docs, tried, similarity), "verified")), "named")
+    blocks = [_blocks(nodes.select(F.col("fps")[k].alias("fp"), "node"), near, found, k) for k, near in enumerate(nears)]
+    found = _settle(docs, materialise(reduce(DataFrame.unionByName, blocks), "blocks"), found, tried, similarity)
+    named = nodes.join(found, "node", "left")
     return named.select("node", F.coalesce("component", "node").alias("component_id"))
 
 

@@ -287,6 +287,34 @@ def test_similar_groups(spark, hot):
     assert sorted(r["doc_id"] or 0 for r in simhash.keep_one(awkward(spark)).collect()).count(5) <= 1
 
 
+def dominated(rng, repeats, tails, copies):
+    """Texts whose fingerprints are mostly those of one phrase, said often, and whose other words are near copies of a few tails."""
+    phrase, made = ["alpha", "beta", "gamma"] * repeats, []
+    for _ in range(tails):
+        tail = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for _ in range(copies):
+            copy = list(tail)
+            for _ in range(rng.choice([1, 2, 3])):
+                copy[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+            made.append(" ".join(phrase + copy))
+    rng.shuffle(made)
+    return made
+
+
+def linked_components(texts_of):
+    fams = {i: simhash.fingerprint_family(t, n=3) for i, t in texts_of.items()}
+    sets, ids = {i: five(t) for i, t in texts_of.items()}, sorted(texts_of)
+    return brute_components(ids, [(a, b) for a in ids for b in ids if a < b and any(bin((x ^ y) % 2**64).count("1") <= 3 for x, y in zip(fams[a], fams[b], strict=True)) and similarity(sets[a], sets[b]) >= 0.8])
+
+
+def test_similar_groups_of_equal_fingerprints(spark):
+    family = {tuple(simhash.fingerprint_family(t, n=3)): t for t in dominated(random.Random(5), 35, 8, 12)}
+    assert 2 * len({f[0] for f in family}) <= len(family)
+    texts_of = dict(enumerate(family.values()))
+    got = simhash.similar_groups(spark.createDataFrame([doc(i, t) for i, t in texts_of.items()], SCHEMA)).collect()
+    assert {r["node"]: r["component_id"] for r in got} == linked_components(texts_of)
+
+
 # 5 -------------------------------------------------------------------------------------------------------------------
 
 
