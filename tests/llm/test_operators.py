@@ -70,6 +70,21 @@ def test_quality_verdicts(spark):
     assert fertility.script_of("Привет мир") == "cyrillic" and fertility.script_of("123") == "other"
 
 
+def test_quality_against_labels(sf_dir):
+    import pyarrow.parquet as pq
+
+    sf_dir = Path(sf_dir).parent / "sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{sf_dir}/labels.parquet").to_pylist()}
+    path, kept = public_tokenizers.path("piece_bpe_32k.model"), {0: [], 1: []}
+    for r in pq.read_table(f"{sf_dir}/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist():
+        if r["doc_id"] in labels and r["lang"] in ("en", "de", "fr", "es"):
+            verdict = dict(zip([c.split()[0] for c in fertility.SCHEMA.split(", ")][1:], fertility.judge(r["text"], r["lang"], path), strict=True))
+            if not verdict["base_failed"]:
+                kept[labels[r["doc_id"]]].append(verdict["kept"])
+    assert len(kept[0]) >= 10 and sum(kept[0]) <= 0.1 * len(kept[0])
+    assert sum(kept[1]) >= 0.98 * len(kept[1])
+
+
 # 2 -------------------------------------------------------------------------------------------------------------------
 
 
