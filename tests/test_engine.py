@@ -269,6 +269,15 @@ def test_graph_index(spark, data, metric, tmp_path):
     assert inside <= exactly and len(inside) > 0.7 * len(exactly)
 
 
+def test_probes_grow_with_the_shards(spark):
+    x = np.random.default_rng(4).standard_normal((1200, 32))
+    index = Index.build(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>"), IndexConfig(32, shard_rows=50))
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.random.default_rng(5).standard_normal((40, 32)))], "qid long, qvec array<double>")
+    true = {(r["qid"], r["id"]) for r in index.exact(q, 10).collect()}
+    found = {(r["qid"], r["id"]) for r in index.search(q, 10, 50).collect()}
+    assert len(true & found) >= 0.9 * len(true)
+
+
 def test_shapes_of_edge_indexes(spark):
     for n in (1, 2, 4):
         df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(n)], "id long, vec array<float>")
