@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,8 +19,10 @@ from nearfield.llm.common import map_rows, text_or_empty
 
 #: Characters in a chunk, and how far a chunk reads on into the next one.
 CHUNK, OVERLAP = 32_768, 1_024
-#: Runs of white space from here on are cut before the library sees them; its pattern engine backtracks over each character of a run.
+#: Runs of white space from here on are encoded by themselves: the library's pattern engine backtracks over each character of a run.
 LONG_RUN = 20_000
+# Fixed value: the characters of Unicode's White_Space property, which is what both pattern engines mean by white space.
+BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,21 +41,56 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {bytes(map(to_byte.__getitem__, token)): i for token, i in model["vocab"].items() if token in kept}
 
 
+_BLANK = regex.compile(f"[{BLANK}]")
+
+
+@lru_cache(maxsize=65_536)
+def _kind(c: str) -> str | None:
+    """L, N, S or O (letter, number, white space, other) of a character on which all Unicode versions agree, else None.
+
+    The pattern engine of the library and that of Python know different versions. Characters that had their class in the oldest
+    version at hand, and still have it, are safe.
+    """
+    if _BLANK.match(c):
+        return "S"
+    now, old = unicodedata.category(c), unicodedata.ucd_3_2_0.category(c)
+    if now[0] != old[0] or now == "Cn" or c.isspace():
+        return None
+    return now[0] if now[0] in "LN" else "O"
+
+
+def is_seam(before: str, after: str) -> bool:
+    """Whether any pre-tokenisation parts these neighbours, whatever stands around them.
+
+    No match of the pattern holds a letter, a number or another sign followed by one of another kind, except that a sign may
+    be the apostrophe of a contraction; white space may begin a match of any kind.
+    """
+    a, b = _kind(before), _kind(after)
+    return a in ("L", "N", "O") and b is not None and a != b and (a, b) != ("O", "L")
+
+
 class ByteBPE:
-    """Encodes each match of the pattern separately, without special tokens."""
+    """Encodes each match of the public pattern separately, without special tokens."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
+        import public_tokenizers
         import tiktoken
 
-        self._encoding = tiktoken.Encoding("nearfield", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-        self._pattern = regex.compile(pattern)
-        self._long = regex.compile(rf"\s{{{LONG_RUN}}}")
+        self._encoding = tiktoken.Encoding("nearfield", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+        self._pattern = regex.compile(public_tokenizers.PATTERN)
+        self._long = regex.compile(f"[{BLANK}]{{{LONG_RUN},}}")
 
     def encode(self, text: str) -> list[int]:
-        if len(text) < LONG_RUN or not self._long.search(text):
+        """The library's ids. A long run of white space is one match, less its last character if something follows."""
+        if len(text) < LONG_RUN:
             return self._encoding.encode_ordinary(text)
-        single = self._encoding._core_bpe.encode_single_piece
-        return [i for m in self._pattern.finditer(text) for i in single(m[0].encode())]
+        ids, at = [], 0
+        for m in self._long.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            ids += self._encoding.encode_ordinary(text[at : m.start()])
+            ids += self._encoding._core_bpe.encode_single_piece(text[m.start() : end].encode())
+            at = end
+        return ids + self._encoding.encode_ordinary(text[at:])
 
     def decode(self, ids: list[int]) -> bytes:
         return self._encoding.decode_bytes(ids)
@@ -63,10 +101,8 @@ class ByteBPE:
 
 
 @lru_cache(maxsize=4)
-def codec(path: str, pattern: str | None = None) -> ByteBPE:
-    import public_tokenizers
-
-    return ByteBPE(path, pattern or public_tokenizers.PATTERN)
+def codec(path: str) -> ByteBPE:
+    return ByteBPE(path)
 
 
 def chunk_spans(length: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
@@ -74,30 +110,19 @@ def chunk_spans(length: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
     return [(s, min(length, s + chunk + overlap)) for s in range(0, max(length, 1), chunk)]
 
 
-def edges(bpe: ByteBPE, text: str, start: int, chunk: int, overlap: int, last: bool) -> tuple[list[int], list[int]]:
-    """Boundaries of one chunk, as seen from its own start, in its first and in its last `overlap` characters.
-
-    The end of a chunk that isn't the text's end is no boundary: the match there might go on. Earlier matches don't
-    depend on what follows the chunk.
-    """
-    found = [0, *bpe.boundaries(text)]
-    if not last and found[-1] == len(text):
-        found.pop()
-    return [start + b for b in found if b < overlap], [start + b for b in found if chunk <= b < chunk + overlap]
+def edges(bpe: ByteBPE, text: str, start: int, chunk: int, overlap: int) -> tuple[list[int], list[int]]:
+    """Boundaries of one chunk that are seams, as places in the whole text, in its first and in its last `overlap` characters."""
+    found = [b for b in bpe.boundaries(text) if (b < overlap or chunk <= b < chunk + overlap) and 0 < b < len(text) and is_seam(text[b - 1], text[b])]
+    return [start + b for b in found if b < overlap], [start + b for b in found if b >= chunk]
 
 
 def stitch(heads: list[list[int]], tails: list[list[int]]) -> list[int]:
-    """Where the pieces begin: the first boundary that a chunk and the one before both have, up to the first chunk without any.
+    """Where the pieces begin: the first boundary that a chunk and the one before both have.
 
-    Matching goes left to right and never looks back, so from a common boundary on both agree for good.
+    From there on both agree for good, as matching goes left to right. Two chunks without a common boundary (one run that is longer than the
+    overlap) become one piece, and stitching goes on with the next seam.
     """
-    cuts = [0]
-    for head, tail in zip(heads[1:], tails, strict=False):
-        common = set(head).intersection(tail)
-        if not common:
-            break
-        cuts.append(min(common))
-    return cuts
+    return [0, *(min(common) for head, tail in zip(heads[1:], tails, strict=False) if (common := set(head).intersection(tail)))]
 
 
 def to_bytes(ids: list[int]) -> bytes:
@@ -124,17 +149,17 @@ def _split(frame: DataFrame, schema: str, cut) -> DataFrame:
 def encode_long(texts: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """key, ids for distinct long texts (key, text): chunks and pieces of one text are worked on by different tasks."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = _split(texts.select("key", "text"), "key binary, n long, last boolean, start long, text string", lambda t: ((i, e == len(t), s, t[s:e]) for i, (s, e) in enumerate(chunk_spans(len(t), chunk, overlap))))
+    chunks = _split(texts.select("key", "text"), "key binary, n long, start long, text string", lambda t: ((i, s, t[s:e]) for i, (s, e) in enumerate(chunk_spans(len(t), chunk, overlap))))
 
     def edge_rows():
         bpe = codec(path)
-        return lambda key, n, last, start, text: (key, n, *edges(bpe, text, start, chunk, overlap, last))
+        return lambda key, n, start, text: (key, n, *edges(bpe, text, start, chunk, overlap))
 
     seen = map_rows(chunks.repartition(parts, "key", "n"), edge_rows, "key binary, n long, head array<long>, tail array<long>")
     order = Window.partitionBy("key").orderBy("n")
     met = F.array_min(F.array_intersect("head", F.lag("tail").over(order)))
-    cut = seen.withColumn("cut", F.when(F.col("n") == 0, F.lit(0)).otherwise(met)).withColumn("known", F.min(F.col("cut").isNotNull()).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    cuts = cut.filter("known").groupBy("key").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
+    cut = seen.withColumn("cut", F.when(F.col("n") == 0, F.lit(0)).otherwise(met)).filter(F.col("cut").isNotNull())
+    cuts = cut.groupBy("key").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
     pieces = _split(texts.join(cuts, "key").select("key", "text", "cuts"), "key binary, n long, text string", lambda t, c: ((i, t[a:b]) for i, (a, b) in enumerate(zip(c, [*c[1:], len(t)], strict=True))))
 
     def encode_rows():
@@ -155,8 +180,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, chunk: int
 
     A text of at most one chunk is encoded where it is read. Of longer ones, each distinct text is cut into
     overlapping chunks that are pre-tokenised in parallel; the pieces between resynchronised boundaries are encoded in
-    parallel and their ids concatenated. From the first chunk without a common boundary on (one run longer than the overlap), the rest is
-    one piece. Null texts are empty; repeated rows give repeated results; an empty table gives no rows; other columns are ignored.
+    parallel and their ids concatenated. Chunks that meet within one run longer than the overlap are one piece. Null texts are empty; repeated rows give repeated results; an empty table gives no rows; other columns are ignored.
     """
     if vocabulary is None:
         import public_tokenizers

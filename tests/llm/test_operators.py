@@ -104,23 +104,45 @@ def test_bpe_matches_library(spark, chunk):
     assert bpe.encode_documents(empty(spark)).count() == 0
 
 
+def cut_up(codec, text, chunk, overlap):
+    spans = bpe.chunk_spans(len(text), chunk, overlap)
+    seen = [bpe.edges(codec, text[s:e], s, chunk, overlap) for s, e in spans]
+    cuts = bpe.stitch([h for h, _ in seen], [t for _, t in seen])
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
+
+NEW_LETTER = "\U00018da7"  # no letter yet in the oldest Unicode version at hand
+
+
 def test_stitching_any_text():
     rng = random.Random(2)
-    codec = bpe.codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    for _ in range(200):
-        text = "".join(rng.choice(["a", "b's", " ", "  ", "\n", "1", "é", "!", "\u3000", "日"]) for _ in range(rng.randrange(1, 300)))
-        spans = bpe.chunk_spans(len(text), 40, 12)
-        seen = [bpe.edges(codec, text[s:e], s, 40, 12, e == len(text)) for s, e in spans]
-        cuts = bpe.stitch([h for h, _ in seen], [t for _, t in seen])
-        pieces = [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
-        assert [i for p in pieces for i in codec.encode(p)] == codec.encode(text)
+    codec, e = bpe.codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), reference_encoding()
+    signs = ["a", "b's", "'s", "'", " ", "  ", "\n", "1", "é", "!", "\u3000", "日", NEW_LETTER, "\x1c", "\u200b", "x" * 15, " " * 15]
+    for _ in range(400):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(1, 300)))
+        pieces = cut_up(codec, text, 40, 12)
+        assert "".join(pieces) == text
+        assert [i for p in pieces for i in e.encode_ordinary(p)] == e.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("run", ["x" * 1_500, " " * 1_500, NEW_LETTER * 1_500, "日本語" * 500, "!" * 1_500])
+def test_a_run_over_a_seam_joins_two_chunks_only(run):
+    codec, e = bpe.codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), reference_encoding()
+    rng = random.Random(11)
+    text = " ".join(rng.choice(["some", "words", "don't", "12", "naïve", "日本", f"a{NEW_LETTER}a"]) for _ in range(70_000))
+    for seam in (1, 4):
+        at = seam * bpe.CHUNK - 200
+        whole = text[:at] + run + text[at:]
+        pieces = cut_up(codec, whole, bpe.CHUNK, bpe.OVERLAP)
+        assert len(pieces) == len(bpe.chunk_spans(len(whole), bpe.CHUNK, bpe.OVERLAP)) - 1
+        assert [i for p in pieces for i in codec.encode(p)] == e.encode_ordinary(whole)
 
 
 def test_long_blank_runs():
     codec = bpe.codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    text = "a" + " " * 60_000 + "b"
-    assert codec.decode(codec.encode(text)) == text.encode()
-    assert codec.encode(text) == reference_encoding().encode_ordinary(text)
+    for text in ("a" + " " * 60_000 + "b", "a" + " " * 25_000 + f"a{NEW_LETTER}a", "\n" * 30_000, f"{NEW_LETTER}'s" + "\t\u3000" * 12_000 + "\x1c's", "\r\n" * 20_000 + "'re " + " " * 20_000):
+        assert codec.decode(codec.encode(text)) == text.encode()
+        assert codec.encode(text) == reference_encoding().encode_ordinary(text)
     assert codec.decode(codec.encode(" " * 1_000_000)) == b" " * 1_000_000
 
 
@@ -563,7 +585,7 @@ def test_one_very_long_text(spark):
     e = bpe.codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     got = {r["doc_id"]: bytes(r["ids"]) for r in bpe.encode_documents(docs).collect()}
     assert got[1] == got[3] and e.decode(np.frombuffer(got[1], "<u4").tolist()) == long.encode()
-    assert got[1] == bpe.to_bytes(e.encode(long))
+    assert got[1] == bpe.to_bytes(reference_encoding().encode_ordinary(long))
     pieces = packing.pack_documents(docs).collect()
     ends = {i: max(r["start"] + r["length"] for r in pieces if r["doc_id"] == i) for i in (1, 2, 3)}
     assert ends[1] == ends[3] == len(bpe.codec(public_tokenizers.path("byte_bpe_50k.json")).encode(long)) + 1
