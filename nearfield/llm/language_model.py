@@ -1,8 +1,8 @@
-"""LM scoring with a weighted backoff automaton over smoothed word bigrams.
+"""LM scoring with a weighted backoff automaton over smoothed word trigrams.
 
-The texts are packed into blocks. Each block sends its distinct words and word pairs, as sorted 64-bit hashes with their training
+The texts are packed into blocks. Each block sends its distinct words, word pairs and triples, as sorted hashes with their training
 counts, to buckets by hash range; a bucket adds the counts of all blocks and answers each of them in the order asked, without
-the hashes. With the answers, a block builds the part of the automaton that its own texts can reach, and walks it.
+the hashes. With the answers, a block builds the part of the automaton that its own texts can reach, and walks each text through it once.
 """
 
 from __future__ import annotations
@@ -22,8 +22,12 @@ from nearfield.storage import materialise
 
 #: Characters of text in a block; a longer text is a block of its own.
 BLOCK_CHARS = 4_000_000
-#: Weight of the unigrams in a word's distribution over what follows it, in tokens.
-MU = 1_000.0
+#: Characters of text for each bucket of counts, which so hold about as many keys each at any size of the corpus.
+BUCKET_CHARS = 8_000_000
+#: Tokens that the next lower order weighs in the distribution over what follows one word, and what follows two.
+MU = (1_000.0, 20.0)
+#: Bits of the hashes by which words, pairs and triples are known.
+KEY_BITS = 56
 END, START = 0, 1  # local numbers; words follow
 HELD_OUT_MODULUS, HELD_OUT = 7, 2
 
@@ -60,8 +64,14 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+ORDERS = ("words", "pairs", "triples")
+
+
 class Block:
-    """Texts as local word numbers, with the sorted distinct hashes of their words and word pairs."""
+    """Texts as local word numbers, with the sorted distinct keys of their words, word pairs and triples.
+
+    A text's first word makes a pair with START, its second one a triple; `at` has the key of each step, -1 where the step has none.
+    """
 
     def __init__(self, texts: Sequence[str]):
         import xxhash
@@ -75,71 +85,92 @@ class Block:
             flat.append(END)
             self.lengths.append(len(words) + 1)
         self.words = np.array(flat, dtype=np.int64)
-        self.ends = np.cumsum(self.lengths)
-        previous = np.empty_like(self.words)
-        if len(flat):
-            previous[1:] = self.words[:-1]
-            previous[0] = START
-            previous[self.ends[:-1]] = START
-        self.previous = previous
-        hashed = np.array([xxhash.xxh64_intdigest(w, 7) for w in numbers], dtype=np.uint64)
+        self.ends = np.cumsum(self.lengths, dtype=np.int64)
+        self.starts = self.ends - np.array(self.lengths, dtype=np.int64)
         self.vocabulary = len(numbers)
-        self.word_keys, self.word_at = np.unique(hashed, return_inverse=True)
-        self.pair_keys, self.pair_at = np.unique(_mix(hashed[previous], hashed[self.words]), return_inverse=True)
+        self.previous = np.roll(self.words, 1)
+        self.previous[self.starts] = START
+        third = np.ones(len(flat), dtype=bool)
+        third[self.starts] = False
+        self.third = np.flatnonzero(third)
+        shift = np.uint64(64 - KEY_BITS)
+        hashed = np.array([xxhash.xxh64_intdigest(w, 7) for w in numbers], dtype=np.uint64)
+        pairs = _mix(hashed[self.previous], hashed[self.words])
+        self.keys, self.at = {}, {}
+        self.keys["words"], self.word_at = np.unique(hashed >> shift, return_inverse=True)
+        self.at["words"] = self.word_at[self.words]
+        self.keys["pairs"], self.at["pairs"] = np.unique(pairs >> shift, return_inverse=True)
+        self.keys["triples"], found = np.unique(_mix(pairs[self.third - 1], hashed[self.words[self.third]]) >> shift, return_inverse=True)
+        self.at["triples"] = np.full(len(flat), -1, dtype=np.int64)
+        self.at["triples"][self.third] = found
 
-    def counts(self, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of word_keys and pair_keys; training has a flag for each text."""
-        flags = np.repeat(training, self.lengths).astype(np.float64)
-        words = np.bincount(self.word_at[self.words], weights=flags, minlength=len(self.word_keys))
-        return words.astype(np.uint32), np.bincount(self.pair_at, weights=flags, minlength=len(self.pair_keys)).astype(np.uint32)
+    def counts(self, training: np.ndarray) -> dict[str, np.ndarray]:
+        """How often training texts hold each key; training has a flag for each text."""
+        flags = np.repeat(training, self.lengths).astype(bool)
+        return {order: np.bincount(self.at[order][flags & (self.at[order] >= 0)], minlength=len(self.keys[order])).astype(np.uint64) for order in ORDERS}
 
 
 class Automaton:
-    """Root and one state for each word; arcs carry log10 probabilities, failure arcs to the root log10 weights.
+    """The root, a state for each word and one for each word pair that was seen in training.
 
-    Seen pairs are arcs between word states; any other word is reached by failing to the root, which has an arc for every word
-    (unseen ones have the probability of a word never met). Each distribution sums to 1 over known words and the unknown one.
+    Arcs carry log10 probabilities. A seen triple is an arc from its first pair's state to its second's, a seen pair one from its first
+    word's state to the pair's; any state without an arc for a word fails, at a log10 weight, to the state of its last word, and that
+    to the root, which has an arc for every word (unseen ones have the probability of a word never met). Each distribution so sums
+    to 1 over known words and the unknown one.
     """
 
-    def __init__(self, block: Block, words: np.ndarray, pairs: np.ndarray, tokens: int, types: int, mu: float = MU):
-        count = words[block.word_at].astype(np.float64)
-        once = (count + 1.0) / (tokens + types + 1.0)
-        self.count, self.root = count, np.log10(once).tolist()
-        context = count.copy()
-        context[START] = count[END]  # every training text begins once and ends once
-        self.failure = np.log10(mu / (context + mu)).tolist()
-        first = np.zeros(len(block.pair_keys), dtype=np.int64)
-        first[block.pair_at[::-1]] = np.arange(len(block.pair_at))[::-1]  # where each distinct pair first stands
-        state, word, seen = block.previous[first], block.words[first], pairs > 0
-        self.states, self.words, self.seen = state, word, seen
-        arc = np.log10((pairs + mu * once[word]) / (context[state] + mu))
-        failed = np.asarray(self.failure)[state] + np.asarray(self.root)[word]
-        self.weights = np.where(seen, arc, failed)
-
-    def arcs(self) -> dict[tuple[int, int], float]:
-        """The arcs between word states: (state, word) to weight; the word's own state follows."""
-        at = np.flatnonzero(self.seen)
-        return dict(zip(zip(self.states[at].tolist(), self.words[at].tolist(), strict=True), self.weights[at].tolist(), strict=True))
+    def __init__(self, block: Block, counts: dict[str, np.ndarray], tokens: int, types: int, mu: tuple[float, float] = MU):
+        words, pairs, triples = (counts[order].astype(np.float64) for order in ORDERS)
+        self.count = words[block.word_at]
+        once = (self.count + 1.0) / (tokens + types + 1.0)
+        context = self.count.copy()
+        context[START] = self.count[END]  # every training text begins once and ends once
+        v = self.vocabulary = block.vocabulary
+
+        def first(order: str) -> np.ndarray:  # where each distinct key first stands
+            at = block.at[order]
+            where = np.flatnonzero(at >= 0)[::-1]
+            out = np.zeros(len(block.keys[order]), dtype=np.int64)
+            out[at[where]] = where
+            return out
+
+        two, three = first("pairs"), first("triples")
+        seen, seen3 = pairs > 0, triples > 0
+        left, right = block.previous[two], block.words[two]
+        twice = (pairs + mu[0] * once[right]) / (context[left] + mu[0])
+        pair_state = 1 + v + np.arange(len(pairs))
+        three = three[seen3]
+        before, last = block.at["pairs"][three - 1], block.at["pairs"][three]  # the triple's two pairs, both seen as it is
+        thrice = (triples[seen3] + mu[1] * twice[last]) / (pairs[before] + mu[1])
+        keys = np.concatenate([(1 + left[seen]) * v + right[seen], pair_state[before] * v + block.words[three]])
+        self.arcs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+        self.weights = np.log10(np.concatenate([twice[seen], thrice])).tolist()
+        self.targets = np.concatenate([pair_state[seen], pair_state[last]]).tolist()
+        self.root = np.log10(once).tolist()
+        self.failure = np.log10(np.concatenate([[1.0], mu[0] / (context + mu[0]), mu[1] / (pairs + mu[1])])).tolist()
+        self.back = np.concatenate([np.zeros(1 + v, dtype=np.int64), 1 + right]).tolist()
 
     def walk(self, words: Sequence[int]) -> float:
-        """One traversal from the start state: take the state's arc, or fail to the root and take its arc."""
-        arcs = self.arcs()
-        state, total = START, 0.0
+        """One traversal from the start state: take the state's arc, or fail until there is one."""
+        arcs, weights, targets, root, failure, back, v = self.arcs, self.weights, self.targets, self.root, self.failure, self.back, self.vocabulary
+        state, total = 1 + START, 0.0
         for w in words:
-            weight = arcs.get((state, w))
-            total += self.failure[state] + self.root[w] if weight is None else weight
-            state = w
+            while (arc := arcs.get(state * v + w)) is None:
+                if not state:
+                    break
+                total += failure[state]
+                state = back[state]
+            if arc is None:
+                total += root[w]
+                state = 1 + w
+            else:
+                total += weights[arc]
+                state = targets[arc]
         return total
 
     def walk_all(self, block: Block) -> list[float]:
-        """`walk` for every text of the block in one left-to-right pass.
-
-        The state that is carried is the word before, so each step's weight depends on its pair alone and was settled once
-        for all steps that repeat it.
-        """
-        if not len(block.words):
-            return []
-        return np.add.reduceat(self.weights[block.pair_at], np.concatenate([[0], block.ends[:-1]])).tolist()
+        """`walk` for every text of the block."""
+        return [self.walk(block.words[a:b].tolist()) for a, b in zip(block.starts.tolist(), block.ends.tolist(), strict=True)]
 
 
 def _pack_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,7 +178,7 @@ def _pack_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def row():
         data = zstandard.ZstdCompressor(level=3).compress(pickle.dumps((ids, texts), protocol=5))
-        return pd.DataFrame({"payload": [data], "n": [len(ids)]})
+        return pd.DataFrame({"payload": [data], "chars": [size]})
 
     for batch in batches:
         for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -167,76 +198,78 @@ def _open(payload: bytes) -> tuple[list, list[str]]:
 
 def _limits(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where the sorted keys of each bucket begin and end; buckets are equal ranges of the hash."""
-    edges = [((b << 32) // buckets) << 32 for b in range(1, buckets)]
+    edges = [(b << KEY_BITS) // buckets for b in range(1, buckets)]
     return np.concatenate([[0], np.searchsorted(keys, np.array(edges, dtype=np.uint64)), [len(keys)]]).astype(np.int64)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, mu: float = MU) -> DataFrame:
+def score_documents(docs: DataFrame, mu: tuple[float, float] = MU) -> DataFrame:
     """Train on the texts that aren't held out (see held_out) and score every whole text; one row for each row of docs.
 
-    base_score is the add-one unigram score; score is the bigram automaton's log10 probability of the text and its end. Null and
+    base_score is the add-one unigram score; score is the trigram automaton's log10 probability of the text and its end. Null and
     empty texts are an end alone. Repeated rows count and score each time; an empty table gives no rows; other columns are
-    ignored. Counts cover all training texts; a pair costs one entry for each block that holds it, however often it occurs
-    there, so common words and pairs don't pile up. Words are known by a 64-bit hash.
+    ignored. Counts cover all training texts; a triple costs one entry for each block that holds it, however often it occurs
+    there, so common ones don't pile up. There are as many buckets as the texts' length asks for. Keys are hashes of 56 bits.
     """
     spark = docs.sparkSession
-    buckets = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(_pack_blocks, "payload binary, n long")
+    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(_pack_blocks, "payload binary, chars long")
     blocks = materialise(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    n_blocks, chars = blocks.agg(F.count("*"), F.coalesce(F.sum("chars"), F.lit(0))).first()
+    buckets, n_blocks = 1 + chars // BUCKET_CHARS, max(1, n_blocks)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for number, payload in zip(batch["block"], batch["payload"], strict=True):
                 ids, texts = _open(payload)
                 block = Block(texts)
-                words, pairs = block.counts(np.array([not held_out(i) for i in ids]))
-                w, p = _limits(block.word_keys, buckets), _limits(block.pair_keys, buckets)
-                rows = []
-                for b in range(buckets):
-                    x, y = slice(w[b], w[b + 1]), slice(p[b], p[b + 1])
-                    rows.append((b, number, _deltas(block.word_keys[x]), _planes(words[x]), _deltas(block.pair_keys[y]), _planes(pairs[y])))
-                yield pd.DataFrame(rows, columns=["bucket", "block", "words", "word_counts", "pairs", "pair_counts"])
+                counts = block.counts(np.array([not held_out(i) for i in ids]))
+                made = {"bucket": np.arange(buckets), "block": np.full(buckets, number)}
+                for order in ORDERS:
+                    cut = _limits(block.keys[order], buckets)[1:-1]
+                    made[order] = [_deltas(k) for k in np.split(block.keys[order], cut)]
+                    made[f"{order}_count"] = [_planes(c) for c in np.split(counts[order], cut)]
+                yield pd.DataFrame(made)
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
-        tokens = types = 0
-        out = {}
-        for kind, counted in (("words", "word_counts"), ("pairs", "pair_counts")):
-            keys = [_undeltas(d) for d in group[kind]]
-            counts = np.concatenate([_unplanes(d, "<u4") for d in group[counted]]).astype(np.float64)
-            found, at = np.unique(np.concatenate(keys), return_inverse=True)
-            totals = np.bincount(at, weights=counts, minlength=len(found)).astype(np.uint64)
-            out[kind] = [_planes(x) for x in np.split(totals[at], np.cumsum([len(k) for k in keys])[:-1])]
-            if kind == "words":
-                tokens, types = int(totals.sum()), int(np.count_nonzero(totals))
         n = len(group)
-        return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "words": out["words"], "pairs": out["pairs"], "tokens": [tokens] + [0] * (n - 1), "types": [types] + [0] * (n - 1)})
-
-    asked = blocks.select("block", "payload").mapInPandas(ask, "bucket long, block long, words binary, word_counts binary, pairs binary, pair_counts binary")
-    answers = asked.groupBy("bucket").applyInPandas(answer, "block long, bucket long, words binary, pairs binary, tokens long, types long")
+        out = {"block": group["block"], "bucket": group["bucket"], "tokens": [0] * n, "types": [0] * n}
+        for order in ORDERS:
+            keys, own = [_undeltas(d) for d in group[order]], np.concatenate([_unplanes(d, "<u8") for d in group[f"{order}_count"]])
+            found, at = np.unique(np.concatenate(keys), return_inverse=True)
+            totals = np.bincount(at, weights=own, minlength=len(found)).astype(np.uint64)
+            out[order] = [_planes(x) for x in np.split(totals[at] - own, np.cumsum([len(k) for k in keys])[:-1])]  # what all others add
+            if order == "words":
+                out["tokens"][0], out["types"][0] = int(totals.sum()), int(np.count_nonzero(totals))
+        return pd.DataFrame(out)
+
+    columns = ", ".join(f"{order} binary, {order}_count binary" for order in ORDERS)
+    asked = blocks.select("block", "payload").mapInPandas(ask, f"bucket long, block long, {columns}").repartition(buckets, "bucket")
+    answers = asked.groupBy("bucket").applyInPandas(answer, "block long, bucket long, words binary, pairs binary, triples binary, tokens long, types long")
     answers = materialise(answers, "answers")
     total = answers.agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = int(total[0] or 0), int(total[1] or 0)
 
     def walk(block_rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         ids, texts = _open(block_rows["payload"].iloc[0])
-        block = Block(texts)
-        ordered = replies.sort_values("bucket")
-        words, pairs = (np.concatenate([_unplanes(d, "<u8") for d in ordered[kind]]) for kind in ("words", "pairs"))
-        automaton = Automaton(block, words, pairs, tokens, types, mu)
-        starts = np.concatenate([[0], block.ends[:-1]])
+        block, ordered = Block(texts), replies.sort_values("bucket")
+        counts = block.counts(np.array([not held_out(i) for i in ids]))
+        for order in ORDERS:
+            counts[order] = counts[order] + np.concatenate([_unplanes(d, "<u8") for d in ordered[order]])
+        automaton = Automaton(block, counts, tokens, types, mu)
         return pd.DataFrame(
             {
                 "doc_id": pd.array(ids, dtype="Int64"),
                 "held_out": [held_out(i) for i in ids],
                 "n_tokens": block.lengths,
-                "n_known": np.add.reduceat((automaton.count > 0)[block.words].astype(np.int64), starts),
+                "n_known": np.add.reduceat((automaton.count > 0)[block.words].astype(np.int64), block.starts),
                 "train_tokens": tokens,
-                "base_score": np.add.reduceat(np.asarray(automaton.root)[block.words], starts),
+                "base_score": np.add.reduceat(np.asarray(automaton.root)[block.words], block.starts),
                 "score": automaton.walk_all(block),
             }
         )
 
-    return blocks.select("block", "payload").groupBy("block").cogroup(answers.select("block", "bucket", "words", "pairs").groupBy("block")).applyInPandas(walk, SCORES)
+    sent = blocks.select("block", "payload").repartition(n_blocks, "block").groupBy("block")
+    replies = answers.select("block", "bucket", *ORDERS).repartition(n_blocks, "block").groupBy("block")
+    return sent.cogroup(replies).applyInPandas(walk, SCORES)

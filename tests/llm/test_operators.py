@@ -474,35 +474,41 @@ def test_language_model(spark):
     def out(i):
         return zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
 
-    count, pairs = collections.Counter(), collections.Counter()
+    count, pairs, triples = collections.Counter(), collections.Counter(), collections.Counter()
     for i, t in data:
         if not out(i):
             count.update(t)
             pairs.update(zip([0, *t], t, strict=False))
-    n, v, mu = sum(count.values()), len(count), 10.0
+            triples.update(zip([0, *t], t, t[1:], strict=False))
+    n, v, mu = sum(count.values()), len(count), (10.0, 3.0)
 
     def once(w):
         return (count[w] + 1) / (n + v + 1)
 
+    def twice(h, w):
+        return (pairs[h, w] + mu[0] * once(w)) / ((count[None] if h == 0 else count[h]) + mu[0])
+
+    def thrice(g, h, w):
+        return (triples[g, h, w] + mu[1] * twice(h, w)) / (pairs[g, h] + mu[1])
+
     def score(t):
-        return sum(math.log10((pairs[h, w] + mu * once(w)) / ((count[None] if h == 0 else count[h]) + mu)) for h, w in zip([0, *t], t, strict=False))
+        return math.log10(twice(0, t[0])) + sum(math.log10(thrice(g, h, w)) for g, h, w in zip([0, *t], t, t[1:], strict=False))
 
     want = sorted((str(i), out(i), len(t), sum(count[w] > 0 for w in t), n, round(sum(math.log10(once(w)) for w in t), 8), round(score(t), 8)) for i, t in data)
     got = sorted((str(r[0]), *r[1:5], round(r[5], 8), round(r[6], 8)) for r in rows(language_model.score_documents(docs, mu)))
     assert got == want
-    for h in (0, "the", "nowhere"):  # a distribution over known words and the unknown one
-        context = count[None] if h == 0 else count[h]
-        assert abs(sum((pairs[h, w] + mu * once(w)) / (context + mu) for w in [*count, "unknown"]) - 1) < 1e-9
+    for g, h in ((0, "the"), ("the", "cat"), ("sat", "nowhere"), ("nowhere", "on")):  # distributions over known words and the unknown one
+        assert abs(sum(thrice(g, h, w) for w in [*count, "unknown"]) - 1) < 1e-9
+        assert abs(sum(twice(h, w) for w in [*count, "unknown"]) - 1) < 1e-9
     assert language_model.score_documents(empty(spark)).count() == 0
 
 
-def test_automaton_walks_agree():
-    block = language_model.Block(["a b a c", "", "b b b A", "c a"])
-    words, pairs = block.counts(np.array([True, True, True, False]))
-    automaton = language_model.Automaton(block, words, pairs, 11, 4, 2.0)
-    starts = [0, *block.ends[:-1]]
-    one = [automaton.walk(block.words[a:b].tolist()) for a, b in zip(starts, block.ends, strict=True)]
-    assert np.allclose(one, automaton.walk_all(block), atol=1e-12)
+def test_buckets_and_blocks_change_nothing(spark, monkeypatch):
+    docs = awkward(spark).unionByName(spark.createDataFrame([doc(i, f"{PROSE} number {i}") for i in range(300, 340)], SCHEMA)).coalesce(2)
+    want = sorted((str(r[0]), *r[1:]) for r in rows(language_model.score_documents(docs)))
+    monkeypatch.setattr(language_model, "BUCKET_CHARS", 1_000)
+    got = sorted((str(r[0]), *r[1:]) for r in rows(language_model.score_documents(docs.repartition(7))))
+    assert [(*r[:5], round(r[5], 8), round(r[6], 8)) for r in got] == [(*r[:5], round(r[5], 8), round(r[6], 8)) for r in want]
 
 
 def test_language_model_beats_unigrams(spark, sf_dir):
