@@ -6,8 +6,10 @@ input has at most `capacity` rows at every scale, and a filling is chosen for as
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
+import hashlib
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Mapping
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,7 +21,9 @@ from nearfield.storage import global_rank, materialise
 
 CAPACITY = 2048
 #: Nodes of the search, and how often on the way best fit is tried on what is left.
-NODES, PROBE = 4_000, 8
+NODES, PROBE = 8_000, 16
+#: Fillings kept at one node, and steps of their enumeration.
+KEEP, STEPS = 8, 800
 
 #: A filling: lengths with how many of each, longest first; and a plan: fillings with how many sequences use each.
 Filling = tuple[tuple[int, int], ...]
@@ -82,70 +86,68 @@ def lower_bound(counts: Mapping[int, int], capacity: int) -> int:
 
 
 def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether the pieces of b fit, in groups, into the places that the pieces of a take."""
-    rooms = sorted(a)
+    """Whether the pieces of b, longest first, each find a place in the room that the pieces of a take.
 
-    def place(i: int, rooms: list[int]) -> bool:
-        if i == len(b):
-            return True
-        tried = set()
-        for j, room in enumerate(rooms):
-            if room >= b[i] and room not in tried:
-                tried.add(room)
-                if place(i + 1, [*rooms[:j], room - b[i], *rooms[j + 1 :]]):
-                    return True
+    Tried by best fit, so a yes is sure and a no may leave a branch that wasn't needed.
+    """
+    rooms = sorted(a)
+    if sum(rooms) < sum(b):
         return False
-
-    return sum(a) >= sum(b) and place(0, rooms)
-
-
-#: Fillings kept at one node, steps of their enumeration, and different lengths from where on it is mostly left to exact pairs.
-KEEP, STEPS, MANY = 24, 4_000, 64
+    for x in b:
+        at = bisect_left(rooms, x)
+        if at == len(rooms):
+            return False
+        insort(rooms, rooms.pop(at) - x)
+    return True
 
 
 def fillings(counts: np.ndarray, largest: int, capacity: int, most_waste: int) -> list[tuple[int, ...]]:
     """Undominated ways to fill up a sequence that begins with the largest piece, least waste first.
 
-    counts[x] is the number of pieces of length x left. Only fillings that waste at most most_waste are kept.
+    counts[x] is the number of pieces of length x left. Each further piece is first the longest that fits; fillings that depart from that
+    once come next, then those that do twice, and so on, until KEEP of them waste nothing, STEPS are done or none is
+    left. Only fillings that waste at most most_waste are kept, KEEP at most.
     """
     cap = capacity - largest
     left = counts[: cap + 1].copy()
     if largest <= cap:
         left[largest] -= 1
-    lengths = np.flatnonzero(left)[::-1].tolist()
-    rising = lengths[::-1]
-    many = len(lengths) > MANY
-    found: set[tuple[int, tuple[int, ...]]] = set()
-    steps = STEPS // 20 if many else STEPS
-
-    def extend(room: int, most: int, chosen: tuple[int, ...]) -> None:
-        nonlocal steps
+    rising = np.flatnonzero(left).tolist()
+    number = {x: int(left[x]) for x in rising}
+    found: dict[tuple[int, ...], int] = {}
+    steps, whole = STEPS, 0
+
+    def extend(room: int, most: int, chosen: tuple[int, ...], departures: int) -> bool:
+        """Whether any path used up its departures."""
+        nonlocal steps, whole
         steps -= 1
-        fits = False
+        fits = ended = False
         for j in range(bisect_right(rising, min(room, most)) - 1, -1, -1):
-            if steps <= 0:
-                return
             x = rising[j]
-            if left[x] > 0:
-                fits = True
-                left[x] -= 1
-                extend(room - x, x, (*chosen, x))
-                left[x] += 1
-        if not fits and room <= most_waste and not any(left[x] > 0 for x in rising[: bisect_right(rising, room)]):
-            found.add((room, chosen))
-
-    extend(cap, cap, ())
-    if many:
-        x = np.arange(cap // 2, cap + 1)
-        x = x[(left[x] > 0) & (left[cap - x] - (2 * x == cap) > 0) & (cap - x > 0)]
-        found |= {(0, (int(v), int(cap - v))) for v in x[-KEEP:]}
-        if cap > 0 and left[cap] > 0:
-            found.add((0, (cap,)))
-    if not lengths and cap <= most_waste:
-        found.add((cap, ()))
+            if not number[x]:
+                continue
+            if fits and not departures:
+                break
+            if steps <= 0 or whole >= KEEP:
+                return True
+            number[x] -= 1
+            ended |= extend(room - x, x, (*chosen, x), departures - fits)
+            number[x] += 1
+            fits = True
+        if fits or departures:
+            return ended
+        if room <= most_waste and chosen not in found:
+            if not any(x <= room and number[x] for x in rising[: bisect_right(rising, room)]):
+                found[chosen] = room
+                whole += not room
+        return True
+
+    departures = 0
+    while extend(cap, cap, (), departures) and steps > 0 and whole < KEEP:
+        departures += 1
     kept: list[tuple[int, ...]] = []
-    for _, f in sorted(found, key=lambda f: (f[0], len(f[1]), tuple(-x for x in f[1])))[: 4 * KEEP]:
-        if len(f) > 8 or not any(len(k) <= 8 and k != f and _dominates(k, f) for k in kept):
+    for f in sorted(found, key=lambda f: (found[f], len(f), tuple(-x for x in f))):
+        if not any(_dominates(k, f) for k in kept):
             kept.append(f)
         if len(kept) == KEEP:
             break
@@ -154,7 +156,7 @@ def fillings(counts: np.ndarray, largest: int, capacity: int, most_waste: int) -
 
 def _branches(left: np.ndarray, capacity: int, spare: int) -> Iterator[tuple[Filling, int]]:
     """Fillings around the largest piece left, tightest first, each for as many sequences as it goes and then for one."""
-    largest = int(np.flatnonzero(left)[-1])
+    largest, made = int(np.flatnonzero(left)[-1]), []
     for f in fillings(left, largest, capacity, spare):
         whole = (largest, *f)
         filling: Filling = tuple((x, whole.count(x)) for x in sorted(set(whole), reverse=True))
@@ -162,17 +164,17 @@ def _branches(left: np.ndarray, capacity: int, spare: int) -> Iterator[tuple[Fil
         lost = capacity - sum(whole)
         if lost:
             most = min(most, spare // lost)
-        for times in dict.fromkeys((most, 1)):
-            if times:
-                yield filling, times
+        made += [(filling, times) for times in dict.fromkeys((most, 1)) if times]
+    return iter(made)
 
 
 def bin_completion(counts: Mapping[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
     """Pack a histogram {length: count} of pieces of at most capacity into as few sequences as `nodes` nodes can show.
 
-    Each node completes a sequence around the largest piece left, with undominated fillings in order of waste. A branch ends
-    when its waste exceeds what one sequence fewer than the incumbent allows. Best fit gives the first incumbent and, on the
-    way down, others; the search stops at the lower bound. The result is never worse than best fit.
+    Each node completes sequences around the largest piece left, with undominated fillings in order of waste. A branch ends
+    when its waste exceeds what one sequence fewer than the incumbent allows, or where it meets a state that was seen with as few
+    sequences. Best fit gives the first incumbent and, on the way down, others; the search stops at the lower bound. The result is
+    never worse than best fit. The rules are the same for all histograms.
     """
     counts = {int(x): int(n) for x, n in counts.items() if n}
     if not counts:
@@ -195,7 +197,7 @@ def bin_completion(counts: Mapping[int, int], capacity: int = CAPACITY, nodes: i
     plan: Plan = []
     frames: list[Iterator[tuple[Filling, int]]] = []
     used = waste = visited = 0
-    seen: set = set()
+    seen: dict[bytes, int] = {}
     entering = True
     while best_n > bound and visited < nodes:
         if entering:
@@ -208,17 +210,17 @@ def bin_completion(counts: Mapping[int, int], capacity: int = CAPACITY, nodes: i
                     best, best_n = list(plan), used
                 frames.append(iter(()))
                 continue
-            state = (used, tuple(remains.items())) if len(remains) <= MANY else None
-            if spare < 0 or used + lower_bound(remains, capacity) >= best_n or (state is not None and state in seen):
+            state = hashlib.blake2b(left.tobytes(), digest_size=16).digest()
+            if spare < 0 or used + lower_bound(remains, capacity) >= best_n or seen.get(state, used + 1) <= used:
                 frames.append(iter(()))
                 continue
-            if state is not None:
-                seen.add(state)
-            if visited % PROBE == 0 or visited < PROBE:
+            seen[state] = used
+            if visited % PROBE == 1:
                 tail = best_fit(remains, capacity)
                 if (n := used + sum(m for _, m in tail)) < best_n:
                     best, best_n = [*plan, *tail], n
-            frames.append(_branches(left.copy(), capacity, spare))
+                    spare = (best_n - 1) * capacity - total - waste
+            frames.append(_branches(left, capacity, spare))
         if not frames:
             break
         step = next(frames[-1], None)

@@ -176,6 +176,38 @@ def test_bin_completion_is_optimal():
         assert used == counts and sum(n for _, n in plan) == best >= packing.lower_bound(counts, capacity)
 
 
+def packed(counts, capacity=2048):
+    plan, used = packing.bin_completion(counts, capacity), collections.Counter()
+    for filling, times in plan:
+        assert sum(x * k for x, k in filling) <= capacity
+        for x, k in filling:
+            used[x] += k * times
+    assert used == counts
+    return sum(n for _, n in plan), sum(n for _, n in packing.best_fit(counts, capacity)), packing.lower_bound(counts, capacity)
+
+
+def test_many_lengths():
+    """Hundreds of lengths: never worse than best fit, and near the bound."""
+    rng = random.Random(12)
+    n, fit, bound = packed(collections.Counter(rng.randint(1, 2048) for _ in range(20_000)))
+    assert bound <= n <= fit and n <= 1.002 * bound
+    n, fit, bound = packed(collections.Counter(rng.randint(400, 900) for _ in range(5_000)))
+    assert bound <= n < fit  # best fit wastes much here
+    pieces = []
+    for _ in range(400):  # sequences that are filled up, cut in three: the optimum is known
+        a, b = sorted(rng.sample(range(200, 1_800), 2))
+        pieces += [x for x in (a, b - a, 2048 - b) if x]
+    counts = collections.Counter(pieces)
+    n, fit, bound = packed(counts)
+    assert len(counts) > 64 and 400 == bound <= n <= fit and n <= 402
+
+
+def test_dominated_fillings():
+    assert packing._dominates((7, 5), (5, 4, 3)) and not packing._dominates((5, 4, 3), (7, 5)) and packing._dominates((5,), ()) and not packing._dominates((5, 5), (6,))
+    counts = np.bincount([10, 6, 4, 3, 3, 2], minlength=21)
+    assert packing.fillings(counts, 10, 20, 20)[0] == (6, 4)
+
+
 def test_packing(spark):
     got = packing.pack_documents(awkward(spark), capacity=64).collect()
     import tokenizers
