@@ -9,15 +9,18 @@ differ in one bit, the first's own index is among the second's. All pairs within
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import lower_ascii, map_rows, text_or_empty, words_of
+from nearfield.llm.common import SLICE, lower_ascii, map_rows, text_or_empty, words_of
 from nearfield.llm.components import components
 from nearfield.storage import materialise
 
@@ -45,27 +48,18 @@ def _another(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint_family(text: str | None, size: int = 3, seed: int = SEED, n: int = 1) -> list[int]:
-    """n signed 64-bit integers whose bits are set where over half of the shingles' hashes have them; 0 without words.
-
-    The first is of the shingles' XXH64, the others of hashes made from it.
-    """
+def fingerprint(text: str | None, size: int = 3, seed: int = SEED) -> int:
+    """A signed 64-bit integer whose bits are set where over half of the shingles' XXH64 have them; 0 without words."""
     import xxhash
 
     shingles = _shingles(text, size)
     if not shingles:
-        return [0] * n
-    hashed = xxhash.xxh64_intdigest
-    ones = np.zeros((n, 64), dtype=np.int64)
+        return 0
+    ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(shingles), BLOCK):
-        block = np.array([hashed(s, seed) for s in shingles[at : at + BLOCK]], dtype=np.uint64)
-        for k in range(n):
-            ones[k] += np.unpackbits(_another(block, k).astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(shingles), axis=1).view(">i8")[:, 0].tolist()
-
-
-def fingerprint(text: str | None, size: int = 3, seed: int = SEED) -> int:
-    return fingerprint_family(text, size, seed)[0]
+        block = np.array([xxhash.xxh64_intdigest(s, seed) for s in shingles[at : at + BLOCK]], dtype=">u8")
+        ones += np.unpackbits(block.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(shingles)).view(">i8")[0])
 
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = SEED) -> DataFrame:
@@ -77,19 +71,24 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = SEED) -> DataFrame:
     return map_rows(docs.select("doc_id", text_or_empty().alias("text")), make, "doc_id long, fp long")
 
 
-@lru_cache(maxsize=1)
-def golay_keys() -> tuple[np.ndarray, np.ndarray]:
-    """For each 16-bit value its own codeword index, and its up to six nearby indices, padded with -1."""
+def codewords() -> np.ndarray:
+    """The 4,096 words of the Golay code, by index: each is a multiple of the generator polynomial."""
     message = np.arange(4096, dtype=np.int64)
     rest = message << 11
     for bit in range(22, 10, -1):
         rest = np.where((rest >> bit) & 1, rest ^ (GENERATOR << (bit - 11)), rest)
-    words = (message << 11) | rest
+    return (message << 11) | rest
+
+
+@lru_cache(maxsize=1)
+def golay_keys() -> tuple[np.ndarray, np.ndarray]:
+    """For each 16-bit value its own codeword index, and its up to six nearby indices, padded with -1."""
+    words = codewords()
     index = np.full(1 << 23, -1, dtype=np.int16)
     flips = [0, *(1 << i for i in range(23))]
     near = sorted({a ^ b ^ c for a in flips for b in flips for c in flips})  # all errors of at most three bits
     for e in near:
-        index[words ^ e] = message
+        index[words ^ e] = np.arange(4096)
     value = np.arange(1 << 16, dtype=np.int64)
     found = np.stack([index[value], *(index[value ^ (1 << i)] for i in range(16))], axis=1).astype(np.int64)
     found.sort(axis=1)
@@ -216,125 +215,179 @@ def near_duplicates(docs: DataFrame, size: int = 3, seed: int = SEED, hot: int =
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of a document in `similar_groups`, words of the shingles that its links are verified on, and their least similarity.
-FAMILY, VERIFY_WORDS, SIMILARITY = 3, 5, 0.8
+#: Segments of a soft fingerprint, how many of them a key joins, and words of the shingles that links are verified on, with their least similarity.
+SOFT_SEGMENTS, TOGETHER, VERIFY_WORDS, SIMILARITY = 5, 3, 5, 0.8
+#: Least hashes in a sketch, and the similarity by a sketch below which a pair isn't verified in full (five deviations below 0.8).
+SKETCH, SKETCH_LEAST = 64, 0.55
+#: Centres of a key that are tried in the first round, and pairs of one centre that go to one task.
+CENTRES, CENTRE_PAIRS = 4, 4_096
+DESCRIBED = "doc_id long, node long, size int, sketch array<long>, codes array<int>"
 
 
-def shingle_set(text: str | None, size: int = VERIFY_WORDS) -> bytes:
-    """Sorted distinct 64-bit hashes of the text's shingles."""
-    import xxhash
+@lru_cache(maxsize=1)
+def _signs() -> np.ndarray:
+    """The codewords as rows of 23 signs."""
+    return (2 * ((codewords()[:, None] >> np.arange(23)) & 1) - 1).astype(np.float32)
 
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in _shingles(text, size)], dtype="<u8")).tobytes()
 
+def soft_margins(text: str | None) -> np.ndarray:
+    """For each bit of the fingerprint of a text's distinct words, how many more words have it set than not."""
+    import xxhash
 
-def jaccard(a: bytes, b: bytes) -> float:
-    """Of two shingle sets; two empty ones are equal."""
-    x, y = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+    bits = 23 * SOFT_SEGMENTS
+    hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words_of(lower_ascii(text or "")))], dtype=np.uint64)
+    ones = [np.unpackbits(_another(hashes, k).astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64) for k in range(-(-bits // 64))]
+    return 2 * np.concatenate(ones)[:bits] - len(hashes)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY, size: int = VERIFY_WORDS) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose whole texts have a Jaccard similarity of at least `similarity` over shingles of `size` words.
+def soft_codes(margins: np.ndarray) -> np.ndarray:
+    """For each row and segment the two nearest codewords, decoded from the margins: a bit counts by how clearly it is set.
 
-    Only documents in pairs have their shingles made.
+    Bits that a small edit turns are those with small margins, so near copies decode alike.
     """
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    rows, out = np.arange(len(margins)), np.empty((len(margins), 2 * SOFT_SEGMENTS), dtype=np.int32)
+    for i in range(SOFT_SEGMENTS):
+        likeness = margins[:, 23 * i : 23 * i + 23].astype(np.float32) @ _signs().T
+        for j in range(2):
+            out[:, 2 * i + j] = likeness.argmax(axis=1)
+            likeness[rows, out[:, 2 * i + j]] = -np.inf
+    return out
 
-    def make():
-        return lambda doc_id, text: (doc_id, shingle_set(text, size))
 
-    sets = map_rows(docs.select("doc_id", text_or_empty().alias("text")).join(ids, "doc_id", "left_semi"), make, "doc_id long, shingles binary")
-    sets = materialise(sets.groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "shingles")
+def shingle_set(text: str | None, size: int = VERIFY_WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's shingles."""
+    import xxhash
+
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in _shingles(text, size)], dtype="<u8").view("<i8"))
+
 
-    @F.pandas_udf("double")
-    def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, y in batches:
-            yield pd.Series([jaccard(i, j) for i, j in zip(x, y, strict=True)], dtype="float64")
+def set_id(shingles: np.ndarray) -> int:
+    """A 64-bit digest of a shingle set, by which documents with equal sets are one node."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.filter(similar("x", "y") >= similarity).select("a", "b")
 
+def described(docs: DataFrame) -> DataFrame:
+    """Each row's node (the digest of its shingle set), the set's size and sketch, and the codes of its soft fingerprint."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-def _blocks(own: DataFrame, near: DataFrame, named: DataFrame, kind: int) -> DataFrame:
-    """kind, x, y, fp, node, inner: the nodes of each fingerprint, and of each pair of near ones, that are in several components.
+    schema = to_arrow_schema(StructType.fromDDL(DESCRIBED))
 
-    Candidates are the inner nodes of a block against all others of it: all of one fingerprint, or the fewer of a pair against the
-    other's. Pairs of single nodes have nothing left to try.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                ids, texts = (c.to_pylist() for c in batch.slice(at, SLICE).columns)
+                sets = [shingle_set(t) for t in texts]
+                codes = soft_codes(np.stack([soft_margins(t) for t in texts]))
+                values = [ids, [set_id(s) for s in sets], [len(s) for s in sets], [s[:SKETCH] for s in sets], codes.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, type=t.type) for v, t in zip(values, schema, strict=True)], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, DESCRIBED)
+
+
+def _soft_keys(nodes: DataFrame) -> DataFrame:
+    """key, node, home: one key for each choice of TOGETHER segments from their nearest codewords (home), and one for each segment
+    of the choice that takes its second nearest instead."""
+    made = []
+    for n, chosen in enumerate(combinations(range(SOFT_SEGMENTS), TOGETHER)):
+        for second in (None, *chosen):
+            key = F.lit(n).cast("long")
+            for s in chosen:
+                key = key * 4096 + F.col("codes")[2 * s + (s == second)]
+            made.append(F.struct(key.alias("key"), F.lit(second is None).alias("home")))
+    return nodes.select("node", F.inline(F.array(*made))).select("key", "node", "home")
+
+
+def verified(sets: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets (node, size, sketch, shingles) have a Jaccard similarity of at least `similarity`.
+
+    Sizes and then sketches sort out what can't be; only other pairs meet the sets. The b of a pair is joined first; a node that is the
+    a of many pairs is sent to several tasks.
     """
-    held = own.join(named, "node", "left").groupBy("fp").agg(F.count("*").alias("n"), F.min(F.coalesce("component", "node")).alias("lo"), F.max(F.coalesce("component", "node")).alias("hi"))
-    held = materialise(held, "held")
-    side = lambda f, s: held.select(F.col("fp").alias(f), *[F.col(c).alias(c + s) for c in ("n", "lo", "hi")])
-    equal = held.filter("lo < hi").select(F.col("fp").alias("x"), F.col("fp").alias("y"), "fp", F.lit(True).alias("inner"))
-    apart = near.join(side("fa", "a"), "fa").join(side("fb", "b"), "fb").filter("na + nb > 2 and least(loa, lob) < greatest(hia, hib)")
-    fewer = F.col("na") <= F.col("nb")
-    sides = [apart.select(F.col("fa").alias("x"), F.col("fb").alias("y"), F.col(f).alias("fp"), inner.alias("inner")) for f, inner in (("fa", fewer), ("fb", ~fewer))]
-    return equal.unionByName(sides[0]).unionByName(sides[1]).join(own, "fp").select(F.lit(kind).alias("kind"), "x", "y", "fp", "node", "inner")
-
-
-def _settle(docs: DataFrame, blocks: DataFrame, named: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
-    """node, component after verifying all candidates of the blocks that are in different components.
-
-    Round after round one, two, four, ... inner nodes of each block (by a hash, so that nothing is sorted) meet those of its nodes that are still
-    in another component, until each block is one component or all its inner nodes have been met. So whatever pair isn't
-    verified is in one component already.
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / CENTRE_PAIRS).alias("parts"))
+
+    def met(pairs: DataFrame, *names: str) -> DataFrame:
+        right = pairs.join(sets.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in names]), "b")
+        spread = parts.join(sets.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in names]), "a").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        return right.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).drop("parts").join(spread.drop("parts"), ["a", "part"]).drop("part")
+
+    sized = met(pairs, "size", "sketch").filter(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9)
+    least = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)
+    common = F.size(F.array_intersect(least, F.array_intersect("sketch_a", "sketch_b")))
+    likely = materialise(sized.filter(common >= (similarity - SIMILARITY + SKETCH_LEAST) * F.size(least)).select("a", "b"), "likely")
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    return met(likely, "size", "shingles").withColumn("_n", both).filter(F.col("_n") >= similarity * (F.col("size_a") + F.col("size_b") - F.col("_n")) - 1e-9).select("a", "b")
+
+
+def _settle(sets: DataFrame, blocks: DataFrame, similarity: float) -> DataFrame:
+    """node, component after verifying all candidates of the blocks (key, node, home) that are in different components.
+
+    Candidates are the home nodes of a block against all others of it. Round after round four, sixteen, ... of them (the next by a hash,
+    so that nothing is sorted, and the same in all blocks) are centres that meet those nodes of the block that are still in another component,
+    until each block is one component or all its home nodes were centres. So whatever pair isn't verified is in one component
+    already, and a block costs one row for each node and centre.
     """
-    block = ["kind", "x", "y"]
-    docs = materialise(docs.join(blocks.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text"), "parted")
-    start, width = 0, 1
+    spark = blocks.sparkSession
+    named = spark.createDataFrame([], "node long, component long")
+    tried = spark.createDataFrame([], "a long, b long")
+    start, width = 0, CENTRES
     while True:
         at = blocks.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        sizes = at.groupBy(*block).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.col("inner").cast("long")).alias("m"))
-        at = materialise(at.join(sizes.filter((F.col("lo") < F.col("hi")) & (F.col("m") > start)).select(*block, "m"), block), "open")
+        sizes = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.col("home").cast("long")).alias("m"))
+        at = materialise(at.join(sizes.filter((F.col("lo") < F.col("hi")) & (F.col("m") > start)).select("key", "m"), "key"), "open")
         if at.isEmpty():
             return named
         place = F.shiftright(F.pmod(F.xxhash64("node"), F.lit(1 << 31)) * F.col("m"), 31)
-        centres = at.filter(F.col("inner") & (place >= start) & (place < start + width)).select(*block, F.col("fp").alias("cf"), F.col("node").alias("c"), F.col("component").alias("cc"))
-        met = at.join(centres, block).filter((F.col("component") != F.col("cc")) & ((F.col("x") == F.col("y")) | (F.col("fp") != F.col("cf"))))
-        pairs = materialise(met.select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        centres = at.filter(F.col("home") & (place >= start) & (place < start + width)).select("key", F.col("node").alias("a"), F.col("component").alias("_c"))
+        met = at.join(centres, "key").filter(F.col("component") != F.col("_c")).select("a", F.col("node").alias("b"), F.least("a", "node").alias("_x"), F.greatest("a", "node").alias("_y"))
+        once = met.groupBy("_x", "_y").agg(F.min(F.struct("a", "b")).alias("p")).join(tried.select(F.col("a").alias("_x"), F.col("b").alias("_y")), ["_x", "_y"], "left_anti")
+        pairs = materialise(once.select("p.a", "p.b"), "pairs")
         if not pairs.isEmpty():
-            tried = tried.unionByName(pairs)
-            fine = verified(docs, pairs, similarity)
-            named = materialise(components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fine)), "named")
-        start, width = start + width, 2 * width
+            tried = tried.unionByName(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+            fine = materialise(verified(sets, pairs, similarity), "fine")
+            if not fine.isEmpty():
+                named = materialise(components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fine)), "named")
+        start, width = start + width, 4 * width
 
 
-def similar_groups(docs: DataFrame, n: int = FAMILY, similarity: float = SIMILARITY, size: int = 3, seed: int = SEED, hot: int = HOT) -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """node, component_id: groups of documents that chains of verified links connect, each named by its least doc_id.
 
-    Documents with equal fingerprints in the whole family are one node, the least of them. Nodes are candidates if one fingerprint of the family
-    differs in three bits at most (near copies that one fingerprint misses another often meets), and linked if their five-word
-    shingles have a Jaccard similarity of 0.8 or more. The least nodes of the fingerprints are tried first, and after them all candidates that
-    are still in different components. Under keys with over `hot` rows, candidates are those that connect the fingerprints, not all pairs.
+    Documents with equal sets of five-word shingles are one node, the least of them. The fingerprint of a document's distinct words is
+    cut into five segments, each decoded to nearby words of the Golay code, whose indices in threes are its keys: nodes that agree in three segments
+    (one of them may be second nearest) are candidates, and linked if their shingles have a Jaccard similarity of 0.8 or more. See
+    _settle for the order in which candidates are tried; none is left out.
     """
+    rows = described(docs)
+    nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("size", "sketch", "codes")]), "nodes")
+    keys = materialise(_soft_keys(nodes), "keys")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("m")).filter("n > 1 and m > 0").select("key")
+    blocks = materialise(keys.join(shared, "key"), "blocks")
+    asked = materialise(nodes.join(blocks.select("node").distinct(), "node").select("node", "doc_id", "size", "sketch"), "asked")
 
     def make():
-        return lambda doc_id, text: (doc_id, fingerprint_family(text, size, seed, n))
-
-    fps = map_rows(docs.select("doc_id", text_or_empty().alias("text")), make, "doc_id long, fps array<long>")
-    nodes = materialise(fps.groupBy("fps").agg(F.min("doc_id").alias("node")), "nodes")
-    pairs, nears = None, []
-    for k in range(n):
-        own = nodes.select(F.col("fps")[k].alias("fp"), "node")
-        first = materialise(own.groupBy("fp").agg(F.min("node").alias("node")), "first")
-        same = own.join(first.select("fp", F.col("node").alias("b")), "fp").filter(F.col("node") != F.col("b")).select(F.col("b").alias("a"), F.col("node").alias("b"))
-        nears.append(materialise(_near(first, hot), "near"))
-        found = materialise(_named(nears[k], first).unionByName(same), "pairs")
-        pairs = found if pairs is None else pairs.unionByName(found)
-    tried = materialise(pairs.distinct(), "tried")
-    found = materialise(components(materialise(verified(docs, tried, similarity), "verified")), "named")
-    blocks = [_blocks(nodes.select(F.col("fps")[k].alias("fp"), "node"), near, found, k) for k, near in enumerate(nears)]
-    found = _settle(docs, materialise(reduce(DataFrame.unionByName, blocks), "blocks"), found, tried, similarity)
-    named = nodes.join(found, "node", "left")
-    return named.select("node", F.coalesce("component", "node").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, n: int = FAMILY, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs that carry the least doc_id of their group (see similar_groups), one row for each such id, with all their columns.
+        def of(text):
+            shingles = shingle_set(text)
+            return set_id(shingles), shingles
+
+        return of
+
+    texts = docs.join(asked.select("doc_id"), "doc_id", "left_semi").select(text_or_empty().alias("text"))
+    shingles = map_rows(texts, make, "node long, shingles array<long>").dropDuplicates(["node"])
+    sets = materialise(asked.drop("doc_id").join(shingles, "node"), "sets")
+    found = _settle(sets, blocks, similarity)
+    named = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "component").select(F.col("doc_id").alias("node"), "component_id")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs that carry the least doc_id of their group (see similar_groups), one row for each such id (of several, the one whose
+    text has the least hash), with all their columns.
 
     Rows with a null doc_id can't be compared by it and stay.
     """
-    found = similar_groups(docs.filter("doc_id is not null"), n, similarity)
+    found = similar_groups(docs.filter("doc_id is not null"), similarity)
     kept = materialise(found.filter("node = component_id").select(F.col("node").alias("doc_id")).distinct(), "kept")
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("_nf_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")))
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("_nf_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")))
     return named.filter("_nf_n = 1").drop("_nf_n").unionByName(docs.filter("doc_id is null"))
