@@ -35,12 +35,24 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
 
     Lost executors then cost a reread instead of a recomputation, and every later use sees the same rows.
-    An empty df keeps its schema. The tables go when the application ends.
+    An empty df keeps its schema. The tables go when the application ends, or before, by `discard`.
     """
     spark = df.sparkSession
     path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._nf_path = path
+    return stored
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete materialised tables that no later plan reads. Other data frames are left alone."""
+    for df in tables:
+        path = getattr(df, "_nf_path", None)
+        if path is not None:
+            jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
