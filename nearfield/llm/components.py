@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.storage import materialise
+from nearfield.storage import discard, materialise
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     for _ in range(rounds):
         if not state[0]:
             break
-        now = materialise(_stars(_stars(now, True), False), "edges")
+        now, old = materialise(_stars(_stars(now, True), False), "edges"), now
+        discard(old)
         state, before = _state(now), state
         if state == before:
             break

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import SLICE, lower_ascii, map_rows, text_or_empty, words_of
 from nearfield.llm.components import components
-from nearfield.storage import materialise
+from nearfield.storage import discard, materialise
 
 SEED, MAX_BITS, SEGMENTS = 42, 3, 4
 GENERATOR = 0b101011100011  # of the [23, 12, 7] Golay code
@@ -219,8 +219,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, seed: int = SEED, hot: int =
 SOFT_SEGMENTS, TOGETHER, VERIFY_WORDS, SIMILARITY = 5, 3, 5, 0.8
 #: Least hashes in a sketch, and the similarity by a sketch below which a pair isn't verified in full (five deviations below 0.8).
 SKETCH, SKETCH_LEAST = 64, 0.55
-#: Centres of a key that are tried in the first round, and pairs of one centre that go to one task.
-CENTRES, CENTRE_PAIRS = 4, 4_096
+#: Centres of a key in the first round (a key with no more home nodes is settled by it), and pairs of one centre that go to one task.
+CENTRES, CENTRE_PAIRS = 16, 4_096
 DESCRIBED = "doc_id long, node long, size int, sketch array<long>, codes array<int>"
 
 
@@ -320,34 +320,39 @@ def verified(sets: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY)
 
 
 def _settle(sets: DataFrame, blocks: DataFrame, similarity: float) -> DataFrame:
-    """node, component after verifying all candidates of the blocks (key, node, home) that are in different components.
+    """node, component after verifying candidates of the blocks (key, node, home).
 
-    Candidates are the home nodes of a block against all others of it. Round after round four, sixteen, ... of them (the next by a hash,
-    so that nothing is sorted, and the same in all blocks) are centres that meet those nodes of the block that are still in another component,
-    until each block is one component or all its home nodes were centres. So whatever pair isn't verified is in one component
-    already, and a block costs one row for each node and centre.
+    Candidates are the home nodes of a block against all others of it that are in another component. In each round the next 16, 64, 256, ...
+    home nodes (by a hash, so that nothing is sorted, and the same ones in all blocks) are centres that meet those others. A block is settled when
+    it is one component, when all its home nodes were centres, or when a round changed no component in it: what then is left are nodes
+    unlike all centres so far, which other, less crowded keys can still link. So a block costs a bounded number of rows for each of its nodes
+    and round, and rounds go on in it only while they link something.
     """
     spark = blocks.sparkSession
     named = spark.createDataFrame([], "node long, component long")
     tried = spark.createDataFrame([], "a long, b long")
+    before = spark.createDataFrame([], "key long, mark decimal(38,0)")
     start, width = 0, CENTRES
     while True:
         at = blocks.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        sizes = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.col("home").cast("long")).alias("m"))
-        at = materialise(at.join(sizes.filter((F.col("lo") < F.col("hi")) & (F.col("m") > start)).select("key", "m"), "key"), "open")
-        if at.isEmpty():
-            return named
+        sizes = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.col("home").cast("long")).alias("m"), F.sum(F.xxhash64("component").cast("decimal(20,0)")).alias("mark"))
+        sizes = sizes.filter((F.col("lo") < F.col("hi")) & (F.col("m") > start))
+        left = materialise(sizes.join(before.select("key", F.col("mark").alias("_old")), "key", "left").filter("_old is null or _old <> mark").select("key", "m", F.col("mark").cast("decimal(38,0)").alias("mark")), "left")
+        at = at.join(left.select("key", "m"), "key")
         place = F.shiftright(F.pmod(F.xxhash64("node"), F.lit(1 << 31)) * F.col("m"), 31)
         centres = at.filter(F.col("home") & (place >= start) & (place < start + width)).select("key", F.col("node").alias("a"), F.col("component").alias("_c"))
         met = at.join(centres, "key").filter(F.col("component") != F.col("_c")).select("a", F.col("node").alias("b"), F.least("a", "node").alias("_x"), F.greatest("a", "node").alias("_y"))
         once = met.groupBy("_x", "_y").agg(F.min(F.struct("a", "b")).alias("p")).join(tried.select(F.col("a").alias("_x"), F.col("b").alias("_y")), ["_x", "_y"], "left_anti")
         pairs = materialise(once.select("p.a", "p.b"), "pairs")
-        if not pairs.isEmpty():
-            tried = tried.unionByName(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-            fine = materialise(verified(sets, pairs, similarity), "fine")
-            if not fine.isEmpty():
-                named = materialise(components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fine)), "named")
-        start, width = start + width, 4 * width
+        if pairs.isEmpty():
+            return named
+        fine = materialise(verified(sets, pairs, similarity), "fine")
+        if fine.isEmpty():
+            return named
+        named, old = materialise(components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fine)), "named"), named
+        discard(old, before)
+        tried = tried.unionByName(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        before, start, width = left, start + width, 4 * width
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -356,11 +361,11 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     Documents with equal sets of five-word shingles are one node, the least of them. The fingerprint of a document's distinct words is
     cut into five segments, each decoded to nearby words of the Golay code, whose indices in threes are its keys: nodes that agree in three segments
     (one of them may be second nearest) are candidates, and linked if their shingles have a Jaccard similarity of 0.8 or more. See
-    _settle for the order in which candidates are tried; none is left out.
+    _settle for the order in which candidates are tried, and when a crowded key is done.
     """
     rows = described(docs)
     nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("size", "sketch", "codes")]), "nodes")
-    keys = materialise(_soft_keys(nodes), "keys")
+    keys = _soft_keys(nodes)
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("m")).filter("n > 1 and m > 0").select("key")
     blocks = materialise(keys.join(shared, "key"), "blocks")
     asked = materialise(nodes.join(blocks.select("node").distinct(), "node").select("node", "doc_id", "size", "sketch"), "asked")

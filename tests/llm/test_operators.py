@@ -374,7 +374,7 @@ def test_soft_codes_are_the_nearest_words():
             assert like[codes[2 * i]] == like.max() and like[codes[2 * i + 1]] == np.sort(like)[-2]
 
 
-@pytest.mark.parametrize("centres", [4, 1])
+@pytest.mark.parametrize("centres", [16, 2])
 def test_similar_groups(spark, monkeypatch, centres):
     monkeypatch.setattr(simhash, "CENTRES", centres)
     monkeypatch.setattr(simhash, "CENTRE_PAIRS", 3)
@@ -410,6 +410,29 @@ def test_similar_groups_of_one_crowded_key(spark):
     assert got == {i: want[i] for i in got} and len(set(truly.values())) == len(set(got.values())) == 8
 
 
+def test_a_large_group_of_near_copies(spark):
+    """Hundreds of copies of one text, each with its own edits; many are unlike most others, and some are near copies of those."""
+    rng, made = random.Random(22), []
+    base = [f"w{rng.randrange(400)}" for _ in range(150)]
+    for _ in range(300):
+        copy = list(base)
+        for _ in range(rng.randrange(12)):
+            copy[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        made.append(copy)
+    for copy in made[:60]:
+        copy = list(copy)
+        copy[rng.randrange(150)] = "again"
+        made.append(copy)
+    texts_of = {i: " ".join(w) for i, w in enumerate(made)}
+    _, truly, pairs = linked_components(texts_of)
+    got = {r["node"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame([doc(i, t) for i, t in texts_of.items()], SCHEMA)).collect()}
+    least = {t: min(i for i in texts_of if texts_of[i] == t) for t in texts_of.values()}
+    named = {i: got[least[t]] for i, t in texts_of.items()}
+    assert sum(named[a] == named[b] for a, b in pairs) >= 0.98 * len(pairs)
+    assert all(truly[i] == truly[c] for i, c in named.items())
+    assert len(set(named.values())) <= 1.1 * len(set(truly.values()))
+
+
 def test_recall_of_pairs_at_the_threshold(spark):
     """Pairs alone, with no third copy to help: at a similarity of 0.8 to 0.9, nine in ten and more are found."""
     rng = random.Random(21)
