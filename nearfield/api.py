@@ -63,11 +63,11 @@ class StaticMemoryIndex:
 
 
 class StaticDiskIndex(StaticMemoryIndex):
-    """A saved index whose codes choose candidates that true distances rank."""
+    """A saved index whose codes steer the walk, beam_width nodes a step, and whose true distances rank what it ends with."""
 
     def batch_search(self, queries: DataFrame, k_neighbors: int, complexity: int = 100, beam_width: int = 2) -> DataFrame:
         check_positive(k_neighbors=k_neighbors, complexity=complexity, beam_width=beam_width)
-        return self.index.quantised(queries, k_neighbors, search_width(k_neighbors, complexity))
+        return self.index.beam(queries, k_neighbors, search_width(k_neighbors, complexity), beam_width)
 
 
 class DynamicMemoryIndex:

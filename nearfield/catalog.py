@@ -227,16 +227,15 @@ def vector_half_precision(spark, sf_dir):
     return p.select("id", vectors.to_half(F.col("vec")).alias("half"), vectors.to_bfloat16(F.col("vec")).alias("bfloat"), vectors.to_base64(F.col("vec"), 8).alias("base64"))
 
 
-@register("SELECT vec_id AS id, true AS same FROM embeddings")
+@register(f"WITH {_P}, u AS (SELECT id, vec, unnest(generate_series(0, len(vec) - 1)) AS i FROM p) SELECT id, CAST(i AS INTEGER) AS at, round(CASE WHEN i % 2 = 0 THEN -vec[i + 2] ELSE vec[i] END, 6) + 0.0 AS x FROM u")
 def vector_rotation(spark, sf_dir):
-    """Turning by a rotation and back gives the vector again."""
+    """A quarter turn in each pair of neighbouring coordinates."""
     import numpy as np
 
     p = points(spark, sf_dir)
-    first = p.select(F.size("vec")).first()
-    turn = np.linalg.qr(np.random.default_rng(0).normal(size=(first[0],) * 2))[0]
-    back = p.withColumn("back", vectors.rotate(vectors.rotate(F.col("vec"), turn), turn, True))
-    return back.select("id", (distance.l2(F.col("vec"), F.col("back")) < 1e-18).alias("same"))
+    half = p.select(F.size("vec")).first()[0] // 2
+    turn = np.kron(np.eye(half), np.array([[0.0, 1.0], [-1.0, 0.0]]))
+    return _long(p.select("id", vectors.rotate(F.col("vec"), turn).alias("vec"))).withColumn("x", F.col("x") + 0.0)
 
 
 # labels ---------------------------------------------------------------------------------------------------------------
@@ -453,18 +452,13 @@ def product_quantisation(spark, sf_dir):
     return codes.agg(F.count("*").alias("rows"), F.max(F.length("codes")).alias("code_bytes"), F.lit(bool(error < 0.5 * spread)).alias("beats_the_mean"))
 
 
-@register("SELECT vec_id AS qid, true AS recalled FROM embeddings WHERE vec_id % 100 = 0")
+@register(_knn_sql("l2", _P))
 def two_stage_search(spark, sf_dir):
-    """A shortlist by codes, ranked by true distances, finds most of each query's ten nearest."""
+    """A shortlist by codes, ranked by true distances; 300 are enough to hold each query's ten nearest."""
     p, q = points(spark, sf_dir), searched(spark, sf_dir)
     book = quantize.train_codebook(p, 16, seed=1)
     codes = p.select("id", quantize.encode_column(F.col("vec"), book).alias("codes"))
-    return _recalled(quantize.two_stage_search(p, codes, q, K, 200, book), exact.exact_knn(p, q, K), 7)
-
-
-def _recalled(found: DataFrame, truth: DataFrame, least: int) -> DataFrame:
-    hits = truth.select("qid", "id").join(found.select("qid", "id").withColumn("hit", F.lit(1)), ["qid", "id"], "left")
-    return hits.groupBy("qid").agg((F.count("hit") >= least).alias("recalled"))
+    return rounded(quantize.two_stage_search(p, codes, q, K, 300, book), "distance")
 
 
 @register("SELECT count(*) AS nodes, true AS within_degree, true AS no_loops FROM embeddings")
@@ -474,29 +468,37 @@ def graph_build(spark, sf_dir):
     return g.agg(F.count("*").alias("nodes"), (F.max(F.size("nbrs")) <= 32).alias("within_degree"), (~F.bool_or(F.array_contains("nbrs", F.col("id")))).alias("no_loops"))
 
 
-@register("SELECT vec_id AS qid, true AS recalled FROM embeddings WHERE vec_id % 100 = 0")
+# Lists as long as a shard make walks over a connected graph exact, so ids and distances are known.
+_WHOLE = 200
+
+
+@register(_knn_sql("l2", _P))
 def graph_search(spark, sf_dir):
     p, q = points(spark, sf_dir), searched(spark, sf_dir)
-    index = index_plans.Index.build(p, _config())
-    return _recalled(index.search(q, K, 100, shards=8), exact.exact_knn(p, q, K), 8)
+    index = index_plans.Index.build(p, _config().with_options(shard_rows=_WHOLE))
+    return rounded(index.search(q, K, _WHOLE, shards=1_000), "distance")
 
 
-@register("SELECT vec_id AS qid, true AS recalled, true AS matching FROM embeddings WHERE vec_id % 100 = 0")
+@register(_knn_sql("l2", _P, _PASS.format(_QLABEL)))
 def graph_search_filtered(spark, sf_dir):
     p, q = points(spark, sf_dir), searched(spark, sf_dir, labelled=True)
-    index = index_plans.Index.build(p, _config(universal_label=UNIVERSAL))
-    found = index.search(q, K, 100, shards=8)
-    fits = found.join(p.select("id", "labels"), "id").join(q.select("qid", "qlabel"), "qid").groupBy("qid").agg(F.bool_and(label_fns.matches(F.col("labels"), F.col("qlabel"), UNIVERSAL)).alias("matching"))
-    return _recalled(found, exact.exact_knn(p, q, K, universal=UNIVERSAL), 8).join(fits, "qid").select("qid", "recalled", "matching")
+    index = index_plans.Index.build(p, _config(universal_label=UNIVERSAL).with_options(shard_rows=_WHOLE))
+    return rounded(index.search(q, K, _WHOLE, shards=1_000), "distance")
 
 
-@register("SELECT vec_id AS qid, true AS recalled FROM embeddings WHERE vec_id % 100 = 0")
+@register(f"WITH {_P} SELECT q.id AS qid, b.id AS id, round({_D['l2']}, 6) AS distance FROM p q JOIN p b ON q.id % 100 = 0 WHERE {_D['l2']} <= 1.5")
 def graph_range_search(spark, sf_dir):
     p, q = points(spark, sf_dir), searched(spark, sf_dir)
-    index = index_plans.Index.build(p, _config())
-    truth, found = exact.range_search(p, q, 1.5), index.range(q, 1.5, 128, 1024)
-    hits = truth.join(found.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left").groupBy("qid").agg((F.count("hit") >= 0.7 * F.count("*")).alias("recalled"))
-    return hits
+    index = index_plans.Index.build(p, _config().with_options(shard_rows=_WHOLE))
+    return rounded(index.range(q, 1.5, _WHOLE, 8 * _WHOLE), "distance")
+
+
+@register(_knn_sql("l2", _P))
+def disk_beam_search(spark, sf_dir):
+    """Codes steer the walk, four nodes a step, and true distances rank."""
+    p, q = points(spark, sf_dir), searched(spark, sf_dir)
+    index = index_plans.Index.build(p, _config().with_options(shard_rows=_WHOLE), chunks=16)
+    return rounded(index.beam(q, K, _WHOLE, 4, shards=1_000), "distance")
 
 
 @register("SELECT count(*) AS nodes, true AS within_degree FROM embeddings")
@@ -511,9 +513,7 @@ def graph_stitched_build(spark, sf_dir):
 @register("SELECT vec_id AS id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS at, round(CAST(unnest(embedding) AS DOUBLE), 6) AS x FROM embeddings")
 def matrix_file_round_trip(spark, sf_dir):
     """Rows written as one matrix file by order of id and read back in parallel; ids are row numbers, as in the table."""
-    import tempfile
-
-    path = f"{tempfile.mkdtemp(prefix='nearfield-')}/points.bin" if spark.sparkContext.master.startswith("local[") else f"{shared_dir(spark)}/points-{uuid.uuid4().hex}.bin"
+    path = f"{shared_dir(spark)}/points-{uuid.uuid4().hex}.bin"
     files.write_matrix(points(spark, sf_dir), path)
     return _long(files.read_matrix(spark, path).select("id", F.col("vec").cast("array<double>").alias("vec")))
 
@@ -533,7 +533,11 @@ def replay_events(spark, sf_dir):
 
 @register("SELECT vec_id AS id FROM embeddings WHERE vec_id > (SELECT max(vec_id) FROM embeddings) - 100")
 def sliding_window(spark, sf_dir):
-    return dynamic.window_rows(points(spark, sf_dir), 100).select("id")
+    """Points inserted in steps, the last hundred kept, and the index consolidated as others leave; all that is live in the end."""
+    index = dynamic.DynamicIndex(spark, f"{shared_dir(spark)}/window-{uuid.uuid4().hex}", IndexConfig(64, degree=8, build_width=16))
+    p = points(spark, sf_dir)
+    dynamic.slide(index, p, 100, max(200, p.count() // 4))
+    return index.active_tags().select((F.col("tag") - 1).alias("id"))
 
 
 @register(_knn_sql("l2", _P, "b.tag % 5 <> 0"))
@@ -555,6 +559,19 @@ def dynamic_consolidate(spark, sf_dir):
     return index.consolidate().select("status", "active", "deleted")
 
 
+@register(_knn_sql("l2", _P, "b.tag % 10 <> 0 AND b.tag <> 7"))
+def dynamic_repair_search(spark, sf_dir):
+    """Index all points, delete each tenth, repair the index around them, delete one more, and search."""
+    index = dynamic.DynamicIndex(spark, f"{shared_dir(spark)}/dynamic-{uuid.uuid4().hex}", IndexConfig(64, degree=32, build_width=64, shard_rows=3 * _WHOLE))
+    p = points(spark, sf_dir)
+    index.insert(p.select("tag", "vec", "labels"))
+    index.consolidate()
+    index.delete(p.filter("tag % 10 = 0").select("tag"))
+    index.consolidate()
+    index.delete(p.filter("tag = 7").select("tag"))
+    return rounded(index.search(searched(spark, sf_dir), K, 3 * _WHOLE).select("qid", "rank", (F.col("tag") - 1).alias("id"), "distance"), "distance")
+
+
 @register("SELECT (vec_id + 1) AS tag FROM embeddings WHERE (vec_id + 1) % 7 <> 0")
 def active_tags(spark, sf_dir):
     p = points(spark, sf_dir)
@@ -575,11 +592,18 @@ def random_labels(spark, sf_dir):
     return p.agg(F.count("*").alias("rows"), (F.min(F.size("labels")) >= 1).alias("labelled"))
 
 
-@register("SELECT vec_id AS qid, true AS recalled FROM embeddings WHERE vec_id % 100 = 0")
+@register(_knn_sql("l2", _P))
 def graph_built_on_codes(spark, sf_dir):
     p, q = points(spark, sf_dir), searched(spark, sf_dir)
-    index = index_plans.Index.build(p, _config(), chunks=32, on_codes=True)
-    return _recalled(index.search(q, K, 150, shards=8), exact.exact_knn(p, q, K), 7)
+    index = index_plans.Index.build(p, _config().with_options(shard_rows=_WHOLE), chunks=32, on_codes=True)
+    return rounded(index.search(q, K, _WHOLE, shards=1_000), "distance")
+
+
+@register(f"WITH {_RING} SELECT src AS id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS nbrs FROM g GROUP BY src")
+def graph_file_round_trip(spark, sf_dir):
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}.bin"
+    files.write_graph(_ring(spark, sf_dir), path)
+    return files.read_graph(spark, path).select("id", F.array_join(F.array_sort("nbrs").cast("array<string>"), ",").alias("nbrs"))
 
 
 @register(f"""WITH RECURSIVE {_RING}, b(id, level) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT g.dst, level + 1 FROM b JOIN g ON g.src = b.id WHERE level < 5)

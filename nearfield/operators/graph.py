@@ -12,44 +12,58 @@ from pyspark.sql import functions as F
 from nearfield.config import IndexConfig
 from nearfield.functions import distance as D
 
-STEP = 1.2  # alpha grows by this from 1
+# Fixed value: the factor between one round of pruning and the next, stricter one.
+STEP = 1.2
+
+
+def levels(alpha: float) -> list[float]:
+    """Factors of the rounds: 1, and what STEP makes of it up to alpha."""
+    out = [1.0]
+    while out[-1] * STEP <= alpha + 1e-9:
+        out.append(out[-1] * STEP)
+    return out
+
+
+def covered(metric: str, level: float, far: np.ndarray, between: np.ndarray) -> np.ndarray:
+    """Which candidates a chosen neighbour stands in for: those that are nearer to it than to the point by more than the factor.
+
+    far are their distances to the point, between those to the neighbour. Products (negated in both) are compared as likenesses.
+    """
+    return between < level * far if metric == "mips" else level * between < far
 
 
 def prune(ids: np.ndarray, d: np.ndarray, vectors: np.ndarray, degree: int, alpha: float, metric: str = "l2", pool: int = 750, labels: Sequence[frozenset] | None = None, saturate: bool = False) -> list[int]:
     """At most `degree` diverse neighbours among candidates (row numbers ids, their distances d to the point).
 
-    A candidate is left out once a chosen one is nearer to it than the point is, by a factor that grows from 1 to alpha. With labels, only a
-    candidate that has all labels of another can stand in for it. saturate fills free places with the nearest left out.
+    In each round of `levels`, the nearest candidate that no neighbour covers becomes one, until none or no place is left; later rounds let
+    candidates in again that the earlier factor shut out. With labels, a neighbour covers only those whose labels it all has. saturate
+    fills free places with the nearest left out.
     """
     order = np.lexsort((ids, d))[:pool]
     ids, d = ids[order], d[order]
-    blocked, taken, chosen = np.zeros(len(ids)), np.zeros(len(ids), dtype=bool), []
-    level = 1.0
-    while level <= alpha + 1e-9 and len(chosen) < degree:
-        for i in range(len(ids)):
-            if len(chosen) == degree:
-                break
-            if taken[i] or blocked[i] > level:
-                continue
-            taken[i] = True
-            chosen.append(int(ids[i]))
-            later = np.flatnonzero(~taken[i + 1 :] & (blocked[i + 1 :] <= alpha)) + i + 1
-            if labels is not None:
-                later = later[[labels[ids[j]] <= labels[ids[i]] for j in later]] if len(later) else later
-            if not len(later):
-                continue
-            between = D.matrix(metric, vectors[ids[later]], vectors[ids[i]][None, :])[0]
-            if metric == "mips":
-                worse = -between > level * -d[later]
-                blocked[later[worse]] = np.maximum(blocked[later[worse]], level + 0.01)
-            else:
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    ratio = np.where(between <= 0, np.inf, d[later] / between)
-                blocked[later] = np.maximum(blocked[later], ratio)
-        level *= STEP
+    rows = vectors[ids]
+    between = D.matrix(metric, rows, rows) if len(ids) else np.zeros((0, 0))
+    within = None if labels is None else [frozenset(labels[i]) for i in ids]
+    chosen: list[int] = []
+
+    def shut(c: int, level: float) -> np.ndarray:
+        out = covered(metric, level, d, between[c])
+        return out if within is None else out & np.fromiter((h <= within[c] for h in within), dtype=bool, count=len(within))
+
+    for level in levels(alpha):
+        free = np.ones(len(ids), dtype=bool)
+        free[chosen] = False
+        for c in chosen:
+            free &= ~shut(c, level)
+        while len(chosen) < degree and free.any():
+            c = int(free.argmax())
+            chosen.append(c)
+            free[c] = False
+            free &= ~shut(c, level)
     if saturate and alpha > 1:
-        chosen += [int(x) for x in ids[~taken][: degree - len(chosen)]]
-    return chosen
+        rest = np.setdiff1d(np.arange(len(ids)), chosen)
+        chosen += rest[: degree - len(chosen)].tolist()
+    return [int(ids[c]) for c in chosen]
 
 
 def build(vectors: np.ndarray, config: IndexConfig, labels: Sequence[frozenset] | None = None) -> list[np.ndarray]:
@@ -214,6 +228,41 @@ def repair(graph: DataFrame, points: DataFrame, deleted: DataFrame, config: Inde
     return repaired.join(over.select("id"), "id", "left_anti").unionByName(pruned)
 
 
+def repair_shards(shards: DataFrame, deleted: DataFrame, config: IndexConfig) -> DataFrame:
+    """A table of shards (see build_shards) without the deleted ids (id).
+
+    Only shards that hold one are worked on, each by one task: a node that pointed at deleted rows takes over their neighbours, and is pruned if it
+    then has too many; a shard whose entry went gets a new one.
+    """
+    metric = "l2" if config.metric == "fast_l2" else config.metric
+    marked = shards.join(deleted.select("id").distinct().withColumn("_gone", F.lit(True)), "id", "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)))
+    hit = marked.filter("_gone").select("shard").distinct()
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id").reset_index(drop=True)
+        ids, gone = group["id"].to_numpy(), group["_gone"].to_numpy(dtype=bool)
+        x, near = np.stack(group["vec"].to_numpy()).astype(np.float64), adjacency(ids, group["nbrs"])
+        names = [frozenset(h) for h in group["labels"]] if any(len(h) for h in group["labels"]) else None
+        out = []
+        for i in np.flatnonzero(~gone):
+            own = near[i][near[i] >= 0]
+            lost = own[gone[own]]
+            if len(lost):
+                through = near[lost].ravel()
+                own = np.unique(np.concatenate([own, through[through >= 0]]))
+                own = own[~gone[own] & (own != i)]
+                if len(own) > config.degree:
+                    own = np.array(prune(own, D.matrix(metric, x[own], x[i][None, :])[0], x, config.degree, config.alpha, metric, config.pool, names, config.saturate), dtype=np.int64)
+            out.append(ids[own].tolist())
+        kept = group[~gone].assign(nbrs=out)
+        if len(kept) and not kept["entry"].any():
+            kept["entry"] = np.arange(len(kept)) == entry_row(x[~gone])
+        return kept[["shard", "id", "vec", "labels", "nbrs", "entry"]]
+
+    fixed = marked.join(hit, "shard", "left_semi").groupBy("shard").applyInPandas(one, "shard int, id long, vec array<double>, labels array<string>, nbrs array<long>, entry boolean")
+    return marked.join(hit, "shard", "left_anti").select(*fixed.columns).unionByName(fixed)
+
+
 def adjacency(ids: np.ndarray, nbrs: Iterator) -> np.ndarray:
     """Neighbours as row numbers, padded with -1; neighbours outside ids are dropped. ids must be sorted."""
     lists = []

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions import distance as D
-from nearfield.storage import global_rank, materialise
+from nearfield.storage import discard, global_rank, materialise
 
 
 def centroid(points: DataFrame) -> list[float]:
@@ -89,20 +89,28 @@ def degree_statistics(graph: DataFrame) -> DataFrame:
     return graph.agg(F.max(n).alias("max_degree"), F.avg(n).alias("avg_degree"), F.min(n).alias("min_degree"), F.count_if(n < 2).alias("low_degree"))
 
 
+#: Nodes of a frontier that still go to every task; eight bytes each.
+FRONTIER = 1_000_000
+
+
 def bfs_levels(graph: DataFrame, starts: DataFrame, most: int = 32) -> DataFrame:
-    """level, nodes: how many nodes are first reached in each step from the start ids; each frontier is written, none collected."""
-    edges = graph.select(F.col("id").alias("src"), F.explode("nbrs").alias("dst"))
+    """level, nodes: how many nodes are first reached in each step from the start ids.
+
+    Edges are written once, and one table of reached nodes is kept; the frontier is broadcast while it is small (FRONTIER rows), else joined.
+    """
+    edges = materialise(graph.select(F.col("id").alias("src"), F.explode("nbrs").alias("dst")), "edges")
     spark = graph.sparkSession
-    frontier = materialise(starts.select("id").distinct(), "frontier")
-    seen, levels = frontier, []
+    seen = materialise(starts.select(F.col("id"), F.lit(0).alias("level")).distinct(), "seen")
+    n, levels = seen.count(), []
     for level in range(most):
-        n = frontier.count()
         if not n:
             break
         levels.append((level, n))
-        step = edges.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = materialise(step.join(seen, "id", "left_anti"), "frontier")
-        seen = seen.unionByName(frontier)
+        frontier = seen.filter(F.col("level") == level).select(F.col("id").alias("src"))
+        step = edges.join(F.broadcast(frontier) if n <= FRONTIER else frontier, "src", "left_semi").select(F.col("dst").alias("id"), F.lit(level + 1).alias("level"))
+        old, seen = seen, materialise(seen.unionByName(step).groupBy("id").agg(F.min("level").alias("level")), "seen")
+        discard(old)
+        n = seen.filter(F.col("level") == level + 1).count()
     return spark.createDataFrame(levels, "level int, nodes long")
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.config import IndexConfig, search_width
-from nearfield.functions import labels as L
 from nearfield.functions import vectors as V
 from nearfield.operators import exact, graph, quantize, search
 from nearfield.operators.clustering import centre_table, partition_for_budget
@@ -103,6 +102,16 @@ class Index:
             raise ValueError("the index has no codes; build it with chunks")
         return quantize.two_stage_search(self.points, self.codes, queries, k, search_width(k, width), self.book, self.config.metric, reorder)
 
+    def beam(self, queries: DataFrame, k: int, width: int = 100, beam: int = 2, shards: int = 4, stats: bool = False) -> DataFrame:
+        """As search, with walks that codes steer, `beam` nodes a step, and true distances that rank; with stats, hops (nodes read) and comparisons."""
+        if self.codes is None or self.book is None:
+            raise ValueError("the index has no codes; build it with chunks")
+        coded = self.shards.join(self.codes.select("id", "codes"), "id")
+        book = self.book
+        if self.config.metric == "cosine":  # shards hold unit vectors, codes what the vectors were
+            coded = coded.withColumn("codes", quantize.encode_column(F.col("vec"), book))
+        return search.ann_search(coded, self.centres, self.prepared(queries), k, search_width(k, width), self.config.metric, shards, self.config.universal_label, stats=stats, book=book, beam=beam)
+
     def range(self, queries: DataFrame, radius: float, least: int = 16, most: int = 512) -> DataFrame:
         return search.ann_range_search(self.shards, self.centres, self.prepared(queries), radius, least, most, self.config.metric)
 
@@ -150,12 +159,6 @@ class Index:
         return cls(config, points, shards, centres, codes, book)
 
 
-def filtered_results(results: DataFrame, points: DataFrame, label: str, universal: str | None = None) -> DataFrame:
-    """Results whose points pass the label: for plans that filter after the search."""
-    ok = points.filter(L.matches(F.col("labels"), label, universal)).select("id")
-    return results.join(ok, "id", "left_semi")
-
-
 def respond(results: DataFrame, queries: DataFrame) -> DataFrame:
     """qid, response: JSON with query_id, k, indices, distances, and tags and partition where results have them."""
     extra = [c for c in ("tag", "partition") if c in results.columns]
@@ -175,10 +178,3 @@ def requests(lines: DataFrame, default_width: int = 100) -> DataFrame:
     problem = F.when(F.col("qvec").isNull(), "no query").when(F.col("k").isNull() | (F.col("k") < 1), "k must be above 0").when(F.col("k") > F.col("width"), "k exceeds Ls")
     return rows.withColumn("error", problem)
 
-
-def entry_points(index: Index) -> DataFrame:
-    """Labels with the ids that a search for them may start from, one for each."""
-    from nearfield.operators.stats import label_medoids
-
-    return label_medoids(index.points, index.config.seed)
-

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from nearfield.operators import search, stats
 from nearfield.operators.graph import edges_of
+from nearfield.operators.points import random_points
 from nearfield.plans.index import Index, requests, respond
 from nearfield.storage import materialise
 
@@ -33,6 +34,26 @@ def sweep(index: Index, queries: DataFrame, truth: DataFrame, k: int, widths: Se
     return index.spark.createDataFrame(rows, "L int, qps double, hops double, cmps double, recall double")
 
 
+def tune_beam(index: Index, queries: DataFrame, k: int, width: int, most: int = 32) -> DataFrame:
+    """beam, qps: beams of 1, 2, 4, ... up to `most`, as long as one is faster than the last; the last row but one, or the only one, is the best."""
+    n, rows, beam = queries.count(), [], 1
+    while beam <= most:
+        began = time.perf_counter()
+        materialise(index.beam(queries, k, width, beam), "tune")
+        rows.append((beam, n / (time.perf_counter() - began)))
+        if len(rows) > 1 and rows[-1][1] <= rows[-2][1]:
+            break
+        beam *= 2
+    return index.spark.createDataFrame(rows, "beam int, qps double")
+
+
+def warm_up(index: Index, queries: DataFrame | None = None, n: int = 100, k: int = 1, width: int = 20) -> int:
+    """Search with the given queries, or with n random ones, so that tables are read once before anything is timed; how many results came."""
+    if queries is None:
+        queries = random_points(index.spark, n, index.config.dim, 1.0, 1).select(F.col("id").alias("qid"), F.col("vec").cast("array<double>").alias("qvec"))
+    return index.search(queries, k, width).count()
+
+
 def answer(index: Index, lines: DataFrame) -> DataFrame:
     """query_id, response: JSON answers to JSON requests (see requests), with an error where a request is wrong.
 

@@ -275,6 +275,19 @@ def write_tags(points: DataFrame, path: str, dtype: str = "uint32") -> None:
     write_matrix(points.select("id", F.array("tag").alias("vec")), path, dtype)
 
 
+def write_graph(graph: DataFrame, path: str, start: int = 0, frozen: int = 0) -> None:
+    """id, nbrs as a graph file (see read_graph); ids must be 0, 1, 2, ... without gaps."""
+    sums = graph.agg(F.count("*"), F.coalesce(F.sum(F.size("nbrs")), F.lit(0)), F.coalesce(F.max(F.size("nbrs")), F.lit(0)), F.max("id")).first()
+    n, edges, degree, last = (int(x) if x is not None else -1 for x in sums)
+    if last != n - 1 or graph.select("id").distinct().count() != n:
+        raise ValueError("ids must be 0, 1, 2, ... without gaps")
+    system, inner = _open(path)
+    with system.open_output_stream(inner) as f:
+        f.write(np.array([24 + 4 * (n + edges)], dtype="<u8").tobytes() + np.array([degree, start], dtype="<u4").tobytes() + np.array([frozen], dtype="<u8").tobytes())
+        for block in _batches(graph.select("id", "nbrs"), ["id"]):
+            f.write(b"".join(np.array([len(r["nbrs"]), *r["nbrs"]], dtype="<u4").tobytes() for r in block))
+
+
 def write_labels(points: DataFrame, path: str) -> None:
     points.repartitionByRange("id").sortWithinPartitions("id").select(F.array_join("labels", ",").alias("value")).write.text(path)
 

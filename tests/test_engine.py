@@ -14,6 +14,7 @@ from nearfield.functions import labels as L
 from nearfield.functions import vectors as V
 from nearfield.operators import clustering, exact, graph, labels, quantize, search, stats
 from nearfield.operators import points as P
+from nearfield.plans import report
 from nearfield.plans.index import Index, choose_kernel, requests, respond
 from nearfield.sources import files
 from nearfield.streaming import dynamic
@@ -373,6 +374,53 @@ def test_dynamic_index(spark, data, tmp_path):
     assert again.status().first()["indexed"]
 
 
+def test_consolidation_repairs_and_conflicts(spark, data, tmp_path):
+    x, _, df, q = data
+    config = IndexConfig(12, degree=16, build_width=32, shard_rows=150)
+    index = dynamic.DynamicIndex(spark, str(tmp_path / "r"), config)
+    assert {r["status"] for r in dynamic.insert_by_cluster(index, df.select("tag", "vec", "labels"), 3).collect()} == {0}
+    index.consolidate()
+    index.delete(df.filter("tag % 2 = 0 and tag < 560").select("tag"))  # half of it: walks still find enough that live
+    live = index.points().select(F.col("tag").alias("id"), "vec")
+    truth = by_query(exact.exact_knn(live, q, 10))
+    got = by_query(index.search(q, 10, 40), "tag")
+    assert {len(g) for g in got.values()} == {10} and np.mean([len(set(truth[i]) & set(got[i])) / 10 for i in truth]) > 0.9
+    other = dynamic.DynamicIndex.open(spark, str(tmp_path / "r"))
+    index.insert(spark.createDataFrame([(5001, [0.5] * 12)], "tag long, vec array<double>"))
+    with pytest.raises(dynamic.Conflict):
+        other.delete(df.filter("tag = 1").select("tag"))
+    other = dynamic.DynamicIndex.open(spark, str(tmp_path / "r"))
+    built = other._state["indexed"]
+    report = dynamic.consolidate_patiently(other, 2, 0.0).first()
+    assert other._state["indexed"] == built and report["active"] == 600 - 279 + 1  # repaired, not built anew
+    truth = by_query(exact.exact_knn(other.points().select(F.col("tag").alias("id"), "vec"), q, 10))
+    got = by_query(other.search(q, 10, 60), "tag")
+    assert np.mean([len(set(truth[i]) & set(got[i])) / 10 for i in truth]) > 0.9
+    index._state = {**index._state, "version": index._state["version"] - 1}
+    with pytest.raises(dynamic.Conflict):
+        dynamic.consolidate_patiently(index, 1, 0.0)
+
+
+def test_steered_walks(spark, data):
+    _, _, df, q = data
+    index = Index.build(df, IndexConfig(12, degree=16, build_width=32, shard_rows=200), chunks=6)
+    truth = by_query(exact.exact_knn(df, q, 5))
+    for beam in (1, 4):
+        got = by_query(index.beam(q, 5, 60, beam, shards=10))
+        assert np.mean([len(set(truth[i]) & set(got[i])) / 5 for i in truth]) > 0.9
+    assert all(r["hops"] >= 60 for r in index.beam(q, 5, 60, 2, shards=10, stats=True).collect())
+    tuned = report.tune_beam(index, q, 5, 30, 4).collect()
+    assert [r["beam"] for r in tuned] == [1, 2, 4][: len(tuned)] and report.warm_up(index, q) == q.count() and report.warm_up(index, n=7) == 7
+
+
+def test_graph_file(spark, tmp_path):
+    g = spark.createDataFrame([(0, [1, 2]), (1, []), (2, [0])], "id long, nbrs array<long>")
+    files.write_graph(g, str(tmp_path / "g"), start=2)
+    assert sorted((r["id"], r["nbrs"]) for r in files.read_graph(spark, str(tmp_path / "g")).collect()) == [(0, [1, 2]), (1, []), (2, [0])]
+    with pytest.raises(ValueError):
+        files.write_graph(g.filter("id > 0"), str(tmp_path / "h"))
+
+
 def test_stream_and_window(spark, data, tmp_path):
     _, _, df, _ = data
     changes = df.select("tag", "vec", "labels", F.lit("insert").alias("op")).unionByName(df.filter("tag <= 10").select("tag", "vec", "labels", F.lit("delete").alias("op")))
