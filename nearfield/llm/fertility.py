@@ -1,4 +1,4 @@
-"""Quality rules by tokeniser fertility: how well a public vocabulary fits a text."""
+"""Quality rules by tokeniser fertility: how well two public vocabularies fit a text."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.llm.bpe import codec
 from nearfield.llm.common import map_rows, words_of
 
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -24,23 +25,26 @@ class Band:
     chars_per_token is the accepted range of long texts; a text of n tokens gets SLACK / sqrt(n) more on either side, as short
     texts scatter more. min_entropy is the least share of ENTROPY_BITS (of log2 n for texts too short to reach them). min_both,
     less the same slack, is the least sum of characters per token and ENTROPY_WEIGHT times that share: junk is low in both.
+    chars_per_second is the range, with the same slack, of characters per token of the second vocabulary.
     """
 
     chars_per_token: tuple[float, float]
     max_byte_share: float
     min_entropy: float
     min_both: float = 0.0
+    chars_per_second: tuple[float, float] = (0.0, float("inf"))
 
 
 SLACK, ENTROPY_BITS, ENTROPY_WEIGHT = 7.0, 7.0, 3.0
 # One band for each language, then for each script, then for everything else. The lower ends for the four
 # languages and of their entropy lie below every text marked good among the labelled rows; min_both, with its weight, is fitted
-# on those of sf0.1 so that at most 0.5 % of the good rows of a language lie below it. Scripts have no labelled rows.
+# on those of sf0.1 so that at most 0.5 % of the good rows of a language lie below it; the second vocabulary's lower ends lie just below
+# all of those good rows. Scripts have no labelled rows.
 BANDS: Mapping[str, Band] = {
-    "en": Band((2.16, 7.0), 0.10, 0.78, 5.15),
-    "de": Band((2.19, 7.0), 0.10, 0.78, 5.17),
-    "fr": Band((1.93, 7.0), 0.10, 0.78, 4.83),
-    "es": Band((1.89, 7.0), 0.10, 0.78, 4.81),
+    "en": Band((2.16, 7.0), 0.10, 0.78, 5.15, (2.29, 4.0)),
+    "de": Band((2.19, 7.0), 0.10, 0.78, 5.17, (2.38, 4.0)),
+    "fr": Band((1.93, 7.0), 0.10, 0.78, 4.83, (2.09, 4.0)),
+    "es": Band((1.89, 7.0), 0.10, 0.78, 4.81, (2.11, 4.0)),
     "latin": Band((1.3, 8.0), 0.20, 0.60),
     "cyrillic": Band((1.0, 6.0), 0.20, 0.60),
     "greek": Band((0.7, 4.0), 0.30, 0.60),
@@ -64,9 +68,8 @@ SCRIPTS = {
     "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF)),
     "hangul": ((0x1100, 0x11FF), (0xAC00, 0xD7AF)),
 }
-#: Texts with fewer tokens than this say too little; only the base rules judge them.
-MIN_TOKENS = 20
 SEGMENT = 4096  # words given to the tokeniser at once
+MOST_WORDS = 200_000
 
 
 def script_of(text: str) -> str:
@@ -138,22 +141,45 @@ def measure(words: Sequence[str], path: str) -> tuple[int, int, float]:
     return total, int(counts[is_byte].sum()), float(max(0.0, -(p * np.log2(p)).sum()))
 
 
-def fits(band: Band, chars: int, tokens: int, byte_tokens: int, entropy: float) -> bool:
-    if tokens < MIN_TOKENS:
-        return True
+class SecondVocabulary:
+    """Tokens of words, each with a blank before it, under a byte-level vocabulary; counts of MOST_WORDS words are remembered."""
+
+    def __init__(self, path: str):
+        self._encode, self._known = codec(path).encode, {}
+
+    def tokens(self, words: Sequence[str]) -> int:
+        known, total = self._known, 0
+        for w in words:
+            n = known.get(w)
+            if n is None:
+                if len(known) >= MOST_WORDS:
+                    known.clear()
+                n = known[w] = len(self._encode(f" {w}"))
+            total += n
+        return total
+
+
+second_vocabulary = lru_cache(maxsize=2)(SecondVocabulary)
+
+
+def fits(band: Band, chars: int, tokens: int, byte_tokens: int, entropy: float, second: int) -> bool:
+    """Whether a text of `chars` characters in words is within the band, by its tokens (byte_tokens of them bytes) and by those of the second vocabulary."""
     low, high = band.chars_per_token
     slack, share, ratio = SLACK / tokens**0.5, entropy / min(ENTROPY_BITS, float(np.log2(tokens))), chars / tokens
     both = ratio + ENTROPY_WEIGHT * share >= band.min_both - slack
-    return low - slack <= ratio <= high + slack and byte_tokens <= band.max_byte_share * tokens and share >= band.min_entropy and both
+    low2, high2 = band.chars_per_second
+    also = low2 - SLACK / second**0.5 <= chars / second <= high2 + SLACK / second**0.5
+    return low - slack <= ratio <= high + slack and byte_tokens <= band.max_byte_share * tokens and share >= band.min_entropy and both and also
 
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
-    "n_tokens long, n_byte_tokens long, entropy double, band string"
+    "n_tokens long, n_byte_tokens long, entropy double, band string, n_tokens_second long"
 )
 
 
-def judge(text: str | None, lang: str | None, path: str, bands: Mapping[str, Band] = BANDS) -> tuple:
+def judge(text: str | None, lang: str | None, path: str, second: str, bands: Mapping[str, Band] = BANDS) -> tuple:
+    """All of SCHEMA but the id; path and second are the two vocabularies. Texts that fail the base rules have no further verdict."""
     text = text or ""
     words = words_of(text)
     n, chars = len(words), sum(map(len, words))
@@ -162,42 +188,45 @@ def judge(text: str | None, lang: str | None, path: str, bands: Mapping[str, Ban
     tokens, byte_tokens, entropy = measure(words, path) if words else (0, 0, 0.0)
     name = lang if lang in bands else script_of(text)
     name = name if name in bands else "other"
-    kept = not failed and fits(bands[name], chars, tokens, byte_tokens, entropy)
-    return n, chars, len(_SYMBOL.findall(text)), duplicate_lines(text), repeats, failed, kept, tokens, byte_tokens, entropy, name
+    others = second_vocabulary(second).tokens(words)
+    kept = not failed and fits(bands[name], chars, tokens, byte_tokens, entropy, others)
+    return n, chars, len(_SYMBOL.findall(text)), duplicate_lines(text), repeats, failed, kept, tokens, byte_tokens, entropy, name, others
 
 
-def quality(docs: DataFrame, vocabulary: str | None = None, bands: Mapping[str, Band] = BANDS) -> DataFrame:
+def _paths(vocabulary: str | None, second: str | None) -> tuple[str, str]:
+    import public_tokenizers
+
+    return vocabulary or public_tokenizers.path("piece_bpe_32k.model"), second or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def quality(docs: DataFrame, vocabulary: str | None = None, bands: Mapping[str, Band] = BANDS, second: str | None = None) -> DataFrame:
     """One row of measures and the verdict `kept` for each row of docs, in a single pass without a shuffle.
 
     The base rules reject texts of fewer than 20 words or with over 30 % of their words in repeated 8-word windows; the
     band of the text's language, else of its script, rejects by characters per token, byte-fallback share, normalised token
-    entropy, and the first and last together. Null and empty texts have no words and fail the base. Repeated rows give repeated results; an empty table gives
+    entropy, the first and last together, and characters per token of a second vocabulary. Null and empty texts have no words and fail the base. Repeated rows give repeated results; an empty table gives
     no rows; other columns are ignored, and a missing lang column leaves the choice of band to the script.
     """
-    if vocabulary is None:
-        import public_tokenizers
-
-        vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    paths = _paths(vocabulary, second)
     lang: Column = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
 
     def make():
-        return lambda doc_id, text, lang: (doc_id, *judge(text, lang, vocabulary, bands))
+        return lambda doc_id, text, lang: (doc_id, *judge(text, lang, *paths, bands))
 
     return map_rows(docs.select("doc_id", "text", lang.alias("lang")), make, SCHEMA)
 
 
-def keep(docs: DataFrame, vocabulary: str | None = None, bands: Mapping[str, Band] = BANDS) -> DataFrame:
+def keep(docs: DataFrame, vocabulary: str | None = None, bands: Mapping[str, Band] = BANDS, second: str | None = None) -> DataFrame:
     """The rows of docs that `quality` would mark as kept, with all their columns, in one pass without a shuffle or join."""
     import pyarrow as pa
-    import public_tokenizers
 
-    path = vocabulary or public_tokenizers.path("piece_bpe_32k.model")
+    paths = _paths(vocabulary, second)
     kept = SCHEMA.split(", ").index("kept boolean") - 1
 
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             langs = batch.column("lang").to_pylist() if "lang" in batch.schema.names else [None] * len(texts)
-            yield batch.filter(pa.array([judge(t, x, path, bands)[kept] for t, x in zip(texts, langs, strict=True)], type=pa.bool_()))
+            yield batch.filter(pa.array([judge(t, x, *paths, bands)[kept] for t, x in zip(texts, langs, strict=True)], type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -165,12 +165,12 @@ def nearest(
     Trees are fitted on a sample of at most sample_rows rows, spread by a hash of the id; every row is indexed. The search budget is
     the share of rows that reaches the target recall within the sample. Equal vectors are indexed by their k + 1 smallest ids, as
     others can't be among k nearest with ties to smaller ids. Candidates meet their queries leaf by leaf, in
-    blocks of bounded size, and only rows at least as near as the k-th nearest sample row in the query's own leaves go on. Repeated ids count once; an
+    blocks of bounded size, and only rows at least as near as the k-th nearest sample row in the query's own leaves go on. A repeated id counts once, with the least of its vectors; an
     empty table gives no rows; other columns are ignored. See `usable` for the rows that take no part.
     """
     spark = vectors.sparkSession
     kind = "<f4" if vectors.schema[vector_column].dataType.simpleString() == "array<float>" else "<f8"  # floats travel as they are
-    fine = usable(vectors, id_column, vector_column).dropDuplicates(["vec_id"])
+    fine = usable(vectors, id_column, vector_column).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     same = Window.partitionBy("vector").orderBy("vec_id")
     index = fine.withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= k + 1).drop("_n")
     queries = fine.filter(F.pmod("vec_id", F.lit(every)) == 0)
@@ -238,7 +238,8 @@ def nearest(
 
     placed = index.mapInPandas(place_rows, "leaf long, block long, vec_id long, vector binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = queries.repartition(parts, "vec_id").mapInPandas(place_queries, "leaf long, block long, query_id long, bound double, vector binary")
+    spread = queries.repartition(parts, F.xxhash64("vec_id"))  # not by vec_id itself: rows already lie so, in as few tasks as their size asks for
+    asked = spread.mapInPandas(place_queries, "leaf long, block long, query_id long, bound double, vector binary")
     found = placed.groupBy("leaf", "block").cogroup(asked.groupBy("leaf", "block")).applyInPandas(rerank, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

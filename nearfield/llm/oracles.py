@@ -13,7 +13,7 @@ _soft = " + ".join(f"CASE WHEN {_boundary(t)} THEN {w} ELSE 0 END" for t, w in S
 
 OP10 = f"""
 WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') AS host,
-                  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, translate(url, '{_UPPER}', '{_LOWER}') AS u FROM pages),
+                  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, translate(url_decode(url), '{_UPPER}', '{_LOWER}') AS u FROM pages),
      r AS (SELECT *, CASE
               WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
               WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
@@ -25,8 +25,8 @@ WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([
               {" + ".join(f"CASE WHEN {_boundary(t)} THEN 1 ELSE 0 END" for t in STRICT)} AS n_strict FROM p)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-            WHEN strict OR soft >= {Vocabulary().min_soft} THEN 'block' ELSE 'allow' END AS verdict,
-       CAST(n_strict AS BIGINT) AS n_strict, CAST(n_soft AS BIGINT) AS n_soft FROM r
+            WHEN strict OR (n_soft >= {Vocabulary().several} AND soft >= {Vocabulary().min_soft}) THEN 'block' ELSE 'allow' END AS verdict,
+       CAST(n_strict AS BIGINT) AS n_strict, CAST(n_soft AS BIGINT) AS n_soft, CAST(soft AS BIGINT) AS soft_weight FROM r
 """
 
 _KINDS = (

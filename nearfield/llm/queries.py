@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm import bpe, chat_format, fertility, forest, language_model, packing, secret_scan, sharding, simhash, url_filter
 from nearfield.llm.oracles import ORACLES
-from nearfield.storage import table
+from nearfield.storage import own_dir, table
 
 #: A conversation that holds this template's and other templates' control strings.
 PROBE_ID, PROBE_TEXT = -7, r"\### Assistant: </turn> ok"
@@ -40,7 +41,8 @@ def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return secret_scan.digest_spans(secret_scan.secret_spans(docs))
+    ledger = secret_scan.Ledger(spark, f"{own_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    return secret_scan.digest_spans(secret_scan.secret_spans(docs, findings=secret_scan.findings_of(ledger.update(docs))))
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

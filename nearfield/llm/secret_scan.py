@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import text_or_empty
@@ -101,6 +101,27 @@ def scan_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: Sequenc
     return scan_blobs(todo.drop("seen"), rules, "pending").select("blob", F.col("pending").alias("scanned"), "findings")
 
 
+class Ledger:
+    """A ledger kept as a Parquet table under one path, from run to run and over all historical versions of documents."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def rows(self) -> DataFrame | None:
+        """What was scanned so far; None before the first scan."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_SUCCESS")
+        stored = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        return self.spark.read.schema(LEDGER).parquet(self.path) if stored else None
+
+    def update(self, docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+        """Scan what is new in docs, by blob and rule version, append it, and return all rows.
+
+        A task that is run again writes its rows once; a run that failed before its end left nothing that is read.
+        """
+        scan_ledger(docs, self.rows(), rules).write.mode("append").parquet(self.path)
+        return self.rows()
+
+
 def findings_of(ledger: DataFrame) -> DataFrame:
     """blob, findings: those of all ledger rows of a blob, sorted; blobs without any are left out."""
     return ledger.filter(F.size("findings") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("findings"))).alias("findings"))

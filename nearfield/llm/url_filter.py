@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,22 +20,40 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
+# Terms of which one is enough to reject a url.
+STRICT_STEMS = (
+    "porn", "porno", "xxx", "xvideo", "hentai", "camgirl", "warez", "keygen", "malware", "phishing", "escort", "milf", "upskirt", "incest", "bukkake",
+    "gangbang", "blowjob", "cumshot", "rape", "carding", "ransomware", "botnet", "crackz", "serialz", "nulled", "stresser", "booter", "fullz",
+)
+# Terms that reject together only, by weight.
+SOFT_STEMS = {
+    1: ("adult", "dating", "crack", "loan", "credit", "slot", "bonus", "replica", "torrent", "download", "cheap", "discount", "free", "win", "prize", "lottery", "model", "webcam", "chat", "pill",
+        "pharmacy", "diet", "keto", "crypto", "forex", "trading", "invest", "rich", "cash", "coupon", "vip", "tattoo", "gossip", "celeb", "lingerie", "bikini", "massage", "single", "swinger", "beer"),
+    2: ("sexy", "nude", "casino", "betting", "poker", "jackpot", "payday", "hookup", "viagra", "cialis", "roulette", "blackjack", "baccarat", "sportsbook", "bookmaker", "levitra", "tramadol", "xanax",
+        "steroid", "cannabis", "vape", "gun", "rifle", "ammo", "fetish", "bdsm", "erotic", "topless", "striptease", "onlyfans", "camshow", "sugardaddy", "proxy", "unblock", "spyware", "cheat"),
+    3: ("sex", "naked", "boob", "bitcoindoubler", "gambling", "pornstar", "livecam", "oxycontin", "fentanyl", "counterfeit", "fakeid", "darknet", "hitman", "exploitkit"),
+}
+
+
+def forms(stem: str) -> tuple[str, str]:
+    """A term and its plural."""
+    return stem, stem + ("es" if stem.endswith(("s", "x", "z", "ch")) else "s")
+
+
 #: One of these is enough to reject a url.
-STRICT = ("porn", "xxx", "xvideos", "hentai", "camgirl", "warez", "keygen", "malware", "phishing", "escort")
+STRICT = tuple(f for stem in STRICT_STEMS for f in forms(stem))
 #: Weights of terms that only reject together.
-SOFT = {
-    "adult": 1, "sexy": 1, "nude": 1, "casino": 1, "betting": 1, "poker": 1, "slots": 1, "jackpot": 1, "viagra": 1,
-    "cialis": 1, "payday": 1, "loan": 1, "torrent": 1, "crack": 1, "dating": 1, "hookup": 1, "replica": 1,
-}
+SOFT = {f: weight for weight, stems in SOFT_STEMS.items() for stem in stems for f in forms(stem)}
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Terms are matched in lower case; min_soft is the weight of distinct soft terms that rejects."""
+    """Terms are matched in lower case. Distinct soft terms reject if there are at least `several` and their weights' sum is min_soft or more."""
 
     strict: Sequence[str] = STRICT
     soft: dict[str, int] = field(default_factory=lambda: dict(SOFT))
-    min_soft: int = 3
+    min_soft: int = 4
+    several: int = 2
 
 
 def host_of(url: Column) -> Column:
@@ -66,7 +85,7 @@ def _searcher(vocabulary: Vocabulary):
     weight = vocabulary.soft
 
     def hits(url: str | None) -> tuple[int, int, int]:
-        text, strict, soft = lower_ascii(url or ""), set(), set()
+        text, strict, soft = lower_ascii(unquote(url or "")), set(), set()
         for end, (kind, term) in automaton.iter(text):
             start = end - len(term) + 1
             if (start and text[start - 1].isalnum()) or text[end + 1 : end + 2].isalnum():
@@ -78,7 +97,10 @@ def _searcher(vocabulary: Vocabulary):
 
 
 def vocabulary_hits(url: Column, vocabulary: Vocabulary) -> Column:
-    """struct(n_strict, n_soft, soft_weight): distinct strict terms, distinct soft terms, and the latter's weights' sum."""
+    """struct(n_strict, n_soft, soft_weight): distinct strict terms, distinct soft terms, and the latter's weights' sum.
+
+    Percent-encoded bytes are decoded before the search. A term counts only where no letter or digit stands next to it.
+    """
 
     @F.pandas_udf("n_strict long, n_soft long, soft_weight long")
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -102,5 +124,5 @@ def url_verdicts(
     base = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("_url"))
     base = base.select("page_id", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"), vocabulary_hits(F.col("_url"), v).alias("_hits"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    by_terms = F.when((F.col("_hits.n_strict") >= 1) | (F.col("_hits.soft_weight") >= v.min_soft), "block").otherwise("allow")
-    return base.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_terms).alias("verdict"), "_hits.n_strict", "_hits.n_soft")
+    by_terms = F.when((F.col("_hits.n_strict") >= 1) | ((F.col("_hits.n_soft") >= v.several) & (F.col("_hits.soft_weight") >= v.min_soft)), "block").otherwise("allow")
+    return base.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_terms).alias("verdict"), "_hits.n_strict", "_hits.n_soft", "_hits.soft_weight")

@@ -1,17 +1,20 @@
 """Every operator against a brute-force version, on awkward rows and on generated ones."""
 
 import collections
+import dataclasses
 import hashlib
 import itertools
 import math
 import random
 import re
 import sys
+import urllib.parse
 import zlib
 from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import public_tokenizers
@@ -71,15 +74,44 @@ def test_quality_verdicts(spark):
     assert fertility.script_of("Привет мир") == "cyrillic" and fertility.script_of("123") == "other"
 
 
+def test_fertility_measures_and_verdicts(spark, sf_dir):
+    """Tokens, bytes, entropy, band and verdict anew from both libraries, over whole texts."""
+    import sentencepiece
+
+    model, e = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")), reference_encoding()
+    odd = [doc(9_001, "\u16a0\u16b1\u16a2 " * 3 + " ".join(f"ᚠᚱᚢ{i}" for i in range(40))), doc(9_002, "Привет " + " ".join(f"слово{i}" for i in range(30)), lang="ru"), doc(9_003, " ".join(f"{i:x}{i * 7919:x}" for i in range(200)), lang="en")]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").unionByName(spark.createDataFrame(odd, SCHEMA).select("doc_id", "text", "lang"))
+    got = {r["doc_id"]: r for r in fertility.quality(docs).collect()}
+    verdicts = collections.Counter()
+    for r in docs.collect():
+        words, g = WORD.findall(r["text"] or ""), got[r["doc_id"]]
+        if len(words) > 4_000:
+            continue  # longer ones are tokenised in parts
+        ids = model.encode(" ".join(words)) if words else []
+        n, counts, chars = len(ids), collections.Counter(ids), sum(map(len, words))
+        entropy = -sum(c / n * math.log2(c / n) for c in counts.values()) if n else 0.0
+        second = sum(len(e.encode_ordinary(f" {w}")) for w in words)
+        assert (g["n_tokens"], g["n_byte_tokens"], g["n_tokens_second"]) == (n, sum(model.is_byte(i) for i in ids), second) and abs(g["entropy"] - entropy) < 1e-9
+        if not g["base_failed"]:
+            b = fertility.BANDS[g["band"]]
+            slack, slack2, share = 7 / math.sqrt(n), 7 / math.sqrt(second), entropy / min(7, math.log2(n))
+            rules = [b.chars_per_token[0] - slack <= chars / n <= b.chars_per_token[1] + slack, g["n_byte_tokens"] / n <= b.max_byte_share, share >= b.min_entropy, chars / n + 3 * share >= b.min_both - slack, b.chars_per_second[0] - slack2 <= chars / second <= b.chars_per_second[1] + slack2]
+            assert g["kept"] == all(rules) and g["band"] == (r["lang"] if r["lang"] in fertility.BANDS else fertility.script_of(r["text"]))
+            verdicts.update([i for i, ok in enumerate(rules) if not ok])
+        else:
+            assert not g["kept"]
+    assert got[9_002]["band"] == "cyrillic" and got[9_001]["n_byte_tokens"] > 0 and not got[9_003]["kept"] and len(verdicts) >= 2
+
+
 def test_quality_against_labels(sf_dir):
     import pyarrow.parquet as pq
 
     sf_dir = Path(sf_dir).parent / "sf0.01"
     labels = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{sf_dir}/labels.parquet").to_pylist()}
-    path, kept = public_tokenizers.path("piece_bpe_32k.model"), {0: [], 1: []}
+    path, kept = fertility._paths(None, None), {0: [], 1: []}
     for r in pq.read_table(f"{sf_dir}/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist():
         if r["doc_id"] in labels and r["lang"] in ("en", "de", "fr", "es"):
-            verdict = dict(zip([c.split()[0] for c in fertility.SCHEMA.split(", ")][1:], fertility.judge(r["text"], r["lang"], path), strict=True))
+            verdict = dict(zip([c.split()[0] for c in fertility.SCHEMA.split(", ")][1:], fertility.judge(r["text"], r["lang"], *path), strict=True))
             if not verdict["base_failed"]:
                 kept[labels[r["doc_id"]]].append(verdict["kept"])
     assert len(kept[0]) >= 10 and sum(kept[0]) <= 0.1 * len(kept[0])
@@ -473,6 +505,26 @@ def test_sharding(spark):
     assert sharding.hilbert_shards(empty(spark)).count() == 0
 
 
+def test_shards_are_runs_of_the_curve_and_prune(spark, sf_dir):
+    sf_dir = Path(sf_dir).parent / "sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = sharding.hilbert_shards(docs).collect()
+    raw = {r["doc_id"]: r for r in docs.collect()}
+    cells = spark.createDataFrame([(r["doc_id"], r["source"], r["lang"], len((r["text"] or "").encode()) + 1) for r in raw.values()], "doc_id long, source string, lang string, size long")
+    cells = cells.select("doc_id", sharding.category(F.col("source"), 10).alias("a"), sharding.category(F.col("lang"), 10).alias("b"), sharding.magnitude(F.col("size"), 10).alias("c")).collect()
+    index = dict(zip([r["doc_id"] for r in cells], sharding.hilbert_index(np.array([[r["a"], r["b"], r["c"]] for r in cells]), 10).tolist(), strict=True))
+    order = sorted(got, key=lambda r: (r["shard"], r["slot"]))
+    assert [r["curve_index"] for r in order] == sorted(index.values()) and all(r["curve_index"] == index[r["doc_id"]] for r in got)
+    held = {s: [raw[r["doc_id"]].asDict() for r in members] for s, members in groups(got, "shard").items()}
+
+    def read(column, value):  # shards whose range of the column lets the value in, as file statistics would
+        return sum(min(m[column] or "" for m in ms) <= value <= max(m[column] or "" for m in ms) and any((m[column] or "") == value for m in ms) for ms in held.values())
+
+    for column in ("source", "lang"):
+        values = {m[column] or "" for ms in held.values() for m in ms}
+        assert np.mean([read(column, v) for v in values]) <= 0.6 * len(held)  # any equal deal that ignores the column lets each value into all
+
+
 # 6 -------------------------------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -517,6 +569,22 @@ def test_ledger_scans_only_what_is_new(spark):
     assert {(r["doc_id"], r["spans"]) for r in spans.collect()} == {(r["doc_id"], brute_spans(r["text"] or "")) for r in docs.collect()}
 
 
+def test_a_stored_ledger_grows_by_what_is_new(spark, tmp_path):
+    docs = secret_docs(spark)
+    ledger = secret_scan.Ledger(spark, f"file://{tmp_path}/ledger")
+    assert ledger.rows() is None
+    ledger.update(docs.filter("doc_id < 130"), secret_scan.RULES[:2])
+    before = ledger.rows().count()
+    newer = [dataclasses.replace(r, version=2) if r.kind == "hex" else r for r in secret_scan.RULES]
+    for rules in (secret_scan.RULES, newer):
+        rows = ledger.update(docs, rules)
+    blobs = len({(t or "") for _, t in [(r["doc_id"], r["text"]) for r in docs.collect()]})
+    assert rows.count() == before + blobs + blobs  # hex@1 or all three for each blob, then hex@2 for each
+    assert ledger.update(docs, newer).count() == rows.count()
+    spans = secret_scan.digest_spans(secret_scan.secret_spans(docs, findings=secret_scan.findings_of(ledger.rows().filter("not array_contains(scanned, 'hex@2')"))))
+    assert {(r["doc_id"], r["spans"]) for r in spans.collect()} == {(r["doc_id"], brute_spans(r["text"] or "")) for r in docs.collect()}
+
+
 def test_redaction(spark):
     docs = secret_docs(spark)
     out = secret_scan.redact(docs)
@@ -664,6 +732,9 @@ def test_urls(spark):
         ("http://x.org/free-porn/", "x.org", "/free-porn/", None, "block"),
         ("http://x.org/pornography", "x.org", "/pornography", None, "allow"),
         ("http://casino.org/poker?jackpot", "casino.org", "/poker", None, "block"),
+        ("http://x.org/win/free-chat", "x.org", "/win/free-chat", None, "allow"),
+        ("http://x.org/naked", "x.org", "/naked", None, "allow"),
+        ("http://x.org/p%6Frn/", "x.org", "/p%6Frn/", None, "block"),
         ("http://casino.org/casino/casino", "casino.org", "/casino/casino", None, "allow"),
         ("no scheme/en/", "", "", None, "allow"),
         ("a://b://c/d", "b:", "//c/d", None, "allow"),
@@ -676,6 +747,25 @@ def test_urls(spark):
     assert url_filter.url_verdicts(df.limit(0)).count() == 0
 
 
+def test_url_terms_by_brute_force(spark):
+    rng = random.Random(14)
+    terms = [*url_filter.STRICT, *url_filter.SOFT]
+    assert len(terms) > 200 and len(set(terms)) == len(terms) and len(set(url_filter.SOFT.values())) > 2
+    parts = [*rng.sample(terms, 40), "xx", "sexual", "win", "naked", "PoKer", "é", "%73ex", "%C3%A9", "a", "1"]
+    urls = ["http://h.org/" + "".join(rng.choice(parts) + rng.choice(["", "-", "/", ".", "_", "?", "9"]) for _ in range(rng.randrange(1, 9))) for _ in range(600)]
+    got = {r["page_id"]: r for r in url_filter.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    blocked = 0
+    for i, u in enumerate(urls):
+        text = urllib.parse.unquote(u).translate(LOWER)
+        there = {t for t in terms if any(not text[m.start() - 1].isalnum() and not text[m.start() + len(t) : m.start() + len(t) + 1].isalnum() for m in re.finditer(f"(?={re.escape(t)})", text))}
+        strict, soft = there & set(url_filter.STRICT), there & set(url_filter.SOFT)
+        weight = sum(url_filter.SOFT[t] for t in soft)
+        verdict = "block" if strict or (len(soft) >= 2 and weight >= 4) else "allow"
+        assert (got[i]["n_strict"], got[i]["n_soft"], got[i]["soft_weight"], got[i]["verdict"]) == (len(strict), len(soft), weight, verdict), u
+        blocked += verdict == "block"
+    assert 50 < blocked < 550
+
+
 # very long texts, and many of everything --------------------------------------------------------------------------------
 
 
