@@ -219,8 +219,12 @@ def near_duplicates(docs: DataFrame, size: int = 3, seed: int = SEED, hot: int =
 SOFT_SEGMENTS, TOGETHER, VERIFY_WORDS, SIMILARITY = 5, 3, 5, 0.8
 #: Least hashes in a sketch, and the similarity by a sketch below which a pair isn't verified in full (five deviations below 0.8).
 SKETCH, SKETCH_LEAST = 64, 0.55
-#: Centres of a key in the first round (a key with no more home nodes is settled by it), and pairs of one centre that go to one task.
-CENTRES, CENTRE_PAIRS = 16, 4_096
+#: Centres of a key in the round after the first, home nodes up to which all of a key's are centres, and pairs of one centre that go to one task.
+CENTRES, SURE, CENTRE_PAIRS = 2, 8, 4_096
+#: Least hashes of a sketch by which a node's typicality is judged.
+TYPICAL = 16
+#: First centres of a key: the most typical home node of each of so many classes by hash.
+HUBS = 2
 DESCRIBED = "doc_id long, node long, size int, sketch array<long>, codes array<int>"
 
 
@@ -322,37 +326,52 @@ def verified(sets: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY)
 def _settle(sets: DataFrame, blocks: DataFrame, similarity: float) -> DataFrame:
     """node, component after verifying candidates of the blocks (key, node, home).
 
-    Candidates are the home nodes of a block against all others of it that are in another component. In each round the next 16, 64, 256, ...
-    home nodes (by a hash, so that nothing is sorted, and the same ones in all blocks) are centres that meet those others. A block is settled when
-    it is one component, when all its home nodes were centres, or when a round changed no component in it: what then is left are nodes
-    unlike all centres so far, which other, less crowded keys can still link. So a block costs a bounded number of rows for each of its nodes
-    and round, and rounds go on in it only while they link something.
+    Candidates are the home nodes of a block against all others of it that are in another component. The first centres of a block are its two most typical
+    home nodes (one of each class by hash), whose least hashes most other nodes have; near copies with edits of their own are most like those. Then come the next 2, 2, 4,
+    8, ... home nodes, by a hash, so that nothing is sorted. In a block with more than eight home nodes, what is in the component of
+    a centre is done: new centres and what they meet are among the rest, so a crowded key costs a bounded number of rows for each node
+    and round. Such a block is settled when a round changed no component in it; a smaller one when all its home nodes were
+    centres. A node gathers the centres of its forty keys before it meets each of them once.
     """
     spark = blocks.sparkSession
     named = spark.createDataFrame([], "node long, component long")
     tried = spark.createDataFrame([], "a long, b long")
-    before = spark.createDataFrame([], "key long, mark decimal(38,0)")
-    start, width = 0, CENTRES
+    often = sets.select("node", F.explode(F.slice("sketch", 1, TYPICAL)).alias("h"))
+    often = often.join(often.groupBy("h").agg(F.count("*").alias("n")), "h").groupBy("node").agg(F.sum("n").alias("often"))
+    blocks = materialise(blocks.join(often, "node", "left").withColumns({"often": F.coalesce("often", F.lit(0)), "place": F.pmod(F.xxhash64("node"), F.lit(1 << 31))}), "placed")
+    ranked = F.struct("often", "place", "node")
+    best = [F.max(F.when(F.col("place") % HUBS == i, ranked))["node"] for i in range(HUBS)]
+    hubs = materialise(blocks.filter("home").groupBy("key").agg(F.array_compact(F.array(*best)).alias("hubs"), F.count("*").alias("m")), "hubs")
+    blocks = blocks.drop("often").join(hubs, "key").withColumn("place", F.when(F.array_contains("hubs", F.col("node")), -1).otherwise(F.shiftright(F.col("place") * F.col("m"), 31)))
+    blocks = materialise(blocks.withColumn("place", F.when(F.col("home"), F.col("place"))).drop("hubs"), "placed")  # null: never a centre
+    start, width, before = -1, 1, None
     while True:
         at = blocks.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        sizes = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.col("home").cast("long")).alias("m"), F.sum(F.xxhash64("component").cast("decimal(20,0)")).alias("mark"))
-        sizes = sizes.filter((F.col("lo") < F.col("hi")) & (F.col("m") > start))
-        left = materialise(sizes.join(before.select("key", F.col("mark").alias("_old")), "key", "left").filter("_old is null or _old <> mark").select("key", "m", F.col("mark").cast("decimal(38,0)").alias("mark")), "left")
-        at = at.join(left.select("key", "m"), "key")
-        place = F.shiftright(F.pmod(F.xxhash64("node"), F.lit(1 << 31)) * F.col("m"), 31)
-        centres = at.filter(F.col("home") & (place >= start) & (place < start + width)).select("key", F.col("node").alias("a"), F.col("component").alias("_c"))
-        met = at.join(centres, "key").filter(F.col("component") != F.col("_c")).select("a", F.col("node").alias("b"), F.least("a", "node").alias("_x"), F.greatest("a", "node").alias("_y"))
+        sizes = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("component").cast("decimal(20,0)")).alias("mark"))
+        sizes = sizes.join(hubs.select("key", "m"), "key").filter((F.col("lo") < F.col("hi")) & (F.col("m") > start))
+        left = sizes
+        if before is not None:
+            left = sizes.join(before.select("key", F.col("mark").alias("_old")), "key").filter((F.col("m") <= SURE) | (F.col("_old") != F.col("mark")))
+        left = materialise(left.select("key", F.col("mark").cast("decimal(38,0)").alias("mark")), "left")
+        at = at.join(left.select("key"), "key")
+        met_by = at.filter((F.col("m") > SURE) & (F.col("place") < start)).select("key", "component").distinct()
+        at = at.join(met_by, ["key", "component"], "left_anti")
+        centres = at.filter((F.col("place") >= start) & (F.col("place") < start + width)).select("key", F.col("node").alias("a"), F.col("component").alias("_c"))
+        given = at.join(centres.groupBy("key").agg(F.collect_list(F.struct("a", "_c")).alias("_cs")), "key")
+        met = given.groupBy("node", "component").agg(F.array_distinct(F.flatten(F.collect_list("_cs"))).alias("_cs"))
+        met = met.select(F.col("node").alias("b"), F.inline(F.filter("_cs", lambda c: c["_c"] != F.col("component")))).withColumns({"_x": F.least("a", "b"), "_y": F.greatest("a", "b")})
         once = met.groupBy("_x", "_y").agg(F.min(F.struct("a", "b")).alias("p")).join(tried.select(F.col("a").alias("_x"), F.col("b").alias("_y")), ["_x", "_y"], "left_anti")
         pairs = materialise(once.select("p.a", "p.b"), "pairs")
-        if pairs.isEmpty():
+        if left.isEmpty():
             return named
         fine = materialise(verified(sets, pairs, similarity), "fine")
-        if fine.isEmpty():
-            return named
-        named, old = materialise(components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fine)), "named"), named
-        discard(old, before)
+        if not fine.isEmpty():
+            named, old = materialise(components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fine)), "named"), named
+            discard(old)
+        discard(before)
         tried = tried.unionByName(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        before, start, width = left, start + width, 4 * width
+        before, start = left, start + width
+        width = max(CENTRES, start)
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
