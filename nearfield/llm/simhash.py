@@ -224,7 +224,7 @@ CENTRES, SURE, CENTRE_PAIRS = 2, 8, 4_096
 #: Least hashes of a sketch by which a node's typicality is judged.
 TYPICAL = 16
 #: First centres of a key: the most typical home node of each of so many classes by hash.
-HUBS = 2
+HUBS = 4
 DESCRIBED = "doc_id long, node long, size int, sketch array<long>, codes array<int>"
 
 
@@ -326,7 +326,7 @@ def verified(sets: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY)
 def _settle(sets: DataFrame, blocks: DataFrame, similarity: float) -> DataFrame:
     """node, component after verifying candidates of the blocks (key, node, home).
 
-    Candidates are the home nodes of a block against all others of it that are in another component. The first centres of a block are its two most typical
+    Candidates are the home nodes of a block against all others of it that are in another component. The first centres of a block are its four most typical
     home nodes (one of each class by hash), whose least hashes most other nodes have; near copies with edits of their own are most like those. Then come the next 2, 2, 4,
     8, ... home nodes, by a hash, so that nothing is sorted. In a block with more than eight home nodes, what is in the component of
     a centre is done: new centres and what they meet are among the rest, so a crowded key costs a bounded number of rows for each node
