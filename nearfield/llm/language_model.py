@@ -9,15 +9,17 @@ from __future__ import annotations
 
 import pickle
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import lower_ascii, text_or_empty, words_of
+from nearfield.llm.common import SLICE, lower_ascii, text_or_empty, words_of
 from nearfield.storage import materialise
 
 #: Characters of text in a block; a longer text is a block of its own.
@@ -67,46 +69,53 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 ORDERS = ("words", "pairs", "triples")
 
 
+def encode_texts(ids: list, texts: Sequence[str]) -> bytes:
+    """Ids, lengths, word numbers and the words' hashes by number: all that the later steps need of the texts."""
+    import xxhash
+
+    numbers = {"": END}
+    numbers["\0start"] = START  # no word holds this: it stands for what precedes a text
+    flat, lengths = array("I"), []
+    for text in texts:
+        words = words_of(lower_ascii(text))
+        for w in set(words).difference(numbers):
+            numbers[w] = len(numbers)
+        flat.extend(map(numbers.__getitem__, words))
+        flat.append(END)
+        lengths.append(len(words) + 1)
+    hashed = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in numbers), dtype=np.uint64, count=len(numbers)) >> np.uint64(64 - KEY_BITS)
+    return pickle.dumps((ids, lengths, _planes(np.frombuffer(flat, dtype=np.uint32)), _planes(hashed)), protocol=5)
+
+
 class Block:
-    """Texts as local word numbers, with the sorted distinct keys of their words, word pairs and triples.
+    """Texts as local word numbers, with the sorted distinct keys of their words, word pairs and triples, from what encode_texts made.
 
     A text's first word makes a pair with START, its second one a triple; `at` has the key of each step, -1 where the step has none.
     """
 
-    def __init__(self, texts: Sequence[str]):
-        import xxhash
-
-        numbers = {"": END}
-        numbers["\0start"] = START  # no word holds this: it stands for what precedes a text
-        flat, self.lengths = [], []
-        for text in texts:
-            words = words_of(lower_ascii(text))
-            flat += [numbers.setdefault(w, len(numbers)) for w in words]
-            flat.append(END)
-            self.lengths.append(len(words) + 1)
-        self.words = np.array(flat, dtype=np.int64)
+    def __init__(self, payload: bytes):
+        self.ids, self.lengths, flat, hashed = pickle.loads(payload)
+        self.words, hashed = _unplanes(flat, "<u4").astype(np.int64), _unplanes(hashed, "<u8")
         self.ends = np.cumsum(self.lengths, dtype=np.int64)
         self.starts = self.ends - np.array(self.lengths, dtype=np.int64)
-        self.vocabulary = len(numbers)
         self.previous = np.roll(self.words, 1)
         self.previous[self.starts] = START
-        third = np.ones(len(flat), dtype=bool)
+        third = np.ones(len(self.words), dtype=bool)
         third[self.starts] = False
         self.third = np.flatnonzero(third)
         shift = np.uint64(64 - KEY_BITS)
-        hashed = np.array([xxhash.xxh64_intdigest(w, 7) for w in numbers], dtype=np.uint64)
         pairs = _mix(hashed[self.previous], hashed[self.words])
         self.keys, self.at = {}, {}
-        self.keys["words"], self.word_at = np.unique(hashed >> shift, return_inverse=True)
+        self.keys["words"], self.word_at = np.unique(hashed, return_inverse=True)
         self.at["words"] = self.word_at[self.words]
         self.keys["pairs"], self.at["pairs"] = np.unique(pairs >> shift, return_inverse=True)
         self.keys["triples"], found = np.unique(_mix(pairs[self.third - 1], hashed[self.words[self.third]]) >> shift, return_inverse=True)
-        self.at["triples"] = np.full(len(flat), -1, dtype=np.int64)
+        self.at["triples"] = np.full(len(self.words), -1, dtype=np.int64)
         self.at["triples"][self.third] = found
 
-    def counts(self, training: np.ndarray) -> dict[str, np.ndarray]:
-        """How often training texts hold each key; training has a flag for each text."""
-        flags = np.repeat(training, self.lengths).astype(bool)
+    def counts(self) -> dict[str, np.ndarray]:
+        """How often training texts hold each key."""
+        flags = np.repeat([not held_out(i) for i in self.ids], self.lengths).astype(bool)
         return {order: np.bincount(self.at[order][flags & (self.at[order] >= 0)], minlength=len(self.keys[order])).astype(np.uint64) for order in ORDERS}
 
 
@@ -116,16 +125,17 @@ class Automaton:
     Arcs carry log10 probabilities. A seen triple is an arc from its first pair's state to its second's, a seen pair one from its first
     word's state to the pair's; any state without an arc for a word fails, at a log10 weight, to the state of its last word, and that
     to the root, which has an arc for every word (unseen ones have the probability of a word never met). Each distribution so sums
-    to 1 over known words and the unknown one.
+    to 1 over known words and the unknown one. States and arcs are known by the block's numbers of words, pairs and triples.
     """
 
+    NO_ARC = 1.0  # no log10 of a probability is above 0
+
     def __init__(self, block: Block, counts: dict[str, np.ndarray], tokens: int, types: int, mu: tuple[float, float] = MU):
         words, pairs, triples = (counts[order].astype(np.float64) for order in ORDERS)
         self.count = words[block.word_at]
         once = (self.count + 1.0) / (tokens + types + 1.0)
         context = self.count.copy()
         context[START] = self.count[END]  # every training text begins once and ends once
-        v = self.vocabulary = block.vocabulary
 
         def first(order: str) -> np.ndarray:  # where each distinct key first stands
             at = block.at[order]
@@ -135,67 +145,59 @@ class Automaton:
             return out
 
         two, three = first("pairs"), first("triples")
-        seen, seen3 = pairs > 0, triples > 0
         left, right = block.previous[two], block.words[two]
         twice = (pairs + mu[0] * once[right]) / (context[left] + mu[0])
-        pair_state = 1 + v + np.arange(len(pairs))
-        three = three[seen3]
-        before, last = block.at["pairs"][three - 1], block.at["pairs"][three]  # the triple's two pairs, both seen as it is
-        thrice = (triples[seen3] + mu[1] * twice[last]) / (pairs[before] + mu[1])
-        keys = np.concatenate([(1 + left[seen]) * v + right[seen], pair_state[before] * v + block.words[three]])
-        self.arcs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
-        self.weights = np.log10(np.concatenate([twice[seen], thrice])).tolist()
-        self.targets = np.concatenate([pair_state[seen], pair_state[last]]).tolist()
-        self.root = np.log10(once).tolist()
-        self.failure = np.log10(np.concatenate([[1.0], mu[0] / (context + mu[0]), mu[1] / (pairs + mu[1])])).tolist()
-        self.back = np.concatenate([np.zeros(1 + v, dtype=np.int64), 1 + right]).tolist()
-
-    def walk(self, words: Sequence[int]) -> float:
-        """One traversal from the start state: take the state's arc, or fail until there is one."""
-        arcs, weights, targets, root, failure, back, v = self.arcs, self.weights, self.targets, self.root, self.failure, self.back, self.vocabulary
-        state, total = 1 + START, 0.0
-        for w in words:
-            while (arc := arcs.get(state * v + w)) is None:
-                if not state:
-                    break
-                total += failure[state]
-                state = back[state]
-            if arc is None:
-                total += root[w]
-                state = 1 + w
-            else:
-                total += weights[arc]
-                state = targets[arc]
-        return total
+        before, last = block.at["pairs"][three - 1], block.at["pairs"][three]  # the triple's two pairs
+        thrice = (triples + mu[1] * twice[last]) / (pairs[before] + mu[1])
+        self.root = np.log10(once)
+        self.pair_arc = np.where(pairs > 0, np.log10(twice), self.NO_ARC)
+        self.triple_arc = np.where(triples > 0, np.log10(thrice), self.NO_ARC)
+        self.word_failure = np.log10(mu[0] / (context + mu[0]))
+        self.pair_failure = np.log10(mu[1] / (pairs + mu[1]))
 
     def walk_all(self, block: Block) -> list[float]:
-        """`walk` for every text of the block."""
-        return [self.walk(block.words[a:b].tolist()) for a, b in zip(block.starts.tolist(), block.ends.tolist(), strict=True)]
-
-
-def _pack_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For every text of the block, one traversal from the start state: take the state's arc, or fail until there is one."""
+        none = self.NO_ARC
+        root, pair_arc, triple_arc, word_failure, pair_failure = (x.tolist() for x in (self.root, self.pair_arc, self.triple_arc, self.word_failure, self.pair_failure))
+        scores = []
+        for a, b in zip(block.starts.tolist(), block.ends.tolist(), strict=True):
+            at_pair, pair, last, total = False, -1, START, 0.0  # the state: a pair's, or that of the last word
+            for word, to, triple in zip(*(x[a:b].tolist() for x in (block.words, block.at["pairs"], block.at["triples"])), strict=True):
+                arc = none
+                if at_pair:
+                    arc = triple_arc[triple]
+                    if arc == none:
+                        total += pair_failure[pair]
+                if arc == none:
+                    arc = pair_arc[to]
+                    at_pair = arc != none
+                    if not at_pair:
+                        arc = word_failure[last] + root[word]
+                total += arc
+                pair, last = to, word
+            scores.append(total)
+        return scores
+
+
+def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids, texts, size = [], [], 0
 
     def row():
-        data = zstandard.ZstdCompressor(level=3).compress(pickle.dumps((ids, texts), protocol=5))
-        return pd.DataFrame({"payload": [data], "chars": [size]})
+        return pa.RecordBatch.from_pydict({"payload": pa.array([encode_texts(ids, texts)], pa.binary()), "chars": pa.array([size], pa.int64())})
 
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-            if ids and size + len(text) > BLOCK_CHARS:
-                yield row()
-                ids, texts, size = [], [], 0
-            ids.append(None if pd.isna(doc_id) else int(doc_id))
-            texts.append(text)
-            size += len(text)
+        for at in range(0, batch.num_rows, SLICE):
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.slice(at, SLICE).columns), strict=True):
+                if ids and size + len(text) > BLOCK_CHARS:
+                    yield row()
+                    ids, texts, size = [], [], 0
+                ids.append(doc_id)
+                texts.append(text)
+                size += len(text)
     if ids:
         yield row()
 
 
-def _open(payload: bytes) -> tuple[list, list[str]]:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(payload))
-
-
 def _limits(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where the sorted keys of each bucket begin and end; buckets are equal ranges of the hash."""
     edges = [(b << KEY_BITS) // buckets for b in range(1, buckets)]
@@ -214,7 +216,7 @@ def score_documents(docs: DataFrame, mu: tuple[float, float] = MU) -> DataFrame:
     there, so common ones don't pile up. There are as many buckets as the texts' length asks for. Keys are hashes of 56 bits.
     """
     spark = docs.sparkSession
-    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(_pack_blocks, "payload binary, chars long")
+    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(_pack_blocks, "payload binary, chars long")
     blocks = materialise(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
     n_blocks, chars = blocks.agg(F.count("*"), F.coalesce(F.sum("chars"), F.lit(0))).first()
     buckets, n_blocks = 1 + chars // BUCKET_CHARS, max(1, n_blocks)
@@ -222,9 +224,8 @@ def score_documents(docs: DataFrame, mu: tuple[float, float] = MU) -> DataFrame:
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for number, payload in zip(batch["block"], batch["payload"], strict=True):
-                ids, texts = _open(payload)
-                block = Block(texts)
-                counts = block.counts(np.array([not held_out(i) for i in ids]))
+                block = Block(payload)
+                counts = block.counts()
                 made = {"bucket": np.arange(buckets), "block": np.full(buckets, number)}
                 for order in ORDERS:
                     cut = _limits(block.keys[order], buckets)[1:-1]
@@ -252,20 +253,19 @@ def score_documents(docs: DataFrame, mu: tuple[float, float] = MU) -> DataFrame:
     tokens, types = int(total[0] or 0), int(total[1] or 0)
 
     def walk(block_rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        ids, texts = _open(block_rows["payload"].iloc[0])
-        block, ordered = Block(texts), replies.sort_values("bucket")
-        counts = block.counts(np.array([not held_out(i) for i in ids]))
+        block, ordered = Block(block_rows["payload"].iloc[0]), replies.sort_values("bucket")
+        counts = block.counts()
         for order in ORDERS:
             counts[order] = counts[order] + np.concatenate([_unplanes(d, "<u8") for d in ordered[order]])
         automaton = Automaton(block, counts, tokens, types, mu)
         return pd.DataFrame(
             {
-                "doc_id": pd.array(ids, dtype="Int64"),
-                "held_out": [held_out(i) for i in ids],
+                "doc_id": pd.array(block.ids, dtype="Int64"),
+                "held_out": [held_out(i) for i in block.ids],
                 "n_tokens": block.lengths,
                 "n_known": np.add.reduceat((automaton.count > 0)[block.words].astype(np.int64), block.starts),
                 "train_tokens": tokens,
-                "base_score": np.add.reduceat(np.asarray(automaton.root)[block.words], block.starts),
+                "base_score": np.add.reduceat(automaton.root[block.words], block.starts),
                 "score": automaton.walk_all(block),
             }
         )
