@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -69,7 +70,9 @@ SCRIPTS = {
     "hangul": ((0x1100, 0x11FF), (0xAC00, 0xD7AF)),
 }
 SEGMENT = 4096  # words given to the tokeniser at once
-MOST_WORDS = 200_000
+MOST_WORDS = 400_000
+#: Words of ASCII and of Latin letters with marks, which no vocabulary normalises into blanks.
+_PLAIN = re.compile("[!-~\u00c0-\u024f]+")
 
 
 def script_of(text: str) -> str:
@@ -85,11 +88,15 @@ def repeated_window_words(words: Sequence[str], size: int = WINDOW) -> int:
 
     Windows get exact numbers by doubling: a number for each pair of neighbouring half windows.
     """
-    n = len(words)
+    numbers = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    return repeated_windows(np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words)), size)
+
+
+def repeated_windows(codes: np.ndarray, size: int = WINDOW) -> int:
+    """`repeated_window_words` of words given by numbers."""
+    n = len(codes)
     if n <= size:
         return 0
-    seen: dict[str, int] = {}
-    codes = np.fromiter((seen.setdefault(w, len(seen)) for w in words), dtype=np.int64, count=n)
     width = 1
     while width < size:
         pairs = codes[:-width] * (int(codes.max()) + 1) + codes[width:]
@@ -126,14 +133,64 @@ def _vocabulary(path: str):
     return model, is_byte
 
 
-def measure(words: Sequence[str], path: str) -> tuple[int, int, float]:
-    """Tokens, byte-fallback tokens and entropy in bits of the token distribution, over the words joined by blanks."""
-    model, is_byte = _vocabulary(path)
-    parts = [" ".join(words[i : i + SEGMENT]) for i in range(0, len(words), SEGMENT)]
-    counts = np.zeros(len(is_byte), dtype=np.int64)
-    for part in parts:
-        ids = np.asarray(model.encode(part, num_threads=1), dtype=np.int64)
-        counts += np.bincount(ids, minlength=len(counts))
+class Lexicon:
+    """What two vocabularies make of words, remembered for about MOST_WORDS words; a text's words are looked up once for all measures.
+
+    The first vocabulary, with byte fallback, takes words joined by blanks. None of its pieces crosses a blank, so the ids of plain
+    words are remembered one by one; a segment with any other word, which it may normalise together with its neighbours, is encoded
+    as a whole. The second, byte-level one takes each word with a blank before it.
+    """
+
+    def __init__(self, first: str, second: str):
+        self._model, self.is_byte = _vocabulary(first)
+        self._second = codec(second).encode
+        self._forget()
+
+    def _forget(self) -> None:
+        self._numbers: dict[str, int] = {}
+        # by number: characters, tokens of the second vocabulary, whether plain, and where its ids end
+        self._chars, self._tokens, self._plain, self._ends, self._ids = array("q"), array("q"), array("b"), array("q", [0]), array("q")
+
+    def numbers(self, words: Sequence[str]) -> np.ndarray:
+        """A number for each word, valid until the next call."""
+        if len(self._numbers) > MOST_WORDS:
+            self._forget()
+        known = self._numbers
+        for w in set(words).difference(known):
+            known[w] = len(known)
+            self._chars.append(len(w))
+            self._tokens.append(len(self._second(f" {w}")))
+            plain = _PLAIN.fullmatch(w) is not None
+            self._plain.append(plain)
+            if plain:
+                self._ids.extend(self._model.EncodeAsIds(w))
+            self._ends.append(len(self._ids))
+        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def totals(self, numbers: np.ndarray) -> tuple[int, int]:
+        """Characters and tokens of the second vocabulary."""
+        return int(np.frombuffer(self._chars, dtype=np.int64)[numbers].sum()), int(np.frombuffer(self._tokens, dtype=np.int64)[numbers].sum())
+
+    def counts(self, words: Sequence[str], numbers: np.ndarray) -> np.ndarray:
+        """How often each id of the first vocabulary occurs."""
+        counts = np.zeros(len(self.is_byte), dtype=np.int64)
+        plain, ends, every = np.frombuffer(self._plain, dtype=np.int8), np.frombuffer(self._ends, dtype=np.int64), np.frombuffer(self._ids, dtype=np.int64)
+        for at in range(0, len(words), SEGMENT):
+            part = numbers[at : at + SEGMENT]
+            if plain[part].all():
+                first, size = ends[part], ends[part + 1] - ends[part]
+                ids = every[np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)]
+            else:
+                ids = np.asarray(self._model.encode(" ".join(words[at : at + SEGMENT]), num_threads=1), dtype=np.int64)
+            counts += np.bincount(ids, minlength=len(counts))
+        return counts
+
+
+lexicon = lru_cache(maxsize=2)(Lexicon)
+
+
+def measure(counts: np.ndarray, is_byte: np.ndarray) -> tuple[int, int, float]:
+    """Tokens, byte-fallback tokens and entropy in bits of the token distribution, from the counts of all ids."""
     total = int(counts.sum())
     if not total:
         return 0, 0, 0.0
@@ -141,27 +198,6 @@ def measure(words: Sequence[str], path: str) -> tuple[int, int, float]:
     return total, int(counts[is_byte].sum()), float(max(0.0, -(p * np.log2(p)).sum()))
 
 
-class SecondVocabulary:
-    """Tokens of words, each with a blank before it, under a byte-level vocabulary; counts of MOST_WORDS words are remembered."""
-
-    def __init__(self, path: str):
-        self._encode, self._known = codec(path).encode, {}
-
-    def tokens(self, words: Sequence[str]) -> int:
-        known, total = self._known, 0
-        for w in words:
-            n = known.get(w)
-            if n is None:
-                if len(known) >= MOST_WORDS:
-                    known.clear()
-                n = known[w] = len(self._encode(f" {w}"))
-            total += n
-        return total
-
-
-second_vocabulary = lru_cache(maxsize=2)(SecondVocabulary)
-
-
 def fits(band: Band, chars: int, tokens: int, byte_tokens: int, entropy: float, second: int) -> bool:
     """Whether a text of `chars` characters in words is within the band, by its tokens (byte_tokens of them bytes) and by those of the second vocabulary."""
     low, high = band.chars_per_token
@@ -182,13 +218,14 @@ def judge(text: str | None, lang: str | None, path: str, second: str, bands: Map
     """All of SCHEMA but the id; path and second are the two vocabularies. Texts that fail the base rules have no further verdict."""
     text = text or ""
     words = words_of(text)
-    n, chars = len(words), sum(map(len, words))
-    repeats = repeated_window_words(words)
+    known = lexicon(path, second)
+    n, numbers = len(words), known.numbers(words)
+    chars, others = known.totals(numbers) if words else (0, 0)
+    repeats = repeated_windows(numbers)
     failed = n < 20 or 100 * repeats > 30 * n
-    tokens, byte_tokens, entropy = measure(words, path) if words else (0, 0, 0.0)
+    tokens, byte_tokens, entropy = measure(known.counts(words, numbers), known.is_byte) if words else (0, 0, 0.0)
     name = lang if lang in bands else script_of(text)
     name = name if name in bands else "other"
-    others = second_vocabulary(second).tokens(words)
     kept = not failed and fits(bands[name], chars, tokens, byte_tokens, entropy, others)
     return n, chars, len(_SYMBOL.findall(text)), duplicate_lines(text), repeats, failed, kept, tokens, byte_tokens, entropy, name, others
 
