@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import SLICE, lower_ascii, map_rows, text_or_empty, words_of
 from nearfield.llm.components import components
-from nearfield.storage import discard, materialise
+from nearfield.storage import materialise
 
 SEED, MAX_BITS, SEGMENTS = 42, 3, 4
 GENERATOR = 0b101011100011  # of the [23, 12, 7] Golay code
@@ -219,12 +219,14 @@ def near_duplicates(docs: DataFrame, size: int = 3, seed: int = SEED, hot: int =
 SOFT_SEGMENTS, TOGETHER, VERIFY_WORDS, SIMILARITY = 5, 3, 5, 0.8
 #: Least hashes in a sketch, and the similarity by a sketch below which a pair isn't verified in full (five deviations below 0.8).
 SKETCH, SKETCH_LEAST = 64, 0.55
-#: Centres of a key in the round after the first, home nodes up to which all of a key's are centres, and pairs of one centre that go to one task.
-CENTRES, SURE, CENTRE_PAIRS = 2, 8, 4_096
+#: Pairs of one centre that go to one task.
+CENTRE_PAIRS = 4_096
 #: Least hashes of a sketch by which a node's typicality is judged.
 TYPICAL = 16
-#: First centres of a key: the most typical home node of each of so many classes by hash.
-HUBS = 4
+#: Centres of a key: the most typical home node of each of so many classes by hash.
+CENTRES = 4
+#: Nodes and shingles in one part of a key; two parts are compared by one task.
+PART_NODES, PART_SHINGLES = 1_024, 1 << 20
 DESCRIBED = "doc_id long, node long, size int, sketch array<long>, codes array<int>"
 
 
@@ -323,55 +325,72 @@ def verified(sets: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY)
     return met(likely, "size", "shingles").withColumn("_n", both).filter(F.col("_n") >= similarity * (F.col("size_a") + F.col("size_b") - F.col("_n")) - 1e-9).select("a", "b")
 
 
+def linked_within(node: np.ndarray, component: np.ndarray, home: np.ndarray, part: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join what all pairs of similar nodes of a key would, at most one for each two components.
+
+    A pair has a home node, is of two parts (if there are two), and of two components, as those are after the links before. Common shingles are counted
+    by lists of the nodes that have each; the largest component's nodes are only met by others, and a node with too many shingles that no
+    other has is left out, as it can't be similar to any.
+    """
+    sizes = np.array([len(s) for s in sets])
+    apart = len(np.unique(part)) > 1
+    _, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(node)), sizes)
+    able = np.bincount(owner, weights=held[at] > 1, minlength=len(node)) >= similarity * sizes - 1e-9
+    use = (held[at] > 1) & able[owner]
+    at, owner = at[use], owner[use]
+    held = np.bincount(at, minlength=len(held))
+    first, having = np.cumsum(held) - held, owner[np.argsort(at, kind="stable")]
+    starts = np.searchsorted(owner, np.arange(len(node) + 1))
+    root, out = np.unique(component, return_inverse=True)[1], []
+    for x in np.flatnonzero(able & (root != np.bincount(root).argmax())):
+        fine = able & (root != root[x]) & (home | home[x])
+        if apart:
+            fine &= part != part[x]
+        if not fine.any():
+            continue
+        own = at[starts[x] : starts[x + 1]]
+        n = held[own]
+        common = np.bincount(having[np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(node))
+        for y in np.flatnonzero(fine & (common >= similarity * (sizes + sizes[x] - common) - 1e-9)):
+            if root[y] != root[x]:
+                out.append((int(node[x]), int(node[y])))
+                root[root == root[y]] = root[x]
+    return out
+
+
 def _settle(sets: DataFrame, blocks: DataFrame, similarity: float) -> DataFrame:
-    """node, component after verifying candidates of the blocks (key, node, home).
-
-    Candidates are the home nodes of a block against all others of it that are in another component. The first centres of a block are its four most typical
-    home nodes (one of each class by hash), whose least hashes most other nodes have; near copies with edits of their own are most like those. Then come the next 2, 2, 4,
-    8, ... home nodes, by a hash, so that nothing is sorted. In a block with more than eight home nodes, what is in the component of
-    a centre is done: new centres and what they meet are among the rest, so a crowded key costs a bounded number of rows for each node
-    and round. Such a block is settled when a round changed no component in it; a smaller one when all its home nodes were
-    centres. A node gathers the centres of its forty keys before it meets each of them once.
+    """node, component: exactly the components of all similar pairs of nodes that share a key (blocks: key, node, home), one of them at home there.
+
+    First the four most typical home nodes of a key (one of each class by hash), whose least hashes most other nodes have, meet all others; near
+    copies with edits of their own are most like those. A node gathers the centres of its forty keys before it meets each of them once. Then every
+    key that still holds several components is compared in full by tasks, all pairs of two components (see linked_within). That emits links, not
+    pairs, so rows are bounded by the nodes of the keys and their parts.
     """
-    spark = blocks.sparkSession
-    named = spark.createDataFrame([], "node long, component long")
-    tried = spark.createDataFrame([], "a long, b long")
     often = sets.select("node", F.explode(F.slice("sketch", 1, TYPICAL)).alias("h"))
     often = often.join(often.groupBy("h").agg(F.count("*").alias("n")), "h").groupBy("node").agg(F.sum("n").alias("often"))
-    blocks = materialise(blocks.join(often, "node", "left").withColumns({"often": F.coalesce("often", F.lit(0)), "place": F.pmod(F.xxhash64("node"), F.lit(1 << 31))}), "placed")
-    ranked = F.struct("often", "place", "node")
-    best = [F.max(F.when(F.col("place") % HUBS == i, ranked))["node"] for i in range(HUBS)]
-    hubs = materialise(blocks.filter("home").groupBy("key").agg(F.array_compact(F.array(*best)).alias("hubs"), F.count("*").alias("m")), "hubs")
-    blocks = blocks.drop("often").join(hubs, "key").withColumn("place", F.when(F.array_contains("hubs", F.col("node")), -1).otherwise(F.shiftright(F.col("place") * F.col("m"), 31)))
-    blocks = materialise(blocks.withColumn("place", F.when(F.col("home"), F.col("place"))).drop("hubs"), "placed")  # null: never a centre
-    start, width, before = -1, 1, None
-    while True:
-        at = blocks.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        sizes = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("component").cast("decimal(20,0)")).alias("mark"))
-        sizes = sizes.join(hubs.select("key", "m"), "key").filter((F.col("lo") < F.col("hi")) & (F.col("m") > start))
-        left = sizes
-        if before is not None:
-            left = sizes.join(before.select("key", F.col("mark").alias("_old")), "key").filter((F.col("m") <= SURE) | (F.col("_old") != F.col("mark")))
-        left = materialise(left.select("key", F.col("mark").cast("decimal(38,0)").alias("mark")), "left")
-        at = at.join(left.select("key"), "key")
-        met_by = at.filter((F.col("m") > SURE) & (F.col("place") < start)).select("key", "component").distinct()
-        at = at.join(met_by, ["key", "component"], "left_anti")
-        centres = at.filter((F.col("place") >= start) & (F.col("place") < start + width)).select("key", F.col("node").alias("a"), F.col("component").alias("_c"))
-        given = at.join(centres.groupBy("key").agg(F.collect_list(F.struct("a", "_c")).alias("_cs")), "key")
-        met = given.groupBy("node", "component").agg(F.array_distinct(F.flatten(F.collect_list("_cs"))).alias("_cs"))
-        met = met.select(F.col("node").alias("b"), F.inline(F.filter("_cs", lambda c: c["_c"] != F.col("component")))).withColumns({"_x": F.least("a", "b"), "_y": F.greatest("a", "b")})
-        once = met.groupBy("_x", "_y").agg(F.min(F.struct("a", "b")).alias("p")).join(tried.select(F.col("a").alias("_x"), F.col("b").alias("_y")), ["_x", "_y"], "left_anti")
-        pairs = materialise(once.select("p.a", "p.b"), "pairs")
-        if left.isEmpty():
-            return named
-        fine = materialise(verified(sets, pairs, similarity), "fine")
-        if not fine.isEmpty():
-            named, old = materialise(components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fine)), "named"), named
-            discard(old)
-        discard(before)
-        tried = tried.unionByName(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        before, start = left, start + width
-        width = max(CENTRES, start)
+    ranked = F.struct(F.coalesce("often", F.lit(0)), F.xxhash64("node"), "node")
+    best = [F.max(F.when(F.pmod(F.xxhash64("node"), F.lit(CENTRES)) == i, ranked))["node"] for i in range(CENTRES)]
+    centres = blocks.filter("home").join(often, "node", "left").groupBy("key").agg(F.array_compact(F.array(*best)).alias("centres"))
+    met = blocks.join(centres, "key").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("centres"))).alias("centres"))
+    met = met.select(F.col("node").alias("b"), F.explode("centres").alias("a")).filter("a != b")
+    once = met.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min(F.struct("a", "b")).alias("p"))
+    named = materialise(components(verified(sets, materialise(once.select("p.a", "p.b"), "pairs"), similarity)), "named")
+
+    at = materialise(blocks.join(named, "node", "left").join(sets.select("node", "size"), "node").withColumn("component", F.coalesce("component", "node")), "placed")
+    parts = F.ceil(F.greatest(F.count("*") / PART_NODES, F.sum("size") / PART_SHINGLES))
+    open_ = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), parts.alias("parts")).filter("lo < hi").select("key", "parts")
+    rest = at.drop("size").join(open_, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
+    rest = rest.select("key", "p", "q", "part", "node", "component", "home").join(sets.select("node", "shingles"), "node")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group[group["part"].isin([group["p"].iloc[0], group["q"].iloc[0]])].sort_values("node")
+        found = linked_within(*[group[c].to_numpy() for c in ("node", "component", "home", "part")], list(group["shingles"]), similarity)
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    links = materialise(rest.groupBy("key", "p", "q").applyInPandas(run, "a long, b long"), "links")
+    return components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -379,8 +398,8 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
 
     Documents with equal sets of five-word shingles are one node, the least of them. The fingerprint of a document's distinct words is
     cut into five segments, each decoded to nearby words of the Golay code, whose indices in threes are its keys: nodes that agree in three segments
-    (one of them may be second nearest) are candidates, and linked if their shingles have a Jaccard similarity of 0.8 or more. See
-    _settle for the order in which candidates are tried, and when a crowded key is done.
+    (one of them may be second nearest) are candidates, and linked if their shingles have a Jaccard similarity of 0.8 or more. No
+    candidate is left out, whatever the size of a key; see _settle.
     """
     rows = described(docs)
     nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("size", "sketch", "codes")]), "nodes")

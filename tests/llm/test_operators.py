@@ -465,6 +465,45 @@ def test_a_large_group_of_near_copies(spark):
     assert len(set(named.values())) <= 1.1 * len(set(truly.values()))
 
 
+def test_links_of_a_crowded_key_that_no_centre_has(spark, monkeypatch):
+    """Copies of one text, each with its own near copy that is like it alone; keys are compared in parts."""
+    monkeypatch.setattr(simhash, "PART_NODES", 16, raising=False)
+    rng = random.Random(31)
+    base = [f"w{i}" for i in range(150)]
+    made = [base]
+    for n in range(30):
+        at = rng.sample(range(5, 145, 7), 5)
+        parent, child = list(base), list(base)
+        for k, i in enumerate(at):
+            child[i] = f"x{n}-{k}"
+            if k < 3:
+                parent[i] = child[i]
+        made += [parent, child]
+    texts_of = {i: " ".join(w) for i, w in enumerate(made)}
+    home, _ = soft_keys(texts_of)
+    assert max(collections.Counter(k for ks in home.values() for k in ks).values()) > 12
+    want, _, pairs = linked_components(texts_of)
+    assert len(pairs) >= 60 and collections.Counter(want.values())[0] > 50
+    got = {r["node"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame([doc(i, t) for i, t in texts_of.items()], SCHEMA)).collect()}
+    assert got == want
+
+
+def test_linked_within():
+    rng = np.random.default_rng(4)
+    common = np.arange(40)
+    sets = [np.unique(np.concatenate([rng.choice(common, 40 - e, replace=False), rng.integers(100, 10**6, e)])) for e in rng.integers(0, 9, 60)]
+    sets[7] = np.array([], dtype=np.int64)
+    node, home = rng.permutation(60), rng.random(60) < 0.6
+    for component in (node, node % 11, node * 0):
+        for part in (np.zeros(60, dtype=int), np.arange(60) % 2):
+            got = simhash.linked_within(node, component, home, part, sets, 0.8)
+            near = [(i, j) for i in range(60) for j in range(i) if similarity(set(sets[i]), set(sets[j])) >= 0.8 and len(sets[i]) and (home[i] or home[j]) and (part[i] != part[j] or not part.any())]
+            known = [(int(node[i]), int(node[j])) for i in range(60) for j in range(60) if component[i] == component[j]]
+            assert {tuple(sorted(p)) for p in got} <= {tuple(sorted((int(node[i]), int(node[j])))) for i, j in near}
+            assert brute_components(range(60), known + got) == brute_components(range(60), known + [(int(node[i]), int(node[j])) for i, j in near])
+            assert len(got) < max(1, len(set(component)))
+
+
 def test_recall_of_pairs_at_the_threshold(spark):
     """Pairs alone, with no third copy to help: at a similarity of 0.8 to 0.9, nine in ten and more are found."""
     rng = random.Random(21)
