@@ -270,6 +270,20 @@ def test_graph_index(spark, data, metric, tmp_path):
     assert inside <= exactly and len(inside) > 0.7 * len(exactly)
 
 
+@pytest.mark.parametrize("metric,radius", [("l2", 20.0), ("fast_l2", 0.0), ("mips", 6.0), ("cosine", 0.5)])
+def test_a_range_search_asks_every_shard_that_can_hold_a_hit(spark, metric, radius):
+    """Random directions in shards of 50 rows: hits lie in more shards than the nearest four."""
+    x = np.random.default_rng(33).normal(size=(600, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    q = df.filter("id % 40 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    index = Index.build(df, IndexConfig(16, metric, shard_rows=50, seed=3))
+    assert len(index.centres) > 8
+    d = D.matrix(metric, x, x[::40])
+    want = {(40 * int(a), int(b)) for a, b in np.argwhere(-d >= radius if metric == "mips" else d <= radius)}
+    assert len(want) > 60
+    assert {(r["qid"], r["id"]) for r in index.range(q, radius, 64, 512).collect()} == want
+
+
 def test_probes_grow_with_the_shards(spark):
     x = np.random.default_rng(4).standard_normal((1200, 32))
     index = Index.build(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>"), IndexConfig(32, shard_rows=50))
