@@ -223,7 +223,7 @@ SKETCH, SKETCH_LEAST = 64, 0.55
 CENTRE_PAIRS = 4_096
 #: Least hashes of a sketch by which a node's typicality is judged.
 TYPICAL = 16
-#: Centres of a key: the most typical home node of each of so many classes by hash.
+#: Centres that a node meets: so many of the most typical among those of its keys.
 CENTRES = 4
 #: Nodes and shingles in one part of a key; two parts are compared by one task.
 PART_NODES, PART_SHINGLES = 1_024, 1 << 20
@@ -362,18 +362,17 @@ def linked_within(node: np.ndarray, component: np.ndarray, home: np.ndarray, par
 def _settle(sets: DataFrame, blocks: DataFrame, similarity: float) -> DataFrame:
     """node, component: exactly the components of all similar pairs of nodes that share a key (blocks: key, node, home), one of them at home there.
 
-    First the four most typical home nodes of a key (one of each class by hash), whose least hashes most other nodes have, meet all others; near
-    copies with edits of their own are most like those. A node gathers the centres of its forty keys before it meets each of them once. Then every
-    key that still holds several components is compared in full by tasks, all pairs of two components (see linked_within). That emits links, not
-    pairs, so rows are bounded by the nodes of the keys and their parts.
+    A key's centre is its most typical home node, whose least hashes most other nodes have; near copies with edits of their own are most like
+    that. First a node meets the at most CENTRES most typical of its forty keys' centres, so pairs grow with the nodes alone, however many share its
+    keys. Then every key that still holds several components is compared in full by tasks, all pairs of two components (see linked_within). That
+    emits links, not pairs, so rows are bounded by the nodes of the keys and their parts.
     """
     often = sets.select("node", F.explode(F.slice("sketch", 1, TYPICAL)).alias("h"))
     often = often.join(often.groupBy("h").agg(F.count("*").alias("n")), "h").groupBy("node").agg(F.sum("n").alias("often"))
-    ranked = F.struct(F.coalesce("often", F.lit(0)), F.xxhash64("node"), "node")
-    best = [F.max(F.when(F.pmod(F.xxhash64("node"), F.lit(CENTRES)) == i, ranked))["node"] for i in range(CENTRES)]
-    centres = blocks.filter("home").join(often, "node", "left").groupBy("key").agg(F.array_compact(F.array(*best)).alias("centres"))
-    met = blocks.join(centres, "key").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("centres"))).alias("centres"))
-    met = met.select(F.col("node").alias("b"), F.explode("centres").alias("a")).filter("a != b")
+    ranked = F.struct(F.coalesce("often", F.lit(0)).alias("often"), F.xxhash64("node").alias("hash"), "node")
+    centres = blocks.filter("home").join(often, "node", "left").groupBy("key").agg(F.max(ranked).alias("centre"))
+    met = blocks.join(centres, "key").filter("centre.node != node").groupBy("node").agg(F.slice(F.sort_array(F.collect_set("centre"), asc=False), 1, CENTRES).alias("centres"))
+    met = met.select(F.col("node").alias("b"), F.explode("centres.node").alias("a"))
     once = met.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min(F.struct("a", "b")).alias("p"))
     named = materialise(components(verified(sets, materialise(once.select("p.a", "p.b"), "pairs"), similarity)), "named")
 

@@ -488,6 +488,29 @@ def test_links_of_a_crowded_key_that_no_centre_has(spark, monkeypatch):
     assert got == want
 
 
+def test_pairs_with_centres_grow_with_the_nodes(spark, monkeypatch):
+    """A node of a crowd meets a fixed number of centres, however many keys it has and nodes they hold; tasks find the other links."""
+    rng, base = random.Random(17), [f"w{i}" for i in range(150)]
+    made = [base]
+    for n in range(120):
+        copy = list(base)
+        for k, i in enumerate(rng.sample(range(150), rng.randrange(1, 9))):
+            copy[i] = f"x{n}-{k}"
+        made.append(copy)
+    texts_of, rows, materialise = {i: " ".join(w) for i, w in enumerate(made)}, collections.Counter(), simhash.materialise
+
+    def counted(df, name="table"):
+        out = materialise(df, name)
+        rows[name] += out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", counted)
+    got = {r["node"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame([doc(i, t) for i, t in texts_of.items()], SCHEMA)).collect()}
+    assert got == linked_components(texts_of)[0]
+    assert 100 < rows["pairs"] <= simhash.CENTRES * rows["nodes"]
+    assert rows["blocks"] > 10 * rows["nodes"]
+
+
 def test_linked_within():
     rng = np.random.default_rng(4)
     common = np.arange(40)
