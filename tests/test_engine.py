@@ -243,6 +243,42 @@ def test_prune_rules():
     assert graph.prune(np.array([1, 2]), np.zeros(2), same, 2, 1.2) == [1]
 
 
+def reached(nbrs, rows):
+    """What of rows a walk meets from the first of them without leaving them."""
+    seen, todo = {rows[0]}, [rows[0]]
+    while todo:
+        new = {int(j) for j in nbrs[todo.pop()]} & set(rows) - seen
+        seen |= new
+        todo += new
+    return sorted(seen)
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_copies_of_a_point_do_not_take_all_its_edges(metric):
+    """Copies are told by their vectors, as distances between them may differ from zero by rounding; a walk meets them all."""
+    others = cloud(40, 12)
+    x = np.concatenate([np.repeat(others[:1], 30, axis=0), others[1:]]).astype(np.float64)
+    d = D.matrix(metric, x, x[:1])[0]
+    kept = graph.prune(np.arange(1, len(x)), d[1:], x, 8, 1.2, metric)
+    assert sum(i < 30 for i in kept) == 1 and len(kept) > 1
+    config = IndexConfig(12, metric, degree=8, build_width=48)
+    nbrs = graph.build(x, config)
+    assert all(len(n) <= 8 and sum(j < 30 for j in n) == 1 and any(j >= 30 for j in n) for n in nbrs[:30])
+    assert reached(nbrs, list(range(30))) == list(range(30))
+    names = [frozenset("ab"[i % 2]) for i in range(len(x))]
+    nbrs = graph.build(x, config, names)
+    assert all(len(n) <= 8 for n in nbrs) and all(reached(nbrs, list(range(at, 30, 2))) == list(range(at, 30, 2)) for at in (0, 1))
+
+
+def test_copies_stay_linked_when_some_are_deleted(spark):
+    x = np.concatenate([np.repeat(cloud(1, 6), 20, axis=0), cloud(30, 6)]).tolist()
+    shards = graph.build_shards(spark.createDataFrame([(0, i, v) for i, v in enumerate(x)], "shard int, id long, vec array<double>"), IndexConfig(6, degree=6, build_width=24))
+    left = graph.repair_shards(shards, spark.createDataFrame([(i,) for i in (3, 4, 5, 6, 12, 13)], "id long"), IndexConfig(6, degree=6, build_width=24))
+    nbrs = {r["id"]: r["nbrs"] for r in left.collect()}
+    copies = [i for i in range(20) if i in nbrs]
+    assert len(nbrs) == len(x) - 6 and len(copies) == 14 and reached(nbrs, copies) == copies and all(len(n) <= 6 for n in nbrs.values())
+
+
 @pytest.mark.parametrize("metric", ["l2", "mips", "cosine"])
 def test_graph_index(spark, data, metric, tmp_path):
     _, _, df, q = data
