@@ -558,3 +558,24 @@ def test_inspection_and_near_nodes(data):
     assert near.filter("level = 0").first()["id"] == 3 and near.count() > 500
     with pytest.raises(ValueError):
         Index.build(df, IndexConfig(12), on_codes=True)
+
+
+def test_comparisons_hold_a_bounded_number_of_pairs():
+    import tracemalloc
+
+    x = cloud(4_000, 16).astype(np.float64)
+    asked = x[:1_000]
+    tracemalloc.start()
+    try:
+        met = 0
+        for q, b, d in exact.pick("mips", x, asked, None, np.full(len(asked), np.inf)):
+            assert len(q) == len(b) == len(d) <= exact.PAIRS
+            met += len(q)
+        assert met == len(x) * len(asked) and tracemalloc.get_traced_memory()[1] < 150e6  # all pairs at once take over 1 GB
+    finally:
+        tracemalloc.stop()
+    best = {i: [] for i in range(1_000)}
+    for q, b, _ in exact.pick("l2", x, asked, 7):
+        for i, j in zip(q.tolist(), b.tolist(), strict=True):
+            best[i].append(j)
+    assert {i: sorted(v) for i, v in best.items()} == {i: sorted(v) for i, v in brute(x, range(1_000), 7, "l2").items()}
