@@ -579,3 +579,15 @@ def test_comparisons_hold_a_bounded_number_of_pairs():
         for i, j in zip(q.tolist(), b.tolist(), strict=True):
             best[i].append(j)
     assert {i: sorted(v) for i, v in best.items()} == {i: sorted(v) for i, v in brute(x, range(1_000), 7, "l2").items()}
+
+
+def test_label_top_k_has_no_task_for_a_label(data, capsys):
+    x, names, df, q = data
+    asked = q.withColumn("qlabel", F.when(F.col("qid") % 40 == 0, "by3").when(F.col("qid") % 3 == 0, "l1").when(F.col("qid") % 7 == 0, "none such"))
+    found = exact.exact_label_top_k(df, asked, 6)
+    found.explain()
+    assert "Join" not in capsys.readouterr().out  # rows of a common label stay in the tasks that read them
+    wanted = {r["qid"]: r["qlabel"] for r in asked.collect()}
+    mask = {i: np.array([w is not None and w in h for h in names]) for i, w in wanted.items()}
+    want = {i: v for i, v in brute(x, sorted(wanted), 6, "l2", mask).items() if v}
+    assert by_query(found) == want and len(want) > 15
