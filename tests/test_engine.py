@@ -591,3 +591,35 @@ def test_label_top_k_has_no_task_for_a_label(data, capsys):
     mask = {i: np.array([w is not None and w in h for h in names]) for i, w in wanted.items()}
     want = {i: v for i, v in brute(x, sorted(wanted), 6, "l2", mask).items() if v}
     assert by_query(found) == want and len(want) > 15
+
+
+@pytest.mark.parametrize("rows", [20, 40, 100])
+def test_shards_keep_within_their_rows(spark, rows):
+    x = np.concatenate([cloud(700, 8), np.repeat(cloud(1, 8, 1), 300, axis=0)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<float>")
+    centres, dealt = clustering.partition_for_budget(df, rows)
+    sizes = {r["shard"]: r["count"] for r in dealt.groupBy("shard").count().collect()}
+    assert max(sizes.values()) <= rows and sum(sizes.values()) == 2 * len(x) and max(sizes) < len(centres)
+
+
+def test_range_search_copies_no_query_for_a_shard(data, capsys):
+    x, _, df, q = data
+    index = Index.build(df, IndexConfig(12, degree=8, build_width=16, shard_rows=30))
+    assert len(index.centres) > 40
+    found = index.range(q, 9.0, 30, 240)
+    found.explain()
+    assert "CoGroup" not in capsys.readouterr().out
+    d = D.matrix("l2", x, x[::20])
+    want = {(20 * i, int(j)) for i, row in enumerate(d) for j in np.flatnonzero(row <= 9.0)}
+    assert {(r["qid"], r["id"]) for r in found.collect()} == want and len(want) > 100
+
+
+def test_nearest_counts_an_id_once_and_keeps_ties():
+    best = search.Nearest(2, 2)
+    best.add(np.array([0, 0, 1]), np.array([5, 3, 9]), np.array([1.0, 1.0, 4.0]))
+    best.add(np.array([0, 0, 1]), np.array([5, 1, 9]), np.array([1.0, 2.0, 4.0]))
+    q, ids, d = best.best()
+    assert q.tolist() == [0, 0, 1] and ids.tolist() == [3, 5, 9] and d.tolist() == [1.0, 1.0, 4.0]
+    assert best.limit.tolist() == [1.0, np.inf]
+    best.add(np.array([0]), np.array([2]), np.array([1.0]))  # a tie with the last place goes to the lesser id
+    assert best.best()[1].tolist() == [2, 3, 9]
