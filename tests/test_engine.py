@@ -623,3 +623,15 @@ def test_nearest_counts_an_id_once_and_keeps_ties():
     assert best.limit.tolist() == [1.0, np.inf]
     best.add(np.array([0]), np.array([2]), np.array([1.0]))  # a tie with the last place goes to the lesser id
     assert best.best()[1].tolist() == [2, 3, 9]
+
+
+@pytest.mark.parametrize("way", ["search", "labels", "codes", "beam"])
+def test_every_shard_with_long_lists_is_exact(spark, data, way):
+    x, _, df, q = data
+    config = IndexConfig(12, degree=4, build_width=8, shard_rows=16, universal_label="all" if way == "labels" else None)
+    index = Index.build(df, config, *([6] if way in ("codes", "beam") else []), on_codes=way == "codes")
+    assert len(index.centres) > 75
+    if way == "labels":
+        q = q.withColumn("qlabel", F.when(F.col("qid") % 40 == 0, "by3").otherwise("l0"))
+    found = index.beam(q, 7, 16, 4, shards=None) if way == "beam" else index.search(q, 7, 16, shards=None)
+    assert by_query(found) == by_query(exact.exact_knn(df, q, 7, universal="all" if way == "labels" else None))
