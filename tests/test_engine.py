@@ -635,3 +635,15 @@ def test_every_shard_with_long_lists_is_exact(spark, data, way):
         q = q.withColumn("qlabel", F.when(F.col("qid") % 40 == 0, "by3").otherwise("l0"))
     found = index.beam(q, 7, 16, 4, shards=None) if way == "beam" else index.search(q, 7, 16, shards=None)
     assert by_query(found) == by_query(exact.exact_knn(df, q, 7, universal="all" if way == "labels" else None))
+
+
+def test_dynamic_search_of_every_shard_is_exact(spark, data, tmp_path):
+    x, _, df, q = data
+    index = dynamic.DynamicIndex(spark, str(tmp_path / "e"), IndexConfig(12, degree=8, build_width=16, shard_rows=30))
+    index.insert(df.select("tag", "vec", "labels"))
+    index.consolidate()
+    index.delete(df.filter("tag % 10 = 0").select("tag"))
+    index.consolidate()
+    index.delete(df.filter("tag = 7").select("tag"))
+    live = df.filter("tag % 10 <> 0 and tag <> 7").select(F.col("tag").alias("id"), "vec")
+    assert by_query(index.search(q, 7, 30, shards=None), "tag") == by_query(exact.exact_knn(live, q, 7))
