@@ -647,3 +647,14 @@ def test_dynamic_search_of_every_shard_is_exact(spark, data, tmp_path):
     index.delete(df.filter("tag = 7").select("tag"))
     live = df.filter("tag % 10 <> 0 and tag <> 7").select(F.col("tag").alias("id"), "vec")
     assert by_query(index.search(q, 7, 30, shards=None), "tag") == by_query(exact.exact_knn(live, q, 7))
+
+
+@pytest.mark.parametrize("metric", ["l2", "fast_l2", "mips"])
+def test_two_stages_complete_a_short_list(data, metric):
+    _, _, df, q = data
+    book = quantize.train_codebook(df, 3, metric, centres=16)
+    codes = df.select("id", quantize.encode_column(F.col("vec"), book).alias("codes"))
+    want = by_query(exact.exact_knn(df, q, 5, metric))
+    assert by_query(quantize.two_stage_search(df, codes, q, 5, 8, book, metric)) != want  # eight by codes don't hold the five nearest
+    assert by_query(quantize.two_stage_search(df, codes, q, 5, 8, book, metric, complete=True)) == want
+    assert by_query(quantize.two_stage_search(df, codes, q, 1_000, 1_000, book, metric, complete=True)) == by_query(exact.exact_knn(df, q, 1_000, metric))
